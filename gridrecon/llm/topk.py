@@ -109,8 +109,9 @@ def top_k(vectors: DataFrame, every: Column, k: int = 5, id_col: str = "vec_id",
     q = v.where("is_query").drop("bucket").join(F.broadcast(sizes), "dim")
     q = q.withColumn("block", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.col("blocks")).cast("int"))
     q = q.select("dim", "bucket", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", "vec_id", "v")
+    q = q.toDF("q_dim", "q_bucket", "q_shard", "q_block", "vec_id", "v")  # fresh names: both sides come from v
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         mat = [np.array(x["v"].tolist(), np.int64).reshape(len(x), -1) for x in (left, right)]
@@ -119,6 +120,6 @@ def top_k(vectors: DataFrame, every: Column, k: int = 5, id_col: str = "vec_id",
         return pd.DataFrame({"query_id": own[i], "vec_id": who, "score": s})
 
     keys = ["dim", "bucket", "shard", "block"]
-    part = q.groupBy(keys).cogroup(cand.groupBy(keys)).applyInPandas(run, "query_id long, vec_id long, score long")
+    part = q.groupBy(*(f"q_{k}" for k in keys)).cogroup(cand.groupBy(keys)).applyInPandas(run, "query_id long, vec_id long, score long")
     line = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return part.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
