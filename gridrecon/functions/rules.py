@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridrecon.functions import text
@@ -24,16 +24,22 @@ def any_token(tokens: Column, name: Column) -> Column:
     return F.exists(tokens, lambda t: F.contains(name, t))
 
 
+def prepared(items: DataFrame) -> DataFrame:
+    """items with name, tokens and unit_norm, made once a row, before any join."""
+    key = F.col("item_key")
+    return items.withColumns({"name": text.item_name(key), "tokens": text.tokens(key), "unit_norm": text.unit(F.col("unit"))})
+
+
 def compare(r: str = "r", e: str = "e") -> dict[str, Column]:
     """status, match_confidence, quantity_difference and unit_mismatch of rows r and e (either may be absent: ord null).
 
-    Each side brings ord, item_key, quantity and unit. Priority: no common token, quantity, unit, name.
+    Each side comes from prepared() and brings ord, quantity, name, tokens and unit_norm. Priority: no common token,
+    quantity, unit, name.
     """
-    rn, en = text.item_name(F.col(f"{r}.item_key")), text.item_name(F.col(f"{e}.item_key"))
-    exact = rn == en
-    overlap = any_token(text.tokens(F.col(f"{r}.item_key")), en)
+    exact = F.col(f"{r}.name") == F.col(f"{e}.name")
+    overlap = any_token(F.col(f"{r}.tokens"), F.col(f"{e}.name"))
     qty = quantity_differs(F.col(f"{r}.quantity"), F.col(f"{e}.quantity"))
-    unit = text.unit(F.col(f"{r}.unit")) != text.unit(F.col(f"{e}.unit"))
+    unit = F.col(f"{r}.unit_norm") != F.col(f"{e}.unit_norm")
     status = (
         F.when(F.col(f"{r}.ord").isNull(), "EXTRA")
         .when(F.col(f"{e}.ord").isNull(), "MISSING")

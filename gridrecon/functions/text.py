@@ -28,11 +28,13 @@ def half_width(x: Column) -> Column:
 
 def full_kana(x: Column) -> Column:
     """Half-width kana as full-width; a voice mark joins the kana before it."""
+    plain = x
     for mark in "ﾞﾟ":
         for k in _KANA:
             if len(joined := unicodedata.normalize("NFKC", k + mark)) == 1:
                 x = F.replace(x, F.lit(k + mark), F.lit(joined))
-    return F.translate(x, _KANA, "".join(unicodedata.normalize("NFKC", k)[0] if k not in "ﾞﾟ" else "゛゜"["ﾞﾟ".index(k)] for k in _KANA))
+    x = F.translate(x, _KANA, "".join(unicodedata.normalize("NFKC", k)[0] if k not in "ﾞﾟ" else "゛゜"["ﾞﾟ".index(k)] for k in _KANA))
+    return F.when(plain.rlike("[\uFF61-\uFF9F]"), x).otherwise(plain)  # most names hold none
 
 
 def name(x: Column) -> Column:

@@ -17,7 +17,7 @@ SIDES = ("item_key", "quantity", "unit")
 
 def positional(req: DataFrame, est: DataFrame) -> DataFrame:
     """Full outer join on the position within a document, with the status of each pair."""
-    r, e = req.alias("r"), est.alias("e")
+    r, e = rules.prepared(req).alias("r"), rules.prepared(est).alias("e")
     joined = r.join(e, (F.col("r.doc") == F.col("e.doc")) & (F.col("r.ord") == F.col("e.ord")), "full_outer")
     out = joined.select(
         F.coalesce("r.doc", "e.doc").alias("doc"), F.coalesce("r.ord", "e.ord").alias("ord"),
