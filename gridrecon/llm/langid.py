@@ -108,7 +108,7 @@ class Parser:
                     break
                 c = own[start[:m] + t]
                 to = table[state[:m] * width + c]
-                broke = to == 0
+                broke = (to == 0) | (state[:m] == 0)  # at the root: the symbol before, known nowhere, was a phrase
                 np.copyto(to, table[c], where=broke)  # a new phrase begins with this symbol
                 count[:m] += broke if t else 0
                 state[:m] = to

@@ -31,7 +31,7 @@ def best_of_bucket(q: np.ndarray, c: np.ndarray, ids: np.ndarray, own: np.ndarra
     Candidates go by falling length, a step at a time. The k-th best so far, over the query's length and the
     longest length left, is the cosine a candidate still needs: over 1, the query is done with the bucket. Where it is
     high, only candidates whose values at the query's largest coordinates can reach it are multiplied; else those long
-    enough are. own: the queries' ids, which are not their own candidates.
+    enough are. own: the queries' ids, which are not their own candidates. Scores of 62 bits or more saturate.
     """
     reach = np.abs(q).max(initial=0).astype(float) * np.abs(c).max(initial=0) * max(1, q.shape[1])
     kind = np.float64 if reach < 2**52 else np.int64 if reach < 2**62 else object
@@ -71,7 +71,8 @@ def best_of_bucket(q: np.ndarray, c: np.ndarray, ids: np.ndarray, own: np.ndarra
                 cols = cols[ok.any(0)]
                 if not len(cols):
                     continue
-            s = (qk[some] @ ck[cols].T).astype(np.int64)
+            s = qk[some] @ ck[cols].T
+            s = (np.clip(s, low + 1, 2**62) if kind is object else s).astype(np.int64)
             s[own[some][:, None] == ids[cols][None]] = low
             s = np.concatenate([score[some], s], 1)
             w = np.concatenate([who[some], np.broadcast_to(ids[cols], (len(some), len(cols)))], 1)

@@ -1,0 +1,188 @@
+"""The operators on Spark: brute force, nulls, ties, repeats, empty tables, clashing columns."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from gridrecon.llm import bpe, common, hnsw, html, langid, mixing, pii, queries, simhash, topk, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, None)[:5] if len(r) == 4 else r for r in rows], DOCS)
+
+
+def classes(pairs, nodes):
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = queries.queries()[name](spark, SF)
+    cols = sorted(got.columns)
+    want = con.sql(f"select {', '.join(cols)} from ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(str, want))
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (7, 8), (2, 2), (11, 3), (8, 7)], "a long, b long")
+    assert {r.node: r.component for r in common.components(e).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 11: 3, 7: 7, 8: 7}
+    assert common.components(e.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group", [simhash.GROUP, 3])
+def test_simhash(spark, group):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    d = d.unionByName(docs(spark, [(9001, None, None, None), (9002, "", None, None), (None, "a b c", None, None), (9003, "a b c", None, None), (9003, "a b c", None, None)]))
+    fps = [(r.doc_id, r.fp % 2**64) for r in simhash.fingerprints(d).collect()]
+    links = simhash.links(simhash.fingerprints(d), group=group)
+    distinct = sorted({f for _, f in fps})
+    near = [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (a ^ b).bit_count() <= 2]
+    want = classes(near, distinct)
+    comp = classes([(r.a % 2**64, r.b % 2**64) for r in links.collect()], distinct)
+    assert comp == want
+    if group == simhash.GROUP:
+        low = {}
+        for i, f in fps:
+            if i is not None:
+                low[want[f]] = min(i, low.get(want[f], i))
+        got = sorted((r.doc_id is None, r.doc_id or 0, int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(d).collect())
+        assert got == sorted((i is None, i or 0, f, low[want[f]]) for i, f in fps)
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_language(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit("clash"))
+    learned = langid.sample(d, common.crc_mod("doc_id", 3) != 1)
+    out = langid.identify(d, learned)
+    assert out.where(common.crc_mod("doc_id", 3) == 1).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
+    odd = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs(spark, [(1, None, "en", "s"), (2, "12 !", "en", "s"), (3, "the of and", None, None)]), learned).collect()}
+    assert odd[1] == odd[2] == ("und", 0.0) and odd[3][0] == "en"
+    assert langid.sample(docs(spark, []), F.lit(True)) == () and langid.identify(docs(spark, [(1, "a", None, None)]), ()).first().lang_pred == "und"
+
+
+def test_pii(spark):
+    text = "Mr. John Smith and Mrs. Smith, a.b@x.com, A.B@x.com, 4111 1111 1111 1111, +1 (017) 555-7713, 10.2.3.4, Г-н Иван Петров, token = \"" + "0a" * 20 + '"'
+    rows = [(1, text, "en", "s"), (2, "again a.b@x.com.", "en", "s"), (3, "nothing here, Mr of 3.14 or 12", "en", "s"), (4, None, None, None), (5, "", "en", "s"), (None, "c@y.org c@y.org d@y.org", None, None)]
+    d = docs(spark, rows + [rows[1]]).withColumn("kinds", F.lit(1))
+    out = [(r.doc_id, r.text, r.n_entities) for r in pii.replace(d, "k").collect()]
+    got = {i: t for i, t, _ in out}
+    assert len(out) == 7 and got[3] == rows[2][1] and got[4] is None and got[5] == ""
+    new = re.fullmatch(r'Mr\. (\w+) (\w+) and Mrs\. (\w+), (\S+@\S+), (\S+@\S+), (\d{4} \d{4} \d{4} \d{4}), (\+1 \(\d{3}\) \d{3}-\d{4}), (\d+\.\d+\.\d+\.\d+), Г-н (\w+) (\w+), token = "([0-9a-f]{40})"', got[1])
+    assert new and new[2] == new[3] != "Smith" and new[4] == new[5] != "a.b@x.com" and new[1] in pii.GIVEN["latin", "m"].split() and new[9] in pii.GIVEN["cyrillic", "m"].split()
+    digits = [int(c) for c in new[6] if c.isdigit()]
+    assert sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(digits[::-1])) % 10 == 0
+    assert got[2] == f"again {new[4]}."
+    a, b, c = got[None].split()
+    assert a == b != c
+    assert pii.replace(docs(spark, []), "k").count() == 0
+
+
+def test_pii_collisions_draw_again(spark):
+    names = spark.createDataFrame([(f"Mr. {chr(65 + i // 26)}{chr(97 + i % 26)}", True) for i in range(60)], "ent string, is_given boolean")
+    out = [r.replacement for r in pii.dictionary(names, "k").collect()]
+    assert len(set(out)) == 60  # more than the given names at hand
+
+
+def test_mixing_budgets(spark):
+    leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 1000), ("a", "y", "1", 5), ("b", None, "1", 1000), ("b", "x", None, 0)], "domain string, lang string, source string, available long")
+    q = {(r.domain, r.lang, r.source): r.quota for r in mixing.budgets(leaves, F.lit(1000), 2, {("a",): 3}).collect()}
+    # a: 750, of which y can use 10 and leaf 1 of x 20; what they leave goes to their siblings; b: 250
+    assert q == {("a", "x", "1"): 20, ("a", "x", "2"): 720, ("a", "y", "1"): 10, ("b", None, "1"): 250, ("b", "x", None): 0}
+    assert sum(r.quota for r in mixing.budgets(leaves, F.lit(10**9), 2).collect()) == 2 * 2015
+
+
+def test_mixing_prefix(spark):
+    rows = [(i, "w " * (i % 7), "en", f"s{i % 2}") for i in range(300)] + [(None, "w", None, None), (900, None, "en", "s0")]
+    out = mixing.select(docs(spark, rows), F.lit("d"), 0.7, 2, 1).collect()
+    total = sum(len((r[1] or "").split()) for r in rows)
+    taken = sum(r.n_tokens * r.copies for r in out)
+    assert 0.6 * total < taken <= 0.7 * total and max(r.copies for r in out) <= 2
+    assert mixing.select(docs(spark, []), F.lit("d"), 0.5).count() == 0
+
+
+def test_bpe(spark):
+    d = docs(spark, [(1, "It's 12 o'clock", "en", "s"), (2, None, None, None), (3, "", "en", "s"), (None, "é" * 3, None, None)]).withColumn("ids", F.lit("clash"))
+    ranks = bpe.read_ranks(spark, queries.RANKS)
+    out = {r.doc_id: r for r in bpe.decode(bpe.encode(d, ranks), ranks).collect()}
+    assert bytes(out[1].decoded) == b"It's 12 o'clock" and out[2].ids == out[3].ids == [] and out[1].offsets == [0, 2, 4, 7, 9, 10, 15]
+    dig = {r.doc_id: r for r in bpe.round_trip(d, ranks).collect()}
+    assert dig[None].decoded_sha256 == hashlib.sha256("ééé".encode()).hexdigest() and dig[2].n_tokens == 0
+    assert bpe.round_trip(docs(spark, []), ranks).count() == 0
+
+
+def test_toxicity(spark):
+    d, y = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    m = toxicity.train(d, y, common.crc_mod("doc_id", 5) != 0)
+    out = toxicity.classify(d, m).join(y, "doc_id").where(common.crc_mod("doc_id", 5) == 0).toPandas()
+    p, n = out[out.toxic == 1].score, out[out.toxic == 0].score
+    assert sum((a > n).sum() for a in p) / (len(p) * len(n)) > 0.8
+    odd = toxicity.classify(docs(spark, [(1, None, None, None), (2, "", None, None), (3, "word", None, None)]), m).collect()
+    assert odd[0].score == odd[1].score and all(0 <= r.score <= 1 for r in odd)
+    assert toxicity.train(docs(spark, []), y, F.lit(True)) is None and toxicity.classify(d.limit(2), None).first().score == 0
+
+
+def test_top_k_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [nan, 1.0]), (4, None), (5, [inf, 1.0]), (6, [None, 1.0]), (50, [0.0, 0.0]), (7, [1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, F.col("vec_id") % 50 == 0, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (50, 1, 0, 0), (50, 2, 1, 0)]
+    assert topk.top_k(v.limit(0), F.lit(True)).count() == 0
+
+
+def test_hnsw_odd_vectors(spark):
+    v = spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.95, 0.1]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [0.0, 2.0]), (7, [0.0, 1.0]), (None, [0.0, 3.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(v).collect())
+    assert got == [(-1, 2, 7, False), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 2, 7, True), (7, 2, 7, True)]
+    assert hnsw.near_duplicates(v.limit(0)).count() == 0
+
+
+def test_warc(spark):
+    p = spark.createDataFrame([(1, "http://a.b/x", "<p>"), (2, "http://a.b/x", "<p>"), (3, None, None), (None, "http://a.b/y", "<p>"), (5, "::[", ""), (2, "http://a.b/x", "<p>")], "page_id long, url string, html string").withColumn("payload", F.lit(1))
+    got = sorted((r.page_id or -1, r.record_type, r.refers_to, r.payload_bytes, bytes(r.payload)) for r in warc.round_trip(p).collect())
+    assert got == [(-1, "response", None, 3, b"<p>"), (1, "revisit", 2, 3, b""), (2, "response", None, 3, b"<p>"), (2, "response", None, 3, b"<p>"), (3, "revisit", 5, 0, b""), (5, "response", None, 0, b"")]
+    assert warc.round_trip(p.limit(0)).count() == 0
+
+
+def test_html_differencing(spark):
+    page = lambda x: f"<body><div>Menu</div><div>Site name</div><p>{x}</p><p>All rights</p></body>"
+    rows = [(i, f"http://h.com/a/{i}", page(f"text {i}")) for i in range(40)] + [(100, "http://h.com/b", "<article><p>Menu</p></article><p>out</p>"), (101, None, None), (102, "http://other.com/", page("alone")), (0, "http://h.com/a/0", page("text 0"))]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = defaultdict(list)
+    for r in html.extract(p).collect():
+        got[r.page_id].append(r.text)
+        assert r.n_chars == len(r.text)
+    assert all(got[i] == [f"text {i}"] * (2 if i == 0 else 1) for i in range(40)) and got[100] == ["Menu"] and got[101] == [""]
+    assert got[102] == ["Menu Site name alone All rights"]
+    assert html.extract(p.limit(0)).count() == 0
+
+
+def test_pipeline(spark):
+    out = corpus_pipeline.run(spark, SF)
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = {k: f for k, f in corpus_pipeline.STAGES}
+    assert stages["SimHash near-dedup"](spark, d, SF).count() == simhash.near_duplicates(d).where("doc_id = component_id").count()
+    mixed = stages["mixing"](spark, d, SF)
+    assert mixed.columns == d.columns and mixed.count() == mixing.select(d, queries.domain(), corpus_pipeline.FRACTION, 2, 7, queries.WEIGHTS).agg(F.sum("copies")).first()[0]
+    assert stages["language ID"](spark, d.unionByName(docs(spark, [(9, "12", "en", "s")])), SF).count() == d.where("text rlike '\\\\p{L}'").count()
+    assert out.count() > 0 and out.where("n_tokens <> size(ids)").count() == 0
