@@ -184,3 +184,18 @@ def item_key(*cells: Column, spec: Column) -> Column:
     """First non-blank of the cells, with the specification behind it."""
     first = F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in cells))
     return F.trim(F.concat_ws(" ", first, F.nullif(F.trim(spec), F.lit(""))))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Characters of a that occur in b, over the longer length; 0 for two empty texts."""
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer > 0, F.size(F.filter(F.split(a, ""), lambda c: (c != "") & F.contains(b, c))) / longer).otherwise(0.0)
+
+
+def longest_reference(row: Column, refs: Column) -> Column:
+    """Of the references those that the row's text holds, the longest, the first of equals; null if none."""
+    t = compact(row)
+    held = F.filter(refs, lambda r: F.contains(t, r))
+    best = F.array_max(F.transform(held, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("at"), r.alias("ref"))))
+    return best["ref"]

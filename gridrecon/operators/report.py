@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STATUSES = ("OK", "QUANTITY_MISMATCH", "UNIT_MISMATCH", "NAME_MISMATCH", "MISSING", "EXTRA")
@@ -44,3 +45,40 @@ def checklist(sections: DataFrame) -> DataFrame:
     body = s.select("section_no", F.posexplode("f").alias("pos", "kv"))
     cells = body.select("section_no", (F.col("pos") + 1).alias("row_no"), F.posexplode(F.array("kv.key", F.coalesce("kv.value", F.lit("Not Found")))).alias("col_no", "value"))
     return head.unionByName(cells)
+
+
+def verdicts(old: DataFrame, new: DataFrame, by: str) -> DataFrame:
+    """by, old_n, new_n, verdict: findings of two ways of reporting, for each value of by."""
+    o, n = (d.groupBy(by).agg(F.count("*").alias(c)) for d, c in ((old, "old_n"), (new, "new_n")))
+    both = o.join(n, by, "full_outer").select(by, F.coalesce("old_n", F.lit(0)).alias("old_n"), F.coalesce("new_n", F.lit(0)).alias("new_n"))
+    return both.withColumn("verdict", F.when(F.col("new_n") < F.col("old_n"), "FIXED").when(F.col("new_n") > F.col("old_n"), "REGRESSION").otherwise("NO_CHANGE"))
+
+
+def match_rate(rows: DataFrame, by: str, hit: Column) -> DataFrame:
+    """Share of hits in percent; 0 where there is no row."""
+    return rows.groupBy(by).agg(F.count("*").alias("total"), F.count_if(hit).alias("matches")).withColumn("rate", F.when(F.col("total") > 0, F.col("matches") * 100.0 / F.col("total")).otherwise(0.0))
+
+
+def examples(results: DataFrame, n: int, by: str, order: list) -> DataFrame:
+    """The first n rows of each status; Spark cuts each partition to n before the shuffle."""
+    return results.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("place") <= n)
+
+
+def longest(rows: DataFrame, by: list, value: str, at: str) -> DataFrame:
+    """The longest value of each group, the first of equals."""
+    return rows.groupBy(*by).agg(F.max_by(value, F.struct(F.length(value), -F.col(at))).alias("longest"))
+
+
+def term_search(rows: DataFrame, value: str, terms: list[str]) -> DataFrame:
+    """A row for each of the terms that value contains."""
+    return rows.withColumn("term", F.explode(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(value, t))))
+
+
+def sheet_counts(rows: DataFrame, sheet: str, ref: str) -> DataFrame:
+    """Subtables and rows of each sheet; rows are counted by subtable before the sheets meet."""
+    return rows.groupBy(sheet, ref).agg(F.count("*").alias("n")).groupBy(sheet).agg(F.count("*").alias("subtables"), F.sum("n").alias("rows"))
+
+
+def without_terms(rows: DataFrame, left: str, right: str, terms: tuple[str, ...]) -> DataFrame:
+    """Rows that bear none of the names on either side; a null is no such name."""
+    return rows.where(~F.coalesce(F.col(left).isin(*terms), F.lit(False)) & ~F.coalesce(F.col(right).isin(*terms), F.lit(False)))

@@ -98,3 +98,31 @@ def first_mismatches(bad: DataFrame) -> DataFrame:
     key = [F.coalesce("item_name", F.lit("")), F.col("level"), F.coalesce("reference_number", "table_number", F.lit(""))]
     w = W.partitionBy("doc", *key).orderBy("seq")
     return bad.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def ancestors(rows: DataFrame) -> DataFrame:
+    """ancestors: seqs of the rows above, from the root down, from one window over rows with level.
+
+    The last row of each smaller level is one if no row of a still smaller level has come since.
+    """
+    w = W.partitionBy("doc").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    last = F.array(*(F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("seq")), ignorenulls=True).over(w)) for k in range(DEPTH)))
+    rising = lambda acc, x: F.when(x > F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)), F.concat(acc, F.array(x))).otherwise(acc)
+    return rows.withColumn("_last", last).withColumn("ancestors", F.aggregate("_last", F.array().cast("array<bigint>"), lambda a, x: rising(a, x.cast("long")))).drop("_last")
+
+
+def nearest_descendant(rows: DataFrame, has: Column) -> DataFrame:
+    """(doc, seq, found): for each row with such rows below it, the first of them breadth first; rows with level, seq from 0."""
+    below = ancestors(rows.withColumn("_has", F.coalesce(has, F.lit(False)))).where("_has").select("doc", F.col("seq").alias("found"), F.posexplode(F.reverse("ancestors")).alias("depth", "seq"))
+    return below.groupBy("doc", "seq").agg(F.min(F.struct("depth", "found")).alias("x")).select("doc", "seq", F.col("x.found").alias("found"))
+
+
+def as_json(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """doc, seq, json: each row as an object; fields without a value are left out."""
+    return rows.select("doc", "seq", F.to_json(F.struct(*columns)).alias("json"))
+
+
+def totals(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """total (rows at level 0), mismatches (unique ones of bad) and verified, which may be negative."""
+    n, m = rows.where("level = 0").agg(F.count("*").alias("total")), first_mismatches(bad).agg(F.count("*").alias("mismatches"))
+    return n.crossJoin(F.broadcast(m)).withColumn("verified", F.col("total") - F.col("mismatches"))  # one row each
