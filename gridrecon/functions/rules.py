@@ -26,8 +26,9 @@ def any_token(tokens: Column, name: Column) -> Column:
 
 def prepared(items: DataFrame) -> DataFrame:
     """items with name, tokens and unit_norm, made once a row, before any join."""
-    key = F.col("item_key")
-    return items.withColumns({"name": text.item_name(key), "tokens": text.tokens(key), "unit_norm": text.unit(F.col("unit"))})
+    key, plain = F.col("item_key"), F.col("_plain")
+    items = items.withColumn("_plain", text.name(key))  # used twice, so Catalyst leaves it a column of its own
+    return items.withColumns({"name": text.item_name(key, plain), "tokens": text.tokens_of(plain), "unit_norm": text.unit(F.col("unit"))}).drop("_plain")
 
 
 def compare(r: str = "r", e: str = "e") -> dict[str, Column]:

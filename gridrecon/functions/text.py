@@ -47,15 +47,19 @@ def name(x: Column) -> Column:
     return x
 
 
-def item_name(x: Column) -> Column:
-    """name() of each part between pipes; empty parts go."""
+def item_name(x: Column, plain: Column | None = None) -> Column:
+    """name() of each part between pipes; empty parts go. plain: name(x) where it has been made before."""
     parts = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), "\\|"), name), lambda p: p != "")
-    return F.when(F.contains(x, F.lit("|")), F.array_join(parts, "|")).otherwise(name(x))
+    return F.when(F.contains(x, F.lit("|")), F.array_join(parts, "|")).otherwise(name(x) if plain is None else plain)
 
 
 def tokens(x: Column) -> Column:
     """Distinct character pairs and digit or non-digit runs of two or more of the name; one character has none."""
-    n = name(x)
+    return F.element_at(F.transform(F.array(name(x)), tokens_of), 1)  # the name is made once, not for every pair
+
+
+def tokens_of(n: Column) -> Column:
+    """tokens() of a name that has been made before."""
     pairs = F.when(F.length(n) >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.length(n), F.lit(2)) - 1), lambda i: F.substring(n, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     runs = F.filter(F.regexp_extract_all(n, F.lit("(?U)\\d+|\\D+"), F.lit(0)), lambda p: F.length(p) >= 2)
     return F.array_sort(F.array_union(pairs, runs))

@@ -36,10 +36,7 @@ def greedy(req: DataFrame, est: DataFrame) -> DataFrame:
     """
 
     def prepared(df, side):
-        return df.select(
-            "doc", text.ref_key(F.col("ref")).alias("key"), F.lit(side).alias("side"), "ord",
-            text.item_name(F.col("item_key")).alias("name"), text.tokens(F.col("item_key")).alias("tokens"),
-        )
+        return rules.prepared(df).select("doc", text.ref_key(F.col("ref")).alias("key"), F.lit(side).alias("side"), "ord", "name", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by group, requested before estimated, each in order."""
