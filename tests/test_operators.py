@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridrecon.functions import text
-from gridrecon.operators import grid, match, report, session, spec, tree
+from gridrecon.operators import blocks, grid, match, report, session, spec, tree
 from gridrecon.sources import xlsx
 from gridrecon.streaming import limiter
 
@@ -135,3 +135,58 @@ def test_xlsx(spark, tmp_path):
 def test_text_helpers(spark):
     df = spark.createDataFrame([("第3号明 明3号 内１号",)], "t string")
     assert df.select(text.references(F.col("t")).alias("r")).first().r == ["第3号明", "明3号", "内1号"]
+
+
+def sheet(spark, kinds):
+    return spark.createDataFrame([(1, i, k) for i, k in enumerate(kinds)], "doc long, row int, k string")
+
+
+def test_table_blocks_follow_a_state_machine(spark):
+    import random
+
+    rng = random.Random(3)
+    kinds = [rng.choice("rhtx") for _ in range(400)]
+    want, block = [], None
+    for i, k in enumerate(kinds):
+        if block is None and k == "r" and "h" in kinds[i + 1 : i + 4]:
+            block = i + 1
+        want.append(block)
+        if k == "t":
+            block = None
+    got = blocks.table_blocks(sheet(spark, kinds), ["doc"], ["row"], F.col("k") == "r", F.col("k") == "h", F.col("k") == "t")
+    assert [r.block for r in got.orderBy("row").collect()] == want
+
+
+def test_sheet_blocks(spark):
+    kinds = ["r", "r", "x", "a", "b", "t", "c", "r", "x", "x", "d", "r", "x", "x", "t", "r", "x", "x", "e"]
+    got = blocks.sheet_blocks(sheet(spark, kinds), ["doc"], ["row"], F.when(F.col("k") == "r", "内1号"), F.col("k") == "t", F.col("k") != "b")
+    assert [(r.k, r.ref) for r in got.orderBy("row").collect()] == [("a", "内1号"), ("d", "内1号-2"), ("e", "内1号-3")]
+    assert blocks.sheet_blocks(sheet(spark, kinds).limit(0), ["doc"], ["row"], F.col("k"), F.lit(False), F.lit(True)).count() == 0
+
+
+def test_table_titles(spark):
+    kinds = ["s1", "s2", "s3", "r", "n", "s4", "r", "n", "r", "s5", "n", "r", "n", "s6"]
+    k = F.col("k")
+    got = blocks.table_titles(sheet(spark, kinds), ["doc"], ["row"], k == "r", k == "n", F.when(k.startswith("s"), k))
+    assert [r.title for r in got.orderBy("row").collect()] == ["s2", "s4", "s5", "s6"]
+
+
+def test_row_pairs_skip_what_they_took_in(spark):
+    rows = spark.createDataFrame([(1, i, c, v) for i, (c, v) in enumerate([(True, "a"), (True, "b"), (True, "c"), (True, ""), (False, "e"), (True, None), (True, "g")])], "doc long, row int, c boolean, v string")
+    got = blocks.row_pairs(rows, ["doc"], ["row"], F.col("c"), ["v"]).orderBy("row").collect()
+    assert [(r.row, r.v, r.rows) for r in got] == [(0, "b", 2), (2, "c", 2), (4, "e", 2), (6, "g", 1)]
+
+
+def test_descendants_breadth_first(spark):
+    rows = spark.createDataFrame([(1, i, lv, h) for i, (lv, h) in enumerate([(0, False), (1, False), (2, True), (1, True), (0, False), (2, False), (1, True)])], "doc long, seq long, level int, h boolean")
+    assert {(r.seq, r.found) for r in tree.nearest_descendant(rows, F.col("h")).collect()} == {(0, 3), (1, 2), (4, 6)}
+
+
+def test_reports(spark):
+    a = spark.createDataFrame([(1,), (1,), (2,), (3,)], "doc long")
+    b = spark.createDataFrame([(1,), (2,), (4,)], "doc long")
+    assert {r.doc: r.verdict for r in report.verdicts(a, b, "doc").collect()} == {1: "FIXED", 2: "NO_CHANGE", 3: "FIXED", 4: "REGRESSION"}
+    t = spark.createDataFrame([("x", "内1号", None)], "left string, right string, none string")
+    assert report.without_terms(t, "left", "none", ("y",)).count() == 1 and report.without_terms(t, "none", "left", ("x",)).count() == 0
+    row = t.select(text.longest_reference(F.lit("x 第1号明 内1号"), F.array(F.lit("内1号"), F.lit("第1号明"), F.lit("単2号"))).alias("r"), text.similarity(F.lit("abz"), F.lit("bacd")).alias("s")).first()
+    assert row.r == "第1号明" and row.s == 0.5
