@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrecon.llm import bpe, langid, mixing, pii, simhash
+from gridrecon.llm import bpe, copies, langid, mixing, pii
 from gridrecon.llm.common import new_path
 from gridrecon.llm.queries import EPOCHS, PII_KEY, RANKS, SEED, WEIGHTS, domain
 
@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.one_of_each(docs).select(*COLUMNS)
+    """Of each group of near-duplicates (0.8 of their five-word shingles in common) the document with the smallest id stays."""
+    return copies.one_of_each(docs).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
