@@ -29,8 +29,13 @@ VOWELS = {"latin": "aeioaeiuaeioaeuo", "cyrillic": "аеиоуаеиоуаеио
 ENDINGS = {("latin", "m"): "n", ("latin", "f"): "a", ("cyrillic", "m"): "н", ("cyrillic", "f"): "а", ("greek", "m"): "ος", ("greek", "f"): "α"}
 
 _ANY = "|".join(TITLES.values())
-_NAME = r"\p{Lu}[\p{Ll}'’-]+"
-_TITLE = rf"(?<![\p{{L}}\p{{N}}])(?=[{''.join(sorted({t[0] for t in _ANY.split('|')}))}])(?:{_ANY})\.? "
+#: A name begins with a capital and may hold more, hyphens and apostrophes; a possessive s is not part of it.
+_NAME = r"\p{Lu}(?:[\p{L}\p{M}]|['’-](?=\p{L})(?!s(?!\p{L})))++"
+#: What may stand before a name and stays: lower-case particles and initials.
+_BEFORE = r"(?:(?:von|vom|van|vander|der|den|de|la|le|las|los|du|da|das|dos|do|di|dei|del|della|des|zu|zum|zur|ter|ten|te|af|av|al|el|bin|ibn|y|e) |d['’]|\p{Lu}\. ?)*"
+_TITLES = rf"(?:(?:{_ANY})\.? )+"
+_TITLE = rf"(?<![\p{{L}}\p{{N}}])(?=[{''.join(sorted({t[0] for t in _ANY.split('|')}))}]){_TITLES}{_BEFORE}"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Patterns in order of precedence; each starts at a place where no run of its own characters is under way.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -38,14 +43,18 @@ KINDS = {
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*[0-9])(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\p{{L}}\p{{N}}:])",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\d-])",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?!\d)"
-    r"|(?<![\p{L}\p{N}(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
-    "given": rf"{_TITLE}{_NAME}(?= \p{{Lu}}\p{{Ll}})",
-    "family": rf"{_TITLE}{_NAME}|(?<= )(?=\p{{Lu}})(?<=(?:{_ANY})\.? \p{{Lu}}[\p{{Ll}}'’-]{{1,30}} ){_NAME}",
+    r"|(?<![\p{L}\p{N}(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
+    # national, with a trunk 0: 9 to 12 digits in groups, no date
+    r"|(?<![\p{L}\p{N}.,:+/(-])(?=\(?0[1-9])(?!0[1-9][./ -]\d{2}[./ -](?:19|20)\d{2}(?!\d))(?=(?:[ /.()-]{0,3}\d){9,12}(?![ /.-]?\d))\(?0[1-9]\d{0,4}\)?(?:(?: ?[/–-] ?|[ .])\d{2,8}){1,5}(?!\d)",
+    "name": rf"{_TITLE}{_NAME}(?: {_BEFORE}{_NAME})*+",
 }
-#: Group 1 holds what matched as a given name.
-PATTERN = "|".join(f"({p})" if k == "given" else p for k, p in KINDS.items())
+#: Group 1 holds what matched as a title with names.
+PATTERN = "|".join(f"({p})" if k == "name" else p for k, p in KINDS.items())
+#: Each name of such a match, the first with its title.
+PIECE = rf"(?:^{_TITLES}{_BEFORE})?{_NAME}"
 #: What any match holds: a cheap first look.
 HINT = rf"[0-9@]|{_TITLE}\p{{Lu}}"
 
@@ -63,20 +72,21 @@ def _units(ents: DataFrame) -> DataFrame:
     ent = F.col("ent")
     kind = F.when(F.col("is_given"), "given")
     for k, p in KINDS.items():
-        if k not in ("given", "family"):
+        if k != "name":
             kind = kind.when(ent.rlike(f"^(?:{p})$"), k)
     df = ents.withColumn("kind", kind.otherwise("family"))
-    title = F.regexp_extract(ent, rf"^({_ANY})\.? ", 1)
+    title = F.regexp_extract(ent, rf"^{_TITLES}", 0)
     gender = F.lit("n")
     for g in ("m", "f"):
-        gender = F.when(title.rlike(f"^(?:{TITLES[g]})$"), g).otherwise(gender)
-    name = F.regexp_replace(ent, rf"^(?:{_ANY})\.? ", "")
+        gender = F.when(title.rlike(rf"(?<!\p{{L}})(?:{TITLES[g]})\.? "), g).otherwise(gender)
+    name = F.regexp_replace(ent, rf"^{_TITLES}{_BEFORE}", "")
     df = df.withColumn("gender", F.when(F.col("kind") == "given", gender).otherwise("n")).withColumn("name", name)
     canon = (
         F.when(F.col("kind") == "email", F.lower(ent))
         .when(F.col("kind") == "secret", F.lower(ent))
         .when(F.col("kind") == "iban", F.regexp_replace(ent, " ", ""))
         .when(F.col("kind") == "ip", ent)
+        .when(F.col("kind") == "ipv6", F.lower(ent))
         .when(F.col("kind") == "given", F.concat("gender", F.lit(":"), "name"))
         .when(F.col("kind") == "family", F.col("name"))
         .otherwise(_digits(ent))
@@ -169,6 +179,7 @@ def _surrogate(key: str) -> Column:
         .when(kind == "secret", F.substring(h, F.lit(1), F.length(canon)))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(3), F.length(canon)), h)))
         .when(kind == "ip", ip)
+        .when(kind == "ipv6", F.concat_ws(":", *(F.substring(h, 4 * i + 1, 4) for i in range(8))))
         .when(kind == "given", F.concat("gender", F.lit(":"), given))
         .when(kind == "family", _syllables(h, script))
         .when((kind == "card") & (_luhn(canon) == 0), luhn)
@@ -186,7 +197,7 @@ def _render() -> Column:
     return (
         F.when(kind.isin("email", "secret"), F.when(upper, F.upper(sur)).otherwise(sur))
         .when(kind == "iban", grouped)
-        .when(kind == "ip", sur)
+        .when(kind.isin("ip", "ipv6"), sur)
         .when(kind == "given", F.concat(title, F.substring(sur, F.lit(3), F.length(sur))))
         .when(kind == "family", F.concat(title, sur))
         .otherwise(_fill(ent, sur))
@@ -220,8 +231,8 @@ def dictionary(ents: DataFrame, key: str, attempts: int = 40) -> DataFrame:
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with text_col rewritten and n_entities, kinds (array of kinds found) added (columns of these names are replaced).
 
-    E-mail addresses, secrets, IBANs, social security numbers, IPv4 addresses, card or account numbers, telephone
-    numbers and names after a title are exchanged for keyed surrogates: one entity has one surrogate everywhere,
+    E-mail addresses, secrets, IBANs, social security numbers, IP addresses, card or account numbers, telephone
+    numbers (international, US, or national with a leading 0) and all names after a title (not its initials and particles) are exchanged for keyed surrogates: one entity has one surrogate everywhere,
     different entities have different ones. Rows without a match, null and empty texts come through as they are with
     n_entities 0. Repeated rows stay; an empty table gives an empty table. A null key or other columns don't matter.
     """
@@ -229,10 +240,17 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     text = F.col(text_col)
     has = F.coalesce(text.rlike(HINT) & text.rlike(PATTERN), F.lit(False))
     hits = docs.where(has).withColumn("_found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    hits = hits.withColumn("_given", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1)))
+    hits = hits.withColumn("_named", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1)))
     hits = hits.withColumn("_between", F.split(text, PATTERN, -1)).withColumn("_row", F.monotonically_increasing_id())
+    # of a title with several names each name is an entity, and what stands between them stays
+    hits = hits.withColumn("_pieces", F.zip_with("_found", "_named", lambda f, n: F.when(n != "", F.regexp_extract_all(f, F.lit(PIECE), F.lit(0))).otherwise(F.array(f))))
+    inner = F.zip_with("_found", "_pieces", lambda f, p: F.when(F.size(p) > 1, F.slice(F.split(f, PIECE, -1), 2, F.size(p) - 1)).otherwise(F.array().cast("array<string>")))
+    after = F.zip_with(inner, F.slice("_between", 2, F.size("_found")), lambda i, b: F.concat(i, F.array(b)))
+    hits = hits.withColumn("_between", F.concat(F.slice("_between", 1, 1), F.flatten(after)))
+    hits = hits.withColumn("_given", F.flatten(F.transform("_pieces", lambda p: F.transform(p, lambda _, i: (i == 0) & (F.size(p) > 1)))))
+    hits = hits.withColumn("_found", F.flatten("_pieces")).drop("_named", "_pieces")
     hits = written(hits, "hits")
-    each = F.array_distinct(F.arrays_zip(F.col("_found").alias("ent"), F.transform("_given", lambda g: g != "").alias("is_given")))
+    each = F.array_distinct(F.arrays_zip(F.col("_found").alias("ent"), F.col("_given").alias("is_given")))
     pairs = hits.select("_row", F.explode(each).alias("x")).select("_row", F.col("x.ent").alias("ent"), F.col("x.is_given").alias("is_given"))
     words = dictionary(pairs.select("ent", "is_given").distinct(), key)
     of_row = pairs.join(words, ["ent", "is_given"]).groupBy("_row").agg(
@@ -240,7 +258,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         F.sort_array(F.collect_set("kind")).alias("kinds"),
     )
     done = hits.join(of_row, "_row")
-    new = F.zip_with("_found", "_given", lambda e, g: F.col("_map")[F.concat((g != "").cast("string"), F.lit(":"), e)])
+    new = F.zip_with("_found", "_given", lambda e, g: F.col("_map")[F.concat(g.cast("string"), F.lit(":"), e)])
     new = F.array_join(F.flatten(F.zip_with("_between", new, lambda b, r: F.array(b, F.coalesce(r, F.lit(""))))), "")
     done = done.withColumn(text_col, new).withColumn("n_entities", F.size("_found").cast("long"))
     rest = docs.where(~has).withColumn("n_entities", F.lit(0).cast("long")).withColumn("kinds", F.array().cast("array<string>"))

@@ -1,8 +1,10 @@
 """What the review of round 1 found missing."""
 
 import random
+import re
 
 import corpus_pipeline
+from gridrecon.llm import pii
 
 from test_operators import classes, docs
 
@@ -28,3 +30,25 @@ def test_pipeline_finds_edited_copies(spark):
     got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(spark, rows), "").collect()]
     assert sorted(i for i in got if i is not None) == sorted(i for i in sets if want[i] == i)
     assert got.count(None) == 1
+
+
+def test_pii_names_of_many_forms(spark):
+    texts = {
+        1: "Mrs. Smith-Jones came.", 2: "Mr McDonald's car", 3: "Mr O'Neill", 4: "Mr John Paul Smith left", 5: "Herr von Braun, Herr Dr. Ludwig van Beethoven",
+        6: "Mr " + "A" + "b" * 40 + " Winter ran", 7: "Mr Smith and Mr J. Smith.", 8: "from 2001:db8::7:1 and fe80:0:0:0:1:2:3:4, at 12:30:45 std::vector",
+        9: "Tel. 030 12345678, 0171/2345678, (089) 1234567, on 01.02.2020 and 05-12-2021", 10: "Mr. Smith",
+    }
+    d = docs(spark, [(i, t, "en", "s") for i, t in texts.items()])
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.replace(d, "k").collect()}
+    forms = {
+        1: r"Mrs\. (\w+) came\.", 2: r"Mr (\w+)'s car", 3: r"Mr (\w+)", 4: r"Mr (\w+) (\w+) (\w+) left", 5: r"Herr von (\w+), Herr Dr\. (\w+) van (\w+)", 6: r"Mr (\w+) (\w+) ran",
+        7: r"Mr (\w+) and Mr J\. (\w+)\.", 8: r"from ([0-9a-f:]{39}) and ([0-9a-f:]{39}), at 12:30:45 std::vector",
+        9: r"Tel\. (\d{3} \d{8}), (\d{4}/\d{7}), (\(\d{3}\) \d{7}), on 01\.02\.2020 and 05-12-2021", 10: r"Mr\. (\w+)",
+    }
+    new = {}
+    for i, form in forms.items():
+        m = re.fullmatch(form, got[i][0])
+        assert m and got[i][1] == len(m.groups()), got[i]
+        assert not set(m.groups()) & set(re.findall(r"\w+", texts[i])), got[i]
+        new[i] = m.groups()
+    assert new[7] == (new[10][0],) * 2 and new[4][2] == new[10][0]
