@@ -67,7 +67,8 @@ def best_of_bucket(q: np.ndarray, c: np.ndarray, ids: np.ndarray, own: np.ndarra
                     a = np.take_along_axis(unit_q[some], top[:, f : f + 1], 1)
                     slack = np.sqrt(np.maximum(0, (1 - a * a) * (1 - t * t))) + 1e-9
                     x = unit_c[part].T[top[:, f]]
-                    ok &= (x >= a * t - slack) & ((x <= a * t + slack) | (a * a > t * t))
+                    past = a * a > t * t  # the range of x reaches the end, 1 or -1, on the side of a
+                    ok &= ((x >= a * t - slack) | (past & (a < 0))) & ((x <= a * t + slack) | (past & (a > 0)))
                 cols = cols[ok.any(0)]
                 if not len(cols):
                     continue

@@ -3,8 +3,11 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from gridrecon.llm import pii
+from gridrecon.llm import pii, topk
 
 from test_operators import classes, docs
 
@@ -52,3 +55,14 @@ def test_pii_names_of_many_forms(spark):
         assert not set(m.groups()) & set(re.findall(r"\w+", texts[i])), got[i]
         new[i] = m.groups()
     assert new[7] == (new[10][0],) * 2 and new[4][2] == new[10][0]
+
+
+@pytest.mark.parametrize("sign", [-1, 1])
+def test_top_k_with_one_dominant_coordinate(sign):
+    q = np.array([[sign * 950, 312]])
+    c = np.array([[sign * 972_000, -235_000]] * 600 + [[sign * 990_000, 141_000]] * 7)  # cosines 0.85 and 0.985
+    c[:512, 0] += sign * np.arange(500, 1012)  # the first step holds none of the seven
+    ids = np.arange(len(c))
+    exact = (q @ c.T)[0]
+    _, who, s = topk.best_of_bucket(q, c, ids, np.array([-1]), 5)
+    assert list(zip((-s).tolist(), who.tolist())) == sorted(zip((-exact).tolist(), ids.tolist()))[:5]
