@@ -30,7 +30,7 @@ HEADERS = re.compile(r"^(?:header|banner|site-header|page-header)$")
 
 
 def lines(page: str | None) -> tuple[list[tuple[str, bool, bool]], bool]:
-    """([(text, in an article, in an element that is no main text)], whether there is an article).
+    """([(text, in an article, in an element that is no main text)], whether articles hold at least half of the text outside such elements).
 
     A line is a block: text between tags other than inline ones, references decoded, white space made one space.
     """
@@ -38,7 +38,7 @@ def lines(page: str | None) -> tuple[list[tuple[str, bool, bool]], bool]:
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, article, dropped
     out: list[tuple[str, bool, bool]] = []
     buf: list[str] = []
-    article = dropped = found = False
+    article = dropped = False
 
     def flush():
         if buf:
@@ -103,11 +103,11 @@ def lines(page: str | None) -> tuple[list[tuple[str, bool, bool]], bool]:
             gone = False
         if (here and not article) or (gone and not dropped):
             flush()
-        article, dropped = article or (here and not dropped), dropped or gone
-        found |= article
+        article, dropped = article or (here and not gone and not dropped), dropped or gone
         stack.append((name, article, dropped))
     flush()
-    return out, found
+    within = sum(len(t) for t, inside, gone in out if inside and not gone)
+    return out, 0 < within >= sum(len(t) for t, inside, gone in out if not inside and not gone)
 
 
 def common(a: list[int], b: list[int]) -> list[int]:
@@ -179,7 +179,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every row of pages (page_id, url, html).
 
     Blocks in elements that are no main text by name, class, id or role (menus, headers, footers, asides, notices,
-    adverts, forms, comments) go. Where a page has an article (or main) element its other blocks are the text. Every
+    adverts, forms, comments) go. Where articles (or main) hold at least half of the text kept, other blocks go. Every
     page is also aligned, by the longest common subsequence of block hashes outside articles, with the page of its host
     whose URL is nearest; blocks shared with it are template and go, unless an article holds them: articles may
     quote each other. Null or empty html: empty text; a null or only URL of a host has no partner; repeated ids

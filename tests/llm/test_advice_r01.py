@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gridrecon.llm import pii, topk
+from gridrecon.llm import html, pii, topk
 
 from test_operators import classes, docs
 
@@ -66,3 +66,14 @@ def test_top_k_with_one_dominant_coordinate(sign):
     exact = (q @ c.T)[0]
     _, who, s = topk.best_of_bucket(q, c, ids, np.array([-1]), 5)
     assert list(zip((-s).tolist(), who.tolist())) == sorted(zip((-exact).tolist(), ids.tolist()))[:5]
+
+
+def test_html_articles_that_are_no_main_text(spark):
+    plain = "<div><p>Main text of the page in plain blocks.</p><p>And more of it.</p></div>"
+    pages = [
+        (1, "http://a.com/", f"<body>{plain}<article class='comment'>I agree</article></body>"),
+        (2, "http://b.com/", f"<body>{plain}<article><p>Teaser</p></article></body>"),
+        (3, "http://c.com/", "<body><article><p>A long main text in its article.</p></article><p>out</p></body>"),
+    ]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Main text of the page in plain blocks. And more of it.", 2: "Main text of the page in plain blocks. And more of it. Teaser", 3: "A long main text in its article."}
