@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridrecon.llm.common import components, written
-from gridrecon.llm.simhash import GrayIndex, gray_rank
+from gridrecon.llm.simhash import GrayTree, gray_rank
 
 WIDTH, SIMILARITY = 5, 0.8
 #: A similarity of 0.8 is an angle of 0.48: a bit differs with probability 0.15, more than 24 of 64 with about 1e-6.
@@ -95,7 +95,7 @@ def _meet(first: bool):
             near = np.bitwise_count(f[i] ^ f[j]) <= RADIUS
             yield s[i[near]], s[j[near]]
         elif (c != c[0]).any():
-            for i, j in GrayIndex(f).pairs(RADIUS):
+            for i, j in GrayTree(f).pairs(f, RADIUS):
                 other = c[i] != c[j]
                 yield s[i[other]], s[j[other]]
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,8 @@ from gridrecon.llm.common import components, written
 
 FANOUT = 16
 BITS = 2
-#: Groups with more fingerprints than this are cut further by the bits in which they may still differ.
-GROUP = 4096
+#: Distinct fingerprints of one range: a 64th of all, between these bounds (a task holds one range and its tree).
+RANGE, MOST = 4_096, 1 << 18
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -56,43 +56,54 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return r
 
 
-class GrayIndex:
-    """A tree over fingerprints in Gray order. A node keeps the bits all below it share, less those its parent has.
+def rank_column(fp: Column) -> Column:
+    """gray_rank of a signed long, its highest bit turned so that signed order is the order of ranks."""
+    for s in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
+
 
-    A search adds up, from the root down, the differences in each node's own shared bits, and leaves a whole
-    subtree as soon as the sum exceeds the limit.
+class GrayTree:
+    """A tree over items in Gray order, each a set of fingerprints given by the bits set in all (low) and in any (high).
+
+    A node keeps the bits all below it share, less those its parent has. A search adds up, from the root down, the
+    differences in each node's own shared bits, and leaves a whole subtree as soon as the sum exceeds the limit.
+    Items that are single fingerprints share all bits, so there the sum is the Hamming distance.
     """
 
-    def __init__(self, fp: np.ndarray):
-        self.fp = fp[np.argsort(gray_rank(fp), kind="stable")]
-        low = high = self.fp
-        self.levels = []
-        while True:
+    def __init__(self, low: np.ndarray, high: np.ndarray | None = None):
+        high = low if high is None else high
+        levels = [(low, ~(low ^ high))]
+        while len(low) > 1:
             starts = np.arange(0, len(low), FANOUT)
             low, high = np.bitwise_and.reduceat(low, starts), np.bitwise_or.reduceat(high, starts)
-            self.levels.append([low, ~(low ^ high)])
-            if len(low) == 1:
-                break
-        self.levels.reverse()
-        self.levels[0].append(self.levels[0][1])
-        for above, level in zip(self.levels, self.levels[1:]):
-            level.append(level[1] & ~np.repeat(above[1], FANOUT)[: len(level[1])])
-
-    def pairs(self, bits: int = BITS, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs i < j (in Gray order) that differ in at most bits places, a block of queries at a time."""
-        for at in range(0, len(self.fp), chunk):
-            i = np.arange(at, min(at + chunk, len(self.fp)))
-            node, far = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
-            for k, (low, _, own) in enumerate(self.levels):
-                far = far + np.bitwise_count((self.fp[i] ^ low[node]) & own[node])
-                i, node, far = (x[far <= bits] for x in (i, node, far))
-                below = len(self.levels[k + 1][0]) if k + 1 < len(self.levels) else len(self.fp)
-                node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+            levels.append((low, ~(low ^ high)))
+        levels.reverse()
+        self.levels = [levels[0]] + [(lo, mask & ~np.repeat(up, FANOUT)[: len(mask)]) for (_, up), (lo, mask) in zip(levels, levels[1:])]
+
+    def search(self, q: np.ndarray, bits: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, item) pairs whose summed difference is at most bits; items before the query's first are left out."""
+        i, node, far = np.arange(len(q)), np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        size = FANOUT ** (len(self.levels) - 1)
+        for k, (low, own) in enumerate(self.levels):
+            if k:
                 i, far = np.repeat(i, FANOUT), np.repeat(far, FANOUT)
-                there = node < below
-                i, node, far = i[there], node[there], far[there]
-            near = (node > i) & (np.bitwise_count(self.fp[i] ^ self.fp[node]) <= bits)
-            yield i[near], node[near]
+                node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                size //= FANOUT
+            there = node < len(low)
+            if first is not None:
+                there &= (node + 1) * size > first[i]
+            i, node, far = i[there], node[there], far[there]
+            far = far + np.bitwise_count((q[i] ^ low[node]) & own[node])
+            i, node, far = (x[far <= bits] for x in (i, node, far))
+        return i, node
+
+    def pairs(self, fp: np.ndarray, bits: int, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs i < j of the items, which are the fingerprints fp, that differ in at most bits places, a block of queries at a time."""
+        for at in range(0, len(fp), chunk):
+            n = np.arange(at, min(at + chunk, len(fp)))
+            i, j = self.search(fp[n], bits, n + 1)
+            yield n[i], j
 
 
 def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -108,99 +119,79 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = deeper
 
 
-def _links(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group; of each group leave a forest that spans its links."""
-        rest_g, rest_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def forest(g, f):
-            cut = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
-            out = [np.zeros((0, 2), np.uint64)]
-            for a, b in zip(cut[:-1], cut[1:]):
-                if b - a > 1:
-                    index = GrayIndex(f[a:b])
-                    label = np.arange(b - a)
-                    for i, j in index.pairs(bits):
-                        label = unite(label, i, j)
-                    kids = np.flatnonzero(label != np.arange(b - a))
-                    out.append(np.c_[index.fp[kids], index.fp[label[kids]]])
-            e = np.concatenate(out).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+def _forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Edges (fingerprints) that span the same components as (a, b)."""
+    nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = unite(np.arange(len(nodes)), where[: len(a)], where[len(a) :])
+    kids = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[kids].view(np.int64)), pa.array(nodes[label[kids]].view(np.int64))], ["a", "b"])
 
-        for batch in batches:
-            g = np.concatenate([rest_g, batch.column(0).to_numpy(zero_copy_only=False)])
-            f = np.concatenate([rest_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(g):
-                continue
-            other = np.flatnonzero(g != g[-1])
-            last = other[-1] + 1 if len(other) else 0
-            rest_g, rest_f = g[last:], f[last:]
-            if last:
-                yield forest(g[:last], f[:last])
-        if len(rest_g):
-            yield forest(rest_g, rest_f)
 
-    return run
+def _numbers(b: pa.RecordBatch, *columns: str) -> list[np.ndarray]:
+    return [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
 
 
-def _field(x: Column, at: int, width: int) -> Column:
-    return F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1))
-
-
-def _cut(x: Column, widths: list[int], keep: int) -> list[tuple[Column, Column, int]]:
-    """For each choice of keep of the fields: (number of the choice with the fields' bits, the other bits, how many)."""
-    at, fields = 0, []
-    for w in widths:
-        fields.append((_field(x, at, w), w))
-        at += w
-
-    def pack(some):
-        v, n = F.lit(0).cast("long"), 0
-        for f, w in some:
-            v, n = v.bitwiseOR(F.shiftleft(f, n)), n + w
-        return v, n
+def _search(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by range, first its fingerprints in Gray order, then those that ask; one range is held at a time."""
+        at, held, rank, tree = None, [], None, None
+        for batch in batches:
+            n, kind, fp, r = _numbers(batch, "range", "kind", "fp", "rank")
+            fp = fp.view(np.uint64)
+            cut = np.flatnonzero(np.r_[True, (n[1:] != n[:-1]) | (kind[1:] != kind[:-1]), True])
+            for a, z in zip(cut[:-1], cut[1:]):
+                if kind[a] == 0:
+                    if n[a] != at:
+                        at, held, tree = n[a], [], None
+                    held.append((fp[a:z], r[a:z]))
+                    continue
+                if tree is None:
+                    items, rank = (np.concatenate(x) for x in zip(*held))
+                    tree = GrayTree(items)
+                for s in range(a, z, 1024):
+                    q, own = fp[s : min(s + 1024, z)], r[s : min(s + 1024, z)]
+                    i, j = tree.search(q, bits)
+                    later = rank[j] > own[i]
+                    if later.any():
+                        yield _forest(q[i[later]], items[j[later]])
 
-    out = []
-    for k, some in enumerate(combinations(range(len(widths)), keep)):
-        key, n = pack([fields[i] for i in some])
-        rest, m = pack([fields[i] for i in range(len(widths)) if i not in some])
-        out.append((F.lit(k << n).cast("long").bitwiseOR(key), rest, m))
-    return out
+    return run
 
 
-def links(fps: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct fingerprints within bits (at most 2) places.
+def links(fps: DataFrame, bits: int = BITS, most: int | None = None) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of distinct fingerprints that differ in at most bits places.
 
-    Of four 16-bit fields two agree in any such pair, so rows meet by six exact 32-bit keys. A group of more than
-    group rows is dealt again by thirds of the bits left (one third agrees), and once more, after which at
-    most 2^15 distinct fingerprints can share a key; no row is dropped at any level.
+    Distinct fingerprints are sorted by Gray rank into ranges of about equal size. The bits that all of a range share
+    form the leaves of an upper tree (an entry per range, so at most 64 or n / MOST entries reach driver and tasks), through which
+    every fingerprint finds the ranges that can hold partners of higher rank; there a tree over the range's own
+    fingerprints finds them. No more than 2,081 distinct fingerprints lie within two bits of one, so no answer is large.
     """
-    if not 0 <= bits <= 2:
-        raise ValueError("bits must be 0, 1 or 2")
-    fp = fps.select("fp").distinct()
-
-    def deal(df, widths, keep):
-        cuts = _cut(F.col("rest"), widths, keep)
-        pick = F.explode(F.array(*(F.struct(k.alias("k"), r.alias("r")) for k, r, _ in cuts)))
-        out = df.select("fp", "key", pick.alias("x"))
-        return out.select("fp", F.concat("key", F.array("x.k")).alias("key"), F.col("x.r").alias("rest"))
-
-    rows = deal(fp.select("fp", F.array().cast("array<long>").alias("key"), F.col("fp").alias("rest")), [16] * 4, 2)
-    found = None
-    # the fields of the bits left: 32 after the first deal, 20 to 22 after the second, at most 15 after the third
-    for widths in ([10, 11, 11], [7, 7, 8], None):
-        hot = None
-        if widths:
-            hot = rows.groupBy("key").count().where(F.col("count") > group).select("key")
-            hot = None if hot.isEmpty() else written(hot, "hot")
-        own = rows.join(hot, "key", "left_anti") if hot is not None else rows
-        own = own.select(F.xxhash64("key").alias("g"), F.col("fp").alias("f"))
-        e = own.repartition("g").sortWithinPartitions("g", "f").mapInArrow(_links(bits), "a long, b long")
-        found = e if found is None else found.unionByName(e)
-        if hot is None:
-            break
-        rows = deal(written(rows.join(hot, "key", "left_semi"), "again"), widths, 1)
-    return found
+    spark = fps.sparkSession
+    ranked = written(fps.select("fp").distinct().withColumn("rank", rank_column(F.col("fp"))), "ranked")
+    n = ranked.count()
+    ranges = -(-n // (most or min(max(n // 64, RANGE), MOST))) or 1
+    ranked = written(ranked.repartitionByRange(ranges, "rank").sortWithinPartitions("rank").withColumn("range", F.spark_partition_id()), "ranges")
+    masks = ranked.groupBy("range").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high"))
+    top = sorted((r.range, r.low, r.high) for r in masks.collect())
+    name = np.array([r for r, _, _ in top], np.int32)
+    low, high = (np.array([r[k] for r in top], np.int64).view(np.uint64) for k in (1, 2))
+    shipped = spark.sparkContext.broadcast((name, low, high))  # an entry per range
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, low, high = shipped.value
+        tree = GrayTree(low, high) if len(low) else None
+        for batch in batches:
+            fp, rank, own = _numbers(batch, "fp", "rank", "range")
+            for s in range(0, len(fp), 4096):
+                part = slice(s, s + 4096)
+                i, k = tree.search(fp[part].view(np.uint64), bits, np.searchsorted(name, own[part]))
+                cols = [pa.array(x) for x in (name[k], np.ones(len(i), np.int32), fp[part][i], rank[part][i])]
+                yield pa.RecordBatch.from_arrays(cols, ["range", "kind", "fp", "rank"])
+
+    asks = ranked.select("fp", "rank", "range").mapInArrow(route, "range int, kind int, fp long, rank long")
+    both = ranked.select("range", F.lit(0).alias("kind"), "fp", "rank").unionByName(asks)
+    both = both.repartitionById(ranges, "range").sortWithinPartitions("range", "kind", "rank")
+    return both.mapInArrow(_search(bits), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:

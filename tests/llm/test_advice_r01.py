@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from gridrecon.llm import html, pii, topk
 
-from test_operators import classes, docs
+from test_llm_operators import classes, docs
 
 
 def shingle_set(text):

@@ -48,14 +48,19 @@ def test_fingerprint(text):
 
 
 @pytest.mark.parametrize("n", [1, 2, 40, 900])
-def test_gray_index_finds_all_pairs(n):
+def test_gray_tree_finds_all_pairs(n):
     rng = random.Random(n)
     base = rng.getrandbits(64)
     f = np.unique(np.array([base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(9)) ^ (1 << rng.randrange(64)) if i % 3 else rng.getrandbits(64) for i in range(n)], np.uint64))
-    index = simhash.GrayIndex(f)
-    got = {(a, b) for i, j in index.pairs() for a, b in zip(i.tolist(), j.tolist())}
-    d = np.bitwise_count(index.fp[:, None] ^ index.fp[None]) <= 2
+    f = f[np.argsort(simhash.gray_rank(f))]
+    got = {(a, b) for i, j in simhash.GrayTree(f).pairs(f, 2) for a, b in zip(i.tolist(), j.tolist())}
+    d = np.bitwise_count(f[:, None] ^ f[None]) <= 2
     assert got == {(a, b) for a, b in zip(*np.nonzero(d)) if a < b}
+    # an upper tree over groups of 7: every partner's group is among those found
+    starts = np.arange(0, len(f), 7)
+    upper = simhash.GrayTree(np.bitwise_and.reduceat(f, starts), np.bitwise_or.reduceat(f, starts))
+    sent = set(zip(*(x.tolist() for x in upper.search(f, 2))))
+    assert {(a, b // 7) for a, b in zip(*np.nonzero(d))} <= sent
 
 
 def test_longest_common_subsequence():

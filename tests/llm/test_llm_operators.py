@@ -1,10 +1,12 @@
 """The operators on Spark: brute force, nulls, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,18 +52,20 @@ def test_components(spark):
     assert common.components(e.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("group", [simhash.GROUP, 3])
-def test_simhash(spark, group):
+@pytest.mark.parametrize("most", [None, 3, 50])
+def test_simhash(spark, most):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     d = d.unionByName(docs(spark, [(9001, None, None, None), (9002, "", None, None), (None, "a b c", None, None), (9003, "a b c", None, None), (9003, "a b c", None, None)]))
     fps = [(r.doc_id, r.fp % 2**64) for r in simhash.fingerprints(d).collect()]
-    links = simhash.links(simhash.fingerprints(d), group=group)
-    distinct = sorted({f for _, f in fps})
-    near = [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (a ^ b).bit_count() <= 2]
-    want = classes(near, distinct)
-    comp = classes([(r.a % 2**64, r.b % 2**64) for r in links.collect()], distinct)
-    assert comp == want
-    if group == simhash.GROUP:
+    rng = random.Random(3)
+    near = [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _, f in fps for _ in range(2)] if most else []  # groups that really have partners
+    table = simhash.fingerprints(d).select("fp").unionByName(spark.createDataFrame([((f + 2**63) % 2**64 - 2**63,) for f in near] or [(0,)], "fp long"))
+    distinct = sorted({f for _, f in fps} | set(near) | {0})
+    x = np.array(distinct, np.uint64)
+    want = classes([(distinct[i], distinct[j]) for i, j in zip(*np.nonzero(np.bitwise_count(x[:, None] ^ x[None]) <= 2)) if i < j], distinct)
+    got = classes([(r.a % 2**64, r.b % 2**64) for r in simhash.links(table, most=most).collect()], distinct)
+    assert got == want
+    if not most:
         low = {}
         for i, f in fps:
             if i is not None:
