@@ -12,15 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of the training sample: characters kept of a language, of one text, and symbols of its alphabet.
-CHARS, CHARS_OF_TEXT, ALPHABET = 30_000, 1_500, 512
-#: A text is parsed in pieces of this many symbols; each piece opens a new phrase, in every language alike.
-PIECE = 512
+#: Bounds of the training sample: texts of a language, characters after which no further text is taken, and characters of a
+#: text that may be picked (texts are learned whole, and languages from about equally much, so that their phrases compare).
+TEXTS, CHARS, LONGEST = 64, 40_000, 4_000
+#: Texts are parsed from many places at once, this many symbols apart; the parts are then joined to the one parse from the start.
+PIECE, ROUNDS = 512, 4
+#: Entries of all languages' tables of common symbols; transitions on rarer symbols are kept as a sorted list.
+DENSE = 1 << 25
 SPACE, OTHER = 0, 1
 
 
-def automaton(codes: list[int]) -> np.ndarray:
-    """Dense transitions of the suffix automaton of one sequence, [state, symbol] with 0 (the root) for none."""
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of one sequence; state 0 is the root, to which none leads."""
     link, length, moves, last = [-1], [0], [{}], 0
     for c in codes:
         new = len(moves)
@@ -45,11 +48,143 @@ def automaton(codes: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.zeros((len(moves), max(codes, default=0) + 1), np.int32)
-    for s, m in enumerate(moves):
-        for c, t in m.items():
-            table[s, c] = t
-    return table
+    return moves
+
+
+class Phrases:
+    """Greedy parses of symbol sequences into longest matches with one sample; a symbol the sample lacks is a phrase."""
+
+    def __init__(self, codes: np.ndarray, symbols: int, room: int):
+        counts = np.bincount(codes[codes != OTHER], minlength=symbols)
+        order = np.argsort(-counts, kind="stable")[: max(1, int((counts > 0).sum()))]
+        self.rank = np.full(symbols, len(order), np.int64)  # by falling frequency; the last one occurs nowhere
+        self.rank[order] = np.arange(len(order))
+        self.rank[OTHER] = len(order)
+        self.count = len(order) + 1
+        self.moves = automaton([c for c in self.rank[codes].tolist() if c < len(order)])
+        self.width = int(min(self.count, max(1, room // len(self.moves))))
+        self.table = np.zeros((len(self.moves), self.width), np.int32)
+        rare = []
+        for s, m in enumerate(self.moves):
+            for c, t in m.items():
+                if c < self.width:
+                    self.table[s, c] = t
+                else:
+                    rare.append((s * self.count + c, t))
+        self.table = self.table.ravel()
+        self.keys, self.to = np.array(sorted(rare) or [(-1, 0)], np.int64).T
+        self.norm = math.log2(max(2, len(codes)))
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        if self.width == self.count:
+            return self.table[state * self.width + c]
+        common = c < self.width
+        out = np.where(common, self.table[state * self.width + np.where(common, c, 0)], 0)
+        some = np.flatnonzero(~common)
+        if len(some):
+            key = state[some] * self.count + c[some]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[some] = np.where(self.keys[at] == key, self.to[at], 0)
+        return out
+
+    def parse(self, own: np.ndarray, at: np.ndarray, limit: np.ndarray, end: np.ndarray, cut: np.ndarray, follow: bool) -> tuple[np.ndarray, np.ndarray]:
+        """From phrase starts at, all at once: (first phrase start at or after limit, phrases that start before it).
+
+        Starts before limit are marked in cut; or, if follow, a parse ends where it meets a mark. end: of the text.
+        """
+        out, count = end.copy(), np.ones(len(at), np.int64)
+        lane = np.flatnonzero(at < end)
+        pos, last, lim = at[lane], end[lane], limit[lane]
+        if not follow:
+            cut[pos] = True
+        state = self.step(np.zeros(len(lane), np.int64), own[pos])
+        pos = pos + 1
+        while len(lane):
+            going = pos < last
+            if not going.all():
+                lane, pos, last, lim, state = (x[going] for x in (lane, pos, last, lim, state))
+                if not len(lane):
+                    break
+            c = own[pos]
+            to = self.step(state, c)
+            broke = np.flatnonzero((to == 0) | (state == 0))
+            if len(broke):
+                q = pos[broke]
+                over = q >= lim[broke]
+                if follow:
+                    over |= cut[q]
+                else:
+                    cut[q[~over]] = True
+                to[broke] = self.step(np.zeros(len(broke), np.int64), c[broke])
+                out[lane[broke[over]]] = q[over]
+                count[lane[broke[~over]]] += 1
+                if over.any():
+                    stay = np.ones(len(lane), bool)
+                    stay[broke[over]] = False
+                    lane, pos, last, lim, to = (x[stay] for x in (lane, pos, last, lim, to))
+            state, pos = to, pos + 1
+        return out, count
+
+    def one(self, own: np.ndarray) -> int:
+        """Phrases of one sequence, symbol by symbol."""
+        state, count, moves = 0, 0, self.moves
+        for c in own.tolist():
+            to = moves[state].get(c, 0) if state else 0
+            if not to:
+                count += 1
+                to = moves[0].get(c, 0)
+            state = to
+        return count
+
+    def counts(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Phrases of each of the sequences of length n that lie one after the other in codes.
+
+        Every piece is parsed from its own start first. The true parse enters a piece where that of the piece before
+        leaves; from there it soon meets a start of the piece's own parse and then agrees with it. Texts where
+        parts still change after ROUNDS are parsed symbol by symbol.
+        """
+        own = self.rank[codes]
+        first = np.cumsum(n) - n
+        pieces = -(-n // PIECE)
+        text = np.repeat(np.arange(len(n)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start, end = first[text] + nth * PIECE, (first + n)[text]
+        limit = np.minimum(start + PIECE, end)
+        cut = np.zeros(len(own) + 1, bool)
+        leave, count = self.parse(own, start, limit, end, cut, False)
+        marks = np.r_[0, np.cumsum(cut)]
+        alone, entered, wrong = leave.copy(), start.copy(), np.zeros(len(n), bool)
+        for k in range(ROUNDS + 1):
+            enter = np.where(nth > 0, np.r_[0, leave[:-1]], start) if len(start) else start
+            todo = np.flatnonzero(enter != entered)
+            if k == ROUNDS:
+                wrong[text[todo]] = True
+            if k == ROUNDS or not len(todo):
+                break
+            e, lim = enter[todo], limit[todo]
+            entered[todo] = e
+            inside = e < lim
+            met, seen = e.copy(), np.zeros(len(todo), np.int64)
+            fresh = np.flatnonzero(inside & ~cut[e])
+            if len(fresh):
+                met[fresh], seen[fresh] = self.parse(own, e[fresh], lim[fresh], end[todo][fresh], cut, True)
+            agreed = met < lim
+            leave[todo] = np.where(agreed, alone[todo], met)
+            count[todo] = seen + np.where(agreed, marks[lim] - marks[np.minimum(met, lim)], 0)
+        out = np.bincount(text, count, len(n)).astype(np.int64)
+        for t in np.flatnonzero(wrong):
+            out[t] = self.one(own[first[t] : first[t] + n[t]])
+        return out
+
+
+_alphabetic: list[np.ndarray] = []
+
+
+def alphabetic() -> np.ndarray:
+    """Whether each code point is a letter; made once in a process."""
+    if not _alphabetic:
+        _alphabetic.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _alphabetic[0]
 
 
 class Parser:
@@ -58,29 +193,17 @@ class Parser:
     def __init__(self, sample: dict[str, str]):
         self.langs = sorted(sample)
         letters = Counter(c for t in sample.values() for c in t.lower() if c.isalpha())
-        known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:65_000]]
-        self.lut = np.zeros(0x110000, np.uint16)
-        for i in range(0x32000):  # all alphabetic code points lie below
-            if (c := chr(i)).isalpha():
-                self.lut[i] = OTHER
+        known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))]
+        self.lut = np.where(alphabetic(), OTHER, SPACE).astype(np.int32)
         for k, c in enumerate(known):
             self.lut[ord(c)] = k + 2
-            if len(c.upper()) == 1:
+            if len(c.upper()) == 1 and c.upper().lower() == c:
                 self.lut[ord(c.upper())] = k + 2
-        self.tables = []
-        for name in self.langs:
-            codes = self.codes(sample[name])[0]
-            common = [c for c, _ in Counter(codes[codes != OTHER].tolist()).most_common(ALPHABET - 1)]
-            local = np.full(len(known) + 2, len(common), np.int32)  # the last symbol occurs nowhere
-            local[common] = np.arange(len(common))
-            t = automaton([c for c in local[codes].tolist() if c < len(common)])
-            full = np.zeros((len(t), len(common) + 1), np.int32)
-            full[:, : t.shape[1]] = t
-            self.tables.append((local, full.ravel(), len(common) + 1, math.log2(max(2, len(codes)))))
+        self.tables = [Phrases(self.codes(sample[name])[0], len(known) + 2, DENSE // len(self.langs)) for name in self.langs]
 
     def codes(self, text: str) -> tuple[np.ndarray, bool]:
         """Symbols of a whole text: letters without case, each run of anything else one space; any letter there?"""
-        c = self.lut[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        c = self.lut[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         if len(c):
             c = c[~((c == SPACE) & np.r_[True, c[:-1] == SPACE])]
         return c, bool(c.any())
@@ -89,30 +212,8 @@ class Parser:
         """(normalised phrases [text, language] in bits a symbol, whether a text has letters)."""
         parts = [self.codes(t or "") for t in texts]
         n = np.array([len(c) for c, _ in parts], np.int64)
-        codes = np.concatenate([c for c, _ in parts] or [np.zeros(0, np.uint16)])
-        pieces = -(-n // PIECE)
-        owner = np.repeat(np.arange(len(n)), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = (np.cumsum(n) - n)[owner] + nth * PIECE
-        size = np.minimum(PIECE, n[owner] - nth * PIECE)
-        order = np.argsort(-size, kind="stable")
-        owner, start, size = owner[order], start[order], size[order]
-        active = np.searchsorted(-size, -np.arange(PIECE), "left")  # pieces longer than t come first
-        bits = np.zeros((len(n), len(self.langs)))
-        for k, (local, table, width, norm) in enumerate(self.tables):
-            own = local[codes]
-            state, count = np.zeros(len(start), np.int64), np.ones(len(start), np.int64)
-            for t in range(PIECE):
-                m = active[t]
-                if not m:
-                    break
-                c = own[start[:m] + t]
-                to = table[state[:m] * width + c]
-                broke = (to == 0) | (state[:m] == 0)  # at the root: the symbol before, known nowhere, was a phrase
-                np.copyto(to, table[c], where=broke)  # a new phrase begins with this symbol
-                count[:m] += broke if t else 0
-                state[:m] = to
-            bits[:, k] = np.bincount(owner, count, len(n)) * norm / np.maximum(n, 1)
+        codes = np.concatenate([c for c, _ in parts] or [np.zeros(0, np.int32)])
+        bits = np.array([t.counts(codes, n) * t.norm / np.maximum(n, 1) for t in self.tables]).reshape(len(self.langs), len(n)).T
         return bits, np.array([x for _, x in parts], bool)
 
 
@@ -127,23 +228,26 @@ def parser(sample: tuple) -> Parser:
 
 
 def sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> tuple:
-    """((language, text), ...): at most CHARS characters of each language, from rows where learn holds.
+    """((language, text), ...): whole texts of each language, from rows where learn holds and lang and text are not null.
 
-    Counts come from all rows; of each language a hash of the id then picks about three times the texts needed,
-    so what reaches the driver is bounded by languages x 3 x CHARS.
+    Only texts of up to LONGEST characters are picked, unless a language has no other. Counts cover all rows; a hash of
+    id and text then picks about TEXTS of each language, taken in its order until CHARS are reached. Rows that repeat count
+    once, so what reaches the driver is bounded by languages x TEXTS texts, however often an id, a null id or a text occurs.
     """
-    d = docs.select(
-        F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), learn.alias("learn")
-    ).where("learn and lang is not null and text is not null")
-    size = {r.lang: r.n for r in d.groupBy("lang").agg(F.sum(F.least(F.length("text"), F.lit(CHARS_OF_TEXT))).alias("n")).collect()}
+    d = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("h"), learn.alias("learn"))
+    d = d.where("learn and lang is not null and text <> ''").withColumn("short", F.length("text") <= LONGEST)
+    size = {(r.lang, r.short): r.n for r in d.groupBy("lang", "short").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not size:
         return ()
-    share = F.create_map(*(F.lit(x) for k, n in size.items() for x in (k, min(1.0, 3 * CHARS / max(n, 1)))))
-    picked = d.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).where(F.col("h") < share[F.col("lang")] * (1 << 30))
+    share = {k: min(1.0, (TEXTS if k[1] else 4) / max(1, n)) for k, n in size.items() if k[1] or (k[0], True) not in size}
+    at = F.create_map(*(F.lit(x) for (lang, short), p in share.items() for x in (f"{int(short)}:{lang}", p)))
+    place = F.pmod("h", F.lit(1 << 30))
+    picked = d.where(place < at[F.concat(F.col("short").cast("int").cast("string"), F.lit(":"), "lang")] * (1 << 30)).select("lang", place.alias("h"), "text").distinct()
     out: dict[str, list[str]] = {}
-    for r in sorted(picked.select("lang", "h", "id", F.substring("text", 1, CHARS_OF_TEXT).alias("t")).collect()):
-        out.setdefault(r.lang, []).append(r.t)
-    return tuple((k, " ".join(v)[:CHARS]) for k, v in sorted(out.items()))
+    for r in sorted(picked.collect()):
+        if sum(map(len, mine := out.setdefault(r.lang, []))) < CHARS:
+            mine.append(r.text)
+    return tuple((k, " ".join(v)) for k, v in sorted(out.items()))
 
 
 def identify(docs: DataFrame, learned: tuple, text_col: str = "text") -> DataFrame:

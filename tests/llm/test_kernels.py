@@ -93,29 +93,34 @@ def test_automaton_holds_all_substrings():
         x = [rng.randrange(3) for _ in range(rng.randrange(1, 7))]
         at = 0
         for c in x:
-            at = t[at, c]
+            at = t[at].get(c, 0)
             if not at:
                 break
         assert bool(at) == (tuple(x) in subs)
 
 
-def test_phrases_against_plain_parsing():
-    sample = {"a": "the cat and the dog sat " * 3, "b": "der hund und die katze " * 3}
+@pytest.mark.parametrize("dense", [langid.DENSE, 2000])
+def test_phrases_against_plain_parsing(monkeypatch, dense):
+    """Whole texts, however long, are one parse: also texts of many pieces, of one letter, of more letters than a dense table holds."""
+    monkeypatch.setattr(langid, "PIECE", 16)
+    monkeypatch.setattr(langid, "DENSE", dense)
+    rng = random.Random(1)
+    kanji = "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(3000))
+    sample = {"a": "the cat and the dog sat " * 3, "b": "der hund und die katze " * 3, "c": kanji}
     p = langid.Parser(sample)
-    texts = ["the dog and a katze", "x", "", None, "Der  Hund!", "the cat " * 200]
+    texts = ["the dog and a katze", "x", "", None, "Der  Hund!", "the cat " * 200, "t" * 700, "ab" * 500, kanji[500:900] + kanji[100:300] + "\U00032100", "".join(rng.choice("the dcasoundrki ") for _ in range(3000))]
     bits, letters = p.phrases(texts)
-    assert letters.tolist() == [True, True, False, False, True, True]
+    assert letters.tolist() == [True, True, False, False] + [True] * 6
     for i, t in enumerate(texts):
         codes, _ = p.codes(t or "")
+        codes = "".join(map(chr, codes))
         for k, lang in enumerate(p.langs):
-            train, count = p.codes(sample[lang])[0].tolist(), 0
-            for at in range(0, len(codes), langid.PIECE):
-                piece, j = codes[at : at + langid.PIECE].tolist(), 0
-                while j < len(piece):
-                    n = 1
-                    while j + n < len(piece) and any(train[q : q + n + 1] == piece[j : j + n + 1] for q in range(len(train))):
-                        n += 1
-                    j, count = j + n, count + 1
+            train, count, j = "".join(map(chr, p.codes(sample[lang])[0])), 0, 0
+            while j < len(codes):
+                n = 1
+                while j + n < len(codes) and codes[j : j + n + 1] in train:
+                    n += 1
+                j, count = j + n, count + 1
             assert bits[i, k] == pytest.approx(count * np.log2(len(train)) / max(1, len(codes)))
 
 

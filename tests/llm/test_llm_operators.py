@@ -80,8 +80,12 @@ def test_language(spark):
     learned = langid.sample(d, common.crc_mod("doc_id", 3) != 1)
     out = langid.identify(d, learned)
     assert out.where(common.crc_mod("doc_id", 3) == 1).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
-    odd = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs(spark, [(1, None, "en", "s"), (2, "12 !", "en", "s"), (3, "the of and", None, None)]), learned).collect()}
-    assert odd[1] == odd[2] == ("und", 0.0) and odd[3][0] == "en"
+    rows = [(1, None, "en", "s"), (2, "12 !", "en", "s"), (3, "the and of the other and", None, None), (3, "the and of the other and", None, None), (4, chr(0x32100), None, None), (5, "the others and " * 20_000, None, None)]
+    odd = sorted((r.doc_id, r.lang_pred, r.score) for r in langid.identify(docs(spark, rows), learned).collect())
+    assert odd[:2] == [(1, "und", 0.0), (2, "und", 0.0)] and odd[2] == odd[3] and [r[1] for r in odd[2:4]] == ["en"] * 2 and odd[4][1] != "und" and odd[5][1] == "en"
+    many = docs(spark, [(None, "der hund und die katze", "de", None)] * 500 + [(i % 2, f"the cat {i}", "en", None) for i in range(500)])
+    got = dict(langid.sample(many, F.lit(True)))
+    assert got["de"] == "der hund und die katze" and 10 < got["en"].count("cat") < 200  # repeats, ids null or shared: still bounded
     assert langid.sample(docs(spark, []), F.lit(True)) == () and langid.identify(docs(spark, [(1, "a", None, None)]), ()).first().lang_pred == "und"
 
 
