@@ -19,13 +19,28 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="gridrecon-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="gridrecon-")
+        folder = _own[sc.applicationId]
     return folder.rstrip("/")
 
 
+_own: dict[str, str] = {}
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def purge(spark: SparkSession) -> int:
+    """Delete all folders that operators of this process wrote; to be called once their results are stored. Returns how many."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

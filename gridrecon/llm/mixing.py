@@ -44,8 +44,9 @@ def share(nodes: DataFrame, parent: list[str], budget: str, cap: str, weight: st
 def budgets(leaves: DataFrame, total: Column, epochs: int, weights: dict[tuple[str, ...], int] | None = None) -> DataFrame:
     """leaves (domain, lang, source, available) with quota: tokens to take of each.
 
-    A node can give at most epochs times its tokens. Each level's budgets are dealt to the children by weight;
-    what a child can't use goes to its siblings first, as only what a whole node can't use was left above.
+    A node can give at most epochs times its tokens, and nothing if its weight is 0 and a sibling's is not. Each level's
+    budgets are dealt to the children by weight; what a child can't use goes to its siblings first, as only what a whole
+    node can't use was left above.
     weights: path of names -> integer weight, 1 where not named.
     """
     weights = weights or {}
@@ -58,16 +59,23 @@ def budgets(leaves: DataFrame, total: Column, epochs: int, weights: dict[tuple[s
         table = F.create_map(*(F.lit(x) for k, v in at.items() for x in ("\u0001".join("\u0002" if p is None else p for p in k), int(v))))
         return F.coalesce(F.element_at(table, path), F.lit(1)).cast("long")
 
+    def usable(nodes: DataFrame, depth: int, parent: list[str]) -> DataFrame:
+        nodes = nodes.withColumn("weight", weight(depth))
+        idle = (F.col("weight") <= 0) & (F.sum("weight").over(W.partitionBy(*parent)) > 0)
+        return nodes.withColumn("cap", F.when(idle, F.lit(0)).otherwise(F.col("cap")).cast("long"))
+
     leaves = leaves.withColumn("cap", (F.col("available") * epochs).cast("long"))
-    two = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
-    one = two.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("top", F.lit(0))
-    asked = one.agg(F.least(F.coalesce(F.sum("cap"), F.lit(0)), total.cast("long")).alias("budget"))  # one row
-    one = share(one.crossJoin(F.broadcast(asked)).withColumn("weight", weight(1)), ["top"], "budget", "cap", "weight", "quota")
+    asked = leaves.agg(total.cast("long").alias("total"))  # one row
+    leaves = usable(leaves, 3, ["domain", "lang"])
+    two = usable(leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")), 2, ["domain"])
+    one = usable(two.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("top", F.lit(0)), 1, ["top"])
+    one = one.crossJoin(F.broadcast(asked)).withColumn("budget", F.least(F.sum("cap").over(W.partitionBy("top")), F.col("total")))
+    one = share(one, ["top"], "budget", "cap", "weight", "quota")
     same = lambda a, b, on: F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in on))
     two = two.alias("l").join(one.select("domain", F.col("quota").alias("budget")).alias("r"), same("l", "r", ["domain"])).select("l.*", "r.budget")
-    two = share(two.withColumn("weight", weight(2)), ["domain"], "budget", "cap", "weight", "quota")
+    two = share(two, ["domain"], "budget", "cap", "weight", "quota")
     out = leaves.alias("l").join(two.select("domain", "lang", F.col("quota").alias("budget")).alias("r"), same("l", "r", ["domain", "lang"])).select("l.*", "r.budget")
-    return share(out.withColumn("weight", weight(3)), ["domain", "lang"], "budget", "cap", "weight", "quota").drop("budget", "weight")
+    return share(out, ["domain", "lang"], "budget", "cap", "weight", "quota").drop("budget", "weight")
 
 
 def select(docs: DataFrame, domain: Column, fraction: float, epochs: int = 2, seed: int = 7, weights: dict | None = None, id_col: str = "doc_id") -> DataFrame:

@@ -22,6 +22,8 @@ from gridrecon.llm.common import new_path, written
 
 #: Captures in one compressed block of the index.
 CAPTURES = 2_000
+#: Bytes of the archives that a task of the way back reads.
+PART = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -220,9 +222,12 @@ class Reader:
             part += 1
 
 
-def read(pages: DataFrame, archives: str, folder: str, top: list[tuple[str, str]]) -> DataFrame:
+def read(pages: DataFrame, archives: str, folder: str, top: list[tuple[str, str]], size: int = 0) -> DataFrame:
     """The captures of pages (page_id, url), read back through the index: page_id, url, payload_bytes,
-    payload_digest, record_type, refers_to, payload. Keys go in order, so a task reads each block and archive range once."""
+    payload_digest, record_type, refers_to, payload. Keys go in order, so a task reads each block and archive range once.
+
+    size: bytes of the records asked for, which decides the number of tasks: the keys are small beside what lies behind them.
+    """
     kind = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     names = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
 
@@ -245,7 +250,8 @@ def read(pages: DataFrame, archives: str, folder: str, top: list[tuple[str, str]
                 yield _batch(rows, names)
 
     wanted = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(keys, "key string").distinct()
-    return wanted.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, kind)
+    parts = max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // PART))
+    return wanted.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(run, kind)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -257,4 +263,5 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     archives, folder = new_path(spark, "warc"), new_path(spark, "cdx")
     manifest = write(pages, archives, min_bytes)
-    return read(pages, archives, folder, index(manifest, folder))
+    size = manifest.agg(F.sum("length")).first()[0] or 0
+    return read(pages, archives, folder, index(manifest, folder), size)

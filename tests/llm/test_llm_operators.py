@@ -118,6 +118,11 @@ def test_mixing_budgets(spark):
     # a: 750, of which y can use 10 and leaf 1 of x 20; what they leave goes to their siblings; b: 250
     assert q == {("a", "x", "1"): 20, ("a", "x", "2"): 720, ("a", "y", "1"): 10, ("b", None, "1"): 250, ("b", "x", None): 0}
     assert sum(r.quota for r in mixing.budgets(leaves, F.lit(10**9), 2).collect()) == 2 * 2015
+    # a weight of 0 leaves nothing behind: what a can't use goes to b
+    leaves = spark.createDataFrame([("a", "x", "1", 1000), ("a", "y", "1", 10), ("b", "x", "1", 1000)], "domain string, lang string, source string, available long")
+    q = {(r.domain, r.lang): r.quota for r in mixing.budgets(leaves, F.lit(1000), 1, {("a", "x"): 0}).collect()}
+    assert q == {("a", "x"): 0, ("a", "y"): 10, ("b", "x"): 990}
+    assert {r.quota for r in mixing.budgets(leaves.where("domain = 'a' and lang = 'x'"), F.lit(500), 1, {("a", "x"): 0}).collect()} == {500}
 
 
 def test_mixing_prefix(spark):
