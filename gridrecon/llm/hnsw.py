@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import io
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrecon.llm.common import components, written
+from gridrecon.llm.common import components, new_path, written
 from gridrecon.llm.simhash import unite
 
-#: Vectors of one shard, queries of one block, shards at least.
-SHARD, BLOCK, SHARDS = 16_384, 8_192, 4
+#: Share of an executor's memory that a shard's vectors and graph may fill, queries of one block, shards at least.
+SHARE, BLOCK, SHARDS = 1 / 8, 8_192, 4
 #: Neighbours of a node, share of nodes in the next layer, beam while building.
 M, UP, BEAM = 24, 16, 48
-#: Queries of a block held against all vectors of the shard; nodes this far below the threshold are still expanded.
-AUDIT, SLACK = 64, 0.03
+#: Queries held against all vectors of the shard at a time, true links wanted of them, queries of a block so held at most;
+#: nodes this far below the threshold are still expanded.
+AUDIT, AUDIT_LINKS, AUDIT_MOST, SLACK = 64, 256, 512, 0.03
 
 
 def _diverse(sims: np.ndarray, ids: np.ndarray, x: np.ndarray, m: int) -> np.ndarray:
@@ -155,15 +160,15 @@ class Graph:
             seen[i, node] = True
         return np.nonzero(seen)
 
-    def dump(self) -> bytes:
+    def dump(self, **more: np.ndarray) -> bytes:
         out = io.BytesIO()
-        np.savez(out, *self.layers)
+        np.savez(out, **{f"layer{k}": x for k, x in enumerate(self.layers)}, **more)
         return out.getvalue()
 
     @classmethod
-    def load(cls, x: np.ndarray, blob: bytes) -> Graph:
-        z = np.load(io.BytesIO(blob))
-        return cls(x, [z[k] for k in z.files])
+    def load(cls, x: np.ndarray, z) -> Graph:
+        """The graph of a dump, opened with np.load."""
+        return cls(x, [z[k] for k in z.files if k.startswith("layer")])
 
 
 def _unique(ids: np.ndarray, sims: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -181,20 +186,29 @@ def _unique(ids: np.ndarray, sims: np.ndarray | None) -> tuple[np.ndarray, np.nd
 def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, chunk: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, node) pairs whose cosine in double precision is least or more, a block of queries at a time.
 
-    The beam starts at BEAM and doubles until AUDIT queries, spread over the block, miss none of their true links;
-    at the size of the shard it holds every node. exact, q: unit vectors in double precision.
+    Queries spread over the block are held against the whole shard until AUDIT_LINKS true links are seen (or AUDIT_MOST
+    queries, where links are rare). The beam starts at BEAM and doubles until the search misses none of these; at
+    the size of the shard it holds every node. exact, q: unit vectors in double precision.
     """
     ef, n = BEAM, len(exact)
     q32 = q.astype(np.float32)
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    true = (q[audit] @ exact.T) >= least
+    some = np.random.default_rng(len(q)).permutation(len(q))[:AUDIT_MOST]
+    seen, true = 0, []
+    for at in range(0, len(some), AUDIT):
+        true.append((q[some[at : at + AUDIT]] @ exact.T) >= least)
+        seen += int(true[-1].sum())
+        if seen >= AUDIT_LINKS:
+            break
+    true = np.concatenate(true) if true else np.zeros((0, n), bool)
+    audit = some[: len(true)]
+    audit, true = audit[true.any(1)], true[true.any(1)]
 
     def search(rows):
         i, j = graph.near(q32[rows], least, ef)
         ok = np.concatenate([np.einsum("pd,pd->p", q[rows][i[a : a + 65536]], exact[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)]) >= least
         return i[ok], j[ok]
 
-    while ef < n:
+    while ef < n and len(audit):
         got = np.zeros(true.shape, bool)
         got[search(audit)] = True
         if not (true & ~got).any():
@@ -206,55 +220,96 @@ def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, chunk
         yield rows[i], j
 
 
-def _unit(v: pd.Series) -> np.ndarray:
-    x = np.array(v.tolist(), np.float64).reshape(len(v), -1)
-    x /= np.abs(x).max(1, keepdims=True)  # no overflow or underflow in the norm
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (..., v list of doubles) with v as a unit vector in packed double precision."""
+    for b in batches:
+        at = b.schema.get_field_index("v")
+        packed = []
+        for v in b.column(at):
+            x = v.values.to_numpy(zero_copy_only=False)
+            x = x / np.abs(x).max()  # no overflow or underflow in the norm
+            packed.append((x / np.sqrt(x @ x)).tobytes())
+        yield b.set_column(at, "v", pa.array(packed, pa.binary()))
+
+
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(v)).reshape(len(v), -1)
+
+
+def shard_bytes(spark: SparkSession) -> int:
+    """What a shard may fill: SHARE of an executor's memory."""
+    m = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.sparkContext.getConf().get("spark.executor.memory", "1g").strip().lower())
+    return int((int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if m else 1 << 30) * SHARE)
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+_loaded: dict[str, tuple] = {}
+
+
+def _open(path: str) -> tuple:
+    """(graph, exact vectors, nodes, copies) of a stored shard; a worker keeps the last one."""
+    if path not in _loaded:
+        _loaded.clear()
+        fs, name = pafs.FileSystem.from_uri(path)
+        with fs.open_input_file(name) as f:
+            z = np.load(io.BytesIO(f.read()))
+        exact = z["exact"]
+        _loaded[path] = Graph.load(exact.astype(np.float32), z), exact, z["nodes"], z["copies"]
+    return _loaded[path]
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", rows_of_shard: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors.
 
     n_links: other rows at a cosine of least or more; component_id: smallest id reachable through such links; kept: it
     is the row's own. Equal vectors are linked to each other and meet the rest once. Null or zero vectors, and
     vectors that hold null or non-finite components, link with nothing; vectors meet those of their own length
-    only. A null id is null in its row and no smallest id. Repeated rows are rows. Empty input: no rows.
+    only. A null id is null in its row and no smallest id. Repeated rows are rows. Empty input: no rows. Other columns
+    are ignored.
 
-    Distinct vectors are dealt by hash to shards; each shard's graph is built once, stored, and queried with all
-    vectors in blocks. A block returns sums and a forest over its links, not the links.
+    Distinct vectors are dealt by hash to shards as large as an executor's memory allows; each shard's graph is
+    built once and stored as a file of the shared folder, which the blocks of all vectors that query it read by its path. A
+    block returns sums and a forest over its links, not the links.
     """
+    spark = vectors.sparkSession
     x = F.col(vec_col).cast("array<double>")
     good = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(good, F.lit(False)), F.transform(x, lambda c: c + F.lit(0.0))).alias("v"))
     rows = written(rows.withColumn("h", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256))), "vectors")
     reps = rows.where("v is not null").groupBy("h").agg(F.first("v").alias("v"), F.min("vec_id").alias("low"), F.count("*").alias("copies"))
-    reps = written(reps.withColumn("node", F.xxhash64("h", F.lit(7))).withColumn("dim", F.size("v")), "reps")
+    reps = reps.select("h", "v", "low", "copies", F.xxhash64("h", F.lit(7)).alias("node"), F.size("v").alias("dim"))
+    reps = written(reps.mapInArrow(_pack, "h string, v binary, low long, copies long, node long, dim int"), "reps")
     count = reps.groupBy("dim").agg(F.count("*").alias("n"))
-    count = count.select("dim", F.greatest(F.lit(SHARDS), F.ceil(F.col("n") / SHARD)).cast("int").alias("shards"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    reps = reps.join(F.broadcast(count), "dim").withColumn("shard", F.pmod(F.col("node"), F.col("shards")).cast("int"))
+    # a vector takes 12 bytes a component in double and single precision, its edges and its place in a beam some 1,000
+    size = F.lit(rows_of_shard) if rows_of_shard else F.greatest(F.lit(4096), F.floor(F.lit(shard_bytes(spark)) / (F.col("dim") * 12 + 1000)))
+    count = count.select("dim", F.greatest(F.lit(SHARDS), F.ceil(F.col("n") / size)).cast("int").alias("shards"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    reps = reps.join(F.broadcast(count), "dim").withColumn("shard", F.pmod(F.col("node"), F.col("shards")).cast("int"))  # a row per length
     reps = reps.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    folder = new_path(spark, "graphs")
 
     def build(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node")
-        g = Graph.build(_unit(part["v"]).astype(np.float32))
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "nodes": [part["node"].tolist()], "vs": [part["v"].tolist()], "copies": [part["copies"].tolist()], "graph": [g.dump()]})
-
-    graphs = reps.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, nodes array<long>, vs array<array<double>>, copies array<long>, graph binary")
-    graphs = written(graphs, "graphs")
-    spread = graphs.join(F.broadcast(count), "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        exact = _matrix(part["v"])
+        blob = Graph.build(exact.astype(np.float32)).dump(exact=exact, nodes=part["node"].to_numpy(np.int64), copies=part["copies"].to_numpy(np.int64))
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        name = f"{key[0]}-{key[1]}-{uuid.uuid4().hex}.npz"  # a retried task writes another file
+        with fs.open_output_stream(f"{root}/{name}") as f:
+            f.write(blob)
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "name": [name]})
+
+    graphs = written(reps.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, name string"), "graphs")
+    names = spark.sparkContext.broadcast({(r.dim, r.shard): r.name for r in graphs.collect()})  # an entry per shard
     queries = reps.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("dim", "shard", "block", "node", "v")
 
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def search(key, left: pd.DataFrame) -> pd.DataFrame:
         out = {"node": [], "root": [], "links": []}
-        if len(left) and len(right):
-            r = right.iloc[0]
-            exact = _unit(pd.Series(list(r["vs"])))
-            graph = Graph.load(exact.astype(np.float32), r["graph"])
-            nodes, copies = np.asarray(r["nodes"], np.int64), np.asarray(r["copies"], np.int64)
+        name = names.value.get((key[0], key[1]))  # none: no vector fell to this shard
+        if name is not None:
+            graph, exact, nodes, copies = _open(f"{folder}/{name}")
             mine = left["node"].to_numpy()
             both, where = np.unique(np.concatenate([mine, nodes]), return_inverse=True)
             label, links = np.arange(len(both)), np.zeros(len(both), np.int64)
-            for i, j in links_of(graph, exact, _unit(left["v"]), least):
+            for i, j in links_of(graph, exact, _matrix(left["v"]), least):
                 other = mine[i] != nodes[j]
                 i, j = i[other], j[other]
                 np.add.at(links, where[i], copies[j])
@@ -263,9 +318,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
             out = {"node": both[some], "root": both[label[some]], "links": links[some]}
         return pd.DataFrame(out).astype("int64")
 
-    keys = ["dim", "shard", "block"]
-    found = queries.groupBy(keys).cogroup(spread.groupBy(keys)).applyInPandas(search, "node long, root long, links long")
-    found = written(found, "found")
+    found = written(queries.groupBy("dim", "shard", "block").applyInPandas(search, "node long, root long, links long"), "found")
     comp = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     reps = reps.select("h", "node", "low", "copies").join(links, "node", "left").join(comp, "node", "left")

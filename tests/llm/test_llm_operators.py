@@ -158,15 +158,32 @@ def test_toxicity(spark):
 def test_top_k_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [nan, 1.0]), (4, None), (5, [inf, 1.0]), (6, [None, 1.0]), (50, [0.0, 0.0]), (7, [1.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
-    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, F.col("vec_id") % 50 == 0, 2).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (50, 1, 0, 0), (50, 2, 1, 0)]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v.withColumn("row", F.lit(1)).withColumn("score", F.lit("clash")), F.col("vec_id") % 50 == 0, 3).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, None, 65536), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
+    again = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [9.0, 0.0]), (0, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(again, F.col("vec_id") == 0, 2).collect())
+    assert got == [(1, 1, 9 * 65536), (1, 1, 18 * 65536), (2, 0, 2 * 65536), (2, 0, 2 * 65536)]
     assert topk.top_k(v.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_of_many_lengths(spark):
+    """Norms over several octaves, so that rounds and skipped buckets matter, against all products."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 6)) * np.exp(rng.normal(0, 1.5, (600, 1)))
+    x[100:140] = x[100]
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    q = np.floor(256 * x).astype(np.int64)
+    p = q @ q.T
+    want = sorted((i, n + 1, j, int(p[i, j])) for i in range(0, 600, 7) for n, j in enumerate(sorted((j for j in range(600) if j != i), key=lambda j: (-p[i, j], j))[:5]))
+    assert sorted(tuple(r) for r in topk.top_k(v, F.col("vec_id") % 7 == 0).collect()) == want
+
+
 def test_hnsw_odd_vectors(spark):
     v = spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.95, 0.1]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [0.0, 2.0]), (7, [0.0, 1.0]), (None, [0.0, 3.0])], "vec_id long, embedding array<double>")
     got = sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(v).collect())
     assert got == [(-1, 2, 7, False), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 2, 7, True), (7, 2, 7, True)]
+    got = hnsw.near_duplicates(v.withColumn("h", F.lit("clash")).withColumn("dim", F.lit(9)), rows_of_shard=1)
+    assert got.where("kept").count() == 6
     assert hnsw.near_duplicates(v.limit(0)).count() == 0
 
 
