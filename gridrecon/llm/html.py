@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 from gridrecon.llm.common import written
 
-TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|[!?][^>]*(?:>|\Z)|/?[a-zA-Z][^<]*\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|\Z)""", re.I)
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "xmp", "noframes", "object"}
+#: One attribute; as in HTML, quotes count only where a value begins (an unclosed one is part of a name).
+_ATTRIBUTE = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))?+"""
+TOKEN = re.compile(rf"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/=]++|{_ATTRIBUTE})*+)>|[!?][^>]*(?:>|\Z)|/?[a-zA-Z][^<]*\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?""")
+RAW = {"script", "style", "textarea", "title", "iframe", "template", "svg", "xmp", "noframes"}
 DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
@@ -26,6 +29,9 @@ BOILER = re.compile(
     r"^(?:ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|menu|navbar|navigation|nav|breadcrumbs?|"
     r"footer|masthead|topbar|comments?|disqus|replies|respond|share|sharing|social|related|newsletter|subscribe|subscription|signup|login|search|widget|pagination|pager|toolbar|complementary|contentinfo)$"
 )
+#: Words that say so even of a paragraph, heading or the like.
+PLAIN = re.compile(r"^(?:ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|cookies?|consent|gdpr|comments?|disqus|newsletter|breadcrumbs?)$")
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dt", "dd", "td", "th", "tr", "figcaption"} | INLINE
 HEADERS = re.compile(r"^(?:header|banner|site-header|page-header)$")
 
 
@@ -86,18 +92,20 @@ def lines(page: str | None) -> tuple[list[tuple[str, bool, bool]], bool]:
                     del stack[k:]
                     break
         words: list[str] = []
-        here, gone = name in ("article", "main"), name in DROPPED or (name == "header" and not article)
+        here, gone = name in ("article", "main"), name in DROPPED or (name in ("header", "noscript") and not article)
+        telling = PLAIN if name in TEXTUAL else BOILER
         for a, v in ATTRIBUTE.findall(m[3]) if m[3] else ():
             v, a = v.strip("\"'").lower(), a.lower()
-            if a in ("hidden",) or (a == "aria-hidden" and v == "true"):
+            if a == "hidden" or (a == "aria-hidden" and v == "true"):
                 gone = True
             elif a == "itemprop":
                 here |= v == "articlebody"
-            else:
+            elif a == "role" and v == "main":
+                here = True
+            elif a in ("class", "id", "role"):
                 words += v.split()
-        here |= "main" in words and name == "div" and "role" in m[3]
         for w in words:
-            if HEADERS.match(w) and not article or BOILER.match(w) or any(BOILER.match(x) for x in re.split(r"[-_]+", w) if x in ("ad", "ads", "comment", "comments", "cookie", "sidebar", "advert", "menu", "footer", "nav", "promo", "newsletter", "sponsored")):
+            if HEADERS.match(w) and not article or telling.match(w) or any(telling.match(x) for x in re.split(r"[-_]+", w) if x in ("ad", "ads", "comment", "comments", "cookie", "sidebar", "advert", "menu", "footer", "nav", "promo", "newsletter", "sponsored")):
                 gone = True
         if name in ("html", "body"):
             gone = False
@@ -110,17 +118,42 @@ def lines(page: str | None) -> tuple[list[tuple[str, bool, bool]], bool]:
     return out, 0 < within >= sum(len(t) for t, inside, gone in out if not inside and not gone)
 
 
-def common(a: list[int], b: list[int]) -> list[int]:
-    """Positions in a of a longest common subsequence with b, by bit-parallel rows and a walk back."""
+#: Bits of the table of an alignment that is walked back in one go; a larger one is halved first.
+TABLE = 1 << 28
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each element of a, a number whose zero bits are the places of b at which the alignment grows."""
     where: dict[int, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | (1 << j)
     full = (1 << len(b)) - 1
-    v, rows = full, []
+    v = full
     for x in a:
         u = v & where.get(x, 0)
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of a with each prefix of b."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def common(a: list[int], b: list[int]) -> list[int]:
+    """Positions in a of a longest common subsequence with b, by bit-parallel rows and a walk back; a large table is halved."""
+    mine, other = set(a), set(b)
+    at = [i for i, x in enumerate(a) if x in other]  # the rest can't be part of one
+    a, b = [a[i] for i in at], [x for x in b if x in mine]
+    if len(a) * len(b) > TABLE and len(a) > 1:
+        half = len(a) // 2
+        cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return [at[i] for i in common(a[:half], b[:cut])] + [at[half + i] for i in common(a[half:], b[cut:])]
+    rows = list(_rows(a, b))
     out, i, j = [], len(a) - 1, len(b) - 1
     while i >= 0 and j >= 0:
         if rows[i] >> j & 1:
@@ -128,7 +161,7 @@ def common(a: list[int], b: list[int]) -> list[int]:
         elif i and not rows[i - 1] >> j & 1:
             i -= 1
         else:
-            out.append(i)
+            out.append(at[i])
             i, j = i - 1, j - 1
     return out[::-1]
 
@@ -152,7 +185,8 @@ def nearest(pages: DataFrame) -> DataFrame:
     ranges (two rows of each partition) are told to all, so neither a large host nor a cut changes the result.
     """
     key = F.struct("host", "path", "page_id").alias("key")
-    ranged = pages.select(key).distinct().repartitionByRange("key").withColumn("range", F.spark_partition_id())
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # keys are small beside their pages, so sizes can't decide
+    ranged = pages.select(key).distinct().repartitionByRange(parts, "key").withColumn("range", F.spark_partition_id())
     ranged = written(ranged, "ranges")
     ends = sorted((r.lo, r.hi, r.range) for r in ranged.groupBy("range").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).collect())
     kind = ranged.schema["key"].dataType.simpleString()
@@ -176,52 +210,46 @@ def nearest(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: the main text of every row of pages (page_id, url, html).
-
-    Blocks in elements that are no main text by name, class, id or role (menus, headers, footers, asides, notices,
-    adverts, forms, comments) go. Where articles (or main) hold at least half of the text kept, other blocks go. Every
-    page is also aligned, by the longest common subsequence of block hashes outside articles, with the page of its host
-    whose URL is nearest; blocks shared with it are template and go, unless an article holds them: articles may
-    quote each other. Null or empty html: empty text; a null or only URL of a host has no partner; repeated ids
-    share their partner; empty input: no rows. Whole pages are read. Other columns are ignored.
+    """page_id, url, text, n_chars, n_shared, n_other: the main text of every row of pages (page_id, url, html), and how many
+    blocks went because they were shared, and for their place.
+
+    Every page is aligned, by the longest common subsequence of the hashes of its blocks, with the page of its host whose URL is
+    nearest. Shared blocks outside articles are template and go; inside they stay: articles may quote each other. Of what
+    is left, blocks in elements that are no main text by name, class, id or role (menus, headers, footers, asides, notices,
+    adverts, forms, comments) go, and where articles (or main) hold at least half of the rest, blocks outside them. Null or
+    empty html: empty text; a null or only URL of a host has no partner; rows that share an id share their partner; empty input:
+    no rows. Whole pages are read. Other columns are ignored.
+
+    Pages are parsed once; their blocks are shuffled once, to meet the hashes of their partner's.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"page_id": pa.int64(), "url": pa.string(), "host": pa.string(), "path": pa.string(), "texts": pa.list_(pa.string()), "places": pa.list_(pa.int8()), "found": pa.bool_(), "blocks": pa.list_(pa.int64())}
         for b in batches:
             rows = []
             for i, u, h in zip(*(c.to_pylist() for c in b.columns)):
                 got, found = lines(h)
-                rows.append((i, *_where(u), [xxhash.xxh64_intdigest(t) >> 1 for t, inside, _ in got if not inside], found))
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "path", "blocks", "found"])
+                rows.append((i, u, *_where(u), [t for t, _, _ in got], [2 * gone + inside for _, inside, gone in got], found, [xxhash.xxh64_intdigest(t) >> 1 for t, _, _ in got]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], list(types))
 
-    out = written(p.mapInArrow(outline, "page_id long, host string, path string, blocks array<long>, found boolean"), "outlines")
-    pairs = nearest(out.where("host <> ''").select("page_id", "host", "path"))
-    once = out.groupBy("page_id").agg(F.min_by("blocks", F.hash("blocks")).alias("other"))
-    both = out.select("page_id", "blocks", "found").join(pairs, "page_id").join(once.withColumnRenamed("page_id", "partner"), "partner")
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, gone = [], []
-            for i, mine, found, other in zip(*(c.to_pylist() for c in b.columns)):
-                same = common(mine, other or [])
-                if same and not found:  # in pages with an article nothing outside it stays anyway
-                    ids.append(i)
-                    gone.append(sorted({mine[k] for k in same}))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int64()))], ["page_id", "shared"])
-
-    shared = both.select("page_id", "blocks", "found", "other").mapInArrow(differ, "page_id long, shared array<long>")
-    shared = written(shared.groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")), "shared")
+    out = written(p.mapInArrow(outline, "page_id long, url string, host string, path string, texts array<string>, places array<tinyint>, found boolean, blocks array<long>"), "outlines")
+    pairs = nearest(out.where("host <> ''").select("page_id", "host", "path")).groupBy("page_id").agg(F.min("partner").alias("partner"))
+    once = out.groupBy(F.col("page_id").alias("partner")).agg(F.min_by("blocks", F.hash("blocks")).alias("other"))
+    other = pairs.join(once, "partner").select("page_id", "other")
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for h, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                got, found = lines(h)
-                gone = set(gone or ())
-                kept = [t for t, inside, drop in got if not drop and (inside or not found and xxhash.xxh64_intdigest(t) >> 1 not in gone)]
+            texts, shared, rest = [], [], []
+            for got, places, found, mine, theirs in zip(*(c.to_pylist() for c in b.columns[2:])):
+                same = {k for k in common(mine, theirs or []) if not places[k] & 1}
+                kept = [t for k, (t, place) in enumerate(zip(got, places)) if k not in same and (place == 1 or place == 0 and not found)]
                 texts.append(" ".join(kept))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+                shared.append(len(same))
+                rest.append(len(got) - len(same) - len(kept))
+            cols = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(shared, pa.int64()), pa.array(rest, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars", "n_shared", "n_other"])
 
-    return p.join(shared, "page_id", "left").select("page_id", "url", "html", "shared").mapInArrow(text, "page_id long, url string, text string, n_chars long")
+    both = out.join(other, "page_id", "left").select("page_id", "url", "texts", "places", "found", "blocks", "other")
+    return both.mapInArrow(text, "page_id long, url string, text string, n_chars long, n_shared long, n_other long")

@@ -51,6 +51,10 @@ KINDS = {
     r"|(?<![\p{L}\p{N}.,:+/(-])(?=\(?0[1-9])(?!0[1-9][./ -]\d{2}[./ -](?:19|20)\d{2}(?!\d))(?=(?:[ /.()-]{0,3}\d){9,12}(?![ /.-]?\d))\(?0[1-9]\d{0,4}\)?(?:(?: ?[/–-] ?|[ .])\d{2,8}){1,5}(?!\d)",
     "name": rf"{_TITLE}{_NAME}(?: {_BEFORE}{_NAME})*+",
 }
+#: A name where no title stands: only one that the same text names with a title is exchanged.
+WORD = rf"(?<![\p{{L}}\p{{N}}]){_NAME}"
+# Country codes of one and two digits; the others have three.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 #: Group 1 holds what matched as a title with names.
 PATTERN = "|".join(f"({p})" if k == "name" else p for k, p in KINDS.items())
 #: Each name of such a match, the first with its title.
@@ -89,6 +93,7 @@ def _units(ents: DataFrame) -> DataFrame:
         .when(F.col("kind") == "ipv6", F.lower(ent))
         .when(F.col("kind") == "given", F.concat("gender", F.lit(":"), "name"))
         .when(F.col("kind") == "family", F.col("name"))
+        .when(F.startswith(ent, F.lit("+")), F.concat(F.lit("+"), _digits(ent)))
         .otherwise(_digits(ent))
     )
     return df.withColumn("canon", canon)
@@ -147,6 +152,16 @@ def _luhn(d: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.greatest(F.length(d), F.lit(1)) - 1), F.lit(0), add) % 10
 
 
+def _iban(country: Column, account: Column) -> Column:
+    """An IBAN with the check digits that make it 1 modulo 97."""
+
+    def add(acc, c):
+        return F.when(c.rlike("[0-9]"), acc * 10 + c.try_cast("int")).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+
+    rest = F.aggregate(F.filter(F.split(F.concat(account, country, F.lit("00")), ""), lambda c: c != ""), F.lit(0), add)
+    return F.concat(country, F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), account)
+
+
 def _syllables(h: Column, script: Column, ending: Column | None = None) -> Column:
     def word(s):
         return F.concat(*(_pick((CONSONANTS if i % 2 == 0 else VOWELS)[s], _nibble(h, F.lit(i + 3))) for i in range(6)), *(_pick(CONSONANTS[s], _nibble(h, F.lit(i))) for i in (11,)))
@@ -166,7 +181,15 @@ def _surrogate(key: str) -> Column:
         _like(F.substring_index(canon, "@", 1), h), F.lit("@"),
         _like(F.regexp_extract(canon, r"@(.*)\.[^.]*$", 1), F.reverse(h)), F.lit("."), F.substring_index(canon, ".", -1),
     )
-    ip = F.concat_ws(".", *((_byte(h, F.lit(i)) % 254 + 1).cast("string") for i in range(4)))
+    # addresses of private, local and link ranges stay in their range
+    own = F.regexp_extract(canon, r"^(?:10|127|192\.168|169\.254|172(?=\.(?:1[6-9]|2\d|3[01])\.))\.", 0)
+    part = [(_byte(h, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]
+    ip = (
+        F.when(F.length(own) == 0, F.concat_ws(".", *part)).when(own == "172.", F.concat(own, F.concat_ws(".", (_byte(h, F.lit(0)) % 16 + 16).cast("string"), *part[1:3])))
+        .otherwise(F.concat(own, F.concat_ws(".", F.when(own.isin("10.", "127."), part[1]), *part[2:])))
+    )
+    kept = F.coalesce(F.nullif(F.regexp_extract(canon, "^(?:fe80|f[cd][0-9a-f]{2})", 0), F.lit("")), F.substring(h, 1, 4))
+    code = F.regexp_extract(canon, rf"^\+({COUNTRY})", 1)
     given, ending = F.lit(None).cast("string"), F.lit("")
     for (s, g), names in GIVEN.items():
         names = names.split()
@@ -177,13 +200,14 @@ def _surrogate(key: str) -> Column:
     return (
         F.when(kind == "email", email)
         .when(kind == "secret", F.substring(h, F.lit(1), F.length(canon)))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(3), F.length(canon)), h)))
+        .when(kind == "iban", _iban(F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(5), F.length(canon)), h)))
         .when(kind == "ip", ip)
-        .when(kind == "ipv6", F.concat_ws(":", *(F.substring(h, 4 * i + 1, 4) for i in range(8))))
+        .when(kind == "ipv6", F.concat_ws(":", kept, *(F.substring(h, 4 * i + 1, 4) for i in range(1, 8))))
         .when(kind == "given", F.concat("gender", F.lit(":"), given))
         .when(kind == "family", _syllables(h, script))
         .when((kind == "card") & (_luhn(canon) == 0), luhn)
-        .when((kind == "phone") & F.col("canon").rlike("^1\\d{10}$"), F.concat(F.lit("1"), F.substring(digits, 2, 10)))
+        .when((kind == "phone") & F.startswith(canon, F.lit("+")), F.concat(F.lit("+"), code, F.substring(digits, F.length(code) + 2, F.length(canon))))
+        .when((kind == "phone") & canon.rlike("^0[1-9]"), F.concat(F.lit("0"), F.pmod(F.substring(digits, 2, 1).cast("int"), F.lit(9)) + 1, F.substring(digits, F.lit(3), F.length(canon))))
         .otherwise(digits)
     )
 
@@ -200,12 +224,12 @@ def _render() -> Column:
         .when(kind.isin("ip", "ipv6"), sur)
         .when(kind == "given", F.concat(title, F.substring(sur, F.lit(3), F.length(sur))))
         .when(kind == "family", F.concat(title, sur))
-        .otherwise(_fill(ent, sur))
+        .otherwise(_fill(ent, _digits(sur)))
     )
 
 
 def dictionary(ents: DataFrame, key: str, attempts: int = 40) -> DataFrame:
-    """(ent, is_given, kind, replacement) for all distinct mentions.
+    """(ent, is_given, kind, replacement, name, new_name) for all distinct mentions; the last two are null but for names.
 
     Surrogates of one kind are all different and none is an entity of the input: of those that clash the smallest
     keeps its surrogate, the others draw again, until none clashes. Raises if attempts do not suffice.
@@ -225,42 +249,60 @@ def dictionary(ents: DataFrame, key: str, attempts: int = 40) -> DataFrame:
     else:
         raise ValueError(f"surrogates still clash after {attempts} attempts")
     full = mentions.join(units.select("kind", "canon", "gender", "surrogate"), ["kind", "canon", "gender"])
-    return written(full.select("ent", "is_given", "kind", _render().alias("replacement")), "dictionary")
+    new = F.when(F.col("kind") == "given", F.substring("surrogate", F.lit(3), F.length("surrogate"))).when(F.col("kind") == "family", F.col("surrogate"))
+    return written(full.select("ent", "is_given", "kind", _render().alias("replacement"), F.when(new.isNotNull(), F.col("name")).alias("name"), new.alias("new_name")), "dictionary")
+
+
+def _follow(segment: Column, names: Column) -> Column:
+    """A stretch of text with the names (a map) that stand in it without a title exchanged; struct (text, n)."""
+    parts, words = F.split(segment, WORD, -1), F.regexp_extract_all(segment, F.lit(WORD), F.lit(0))
+    new = F.transform(words, lambda w: F.coalesce(names[w], w))
+    text = F.array_join(F.flatten(F.zip_with(parts, new, lambda b, r: F.array(b, F.coalesce(r, F.lit(""))))), "")
+    return F.struct(text.alias("text"), F.size(F.filter(words, lambda w: names[w].isNotNull())).alias("n"))
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with text_col rewritten and n_entities, kinds (array of kinds found) added (columns of these names are replaced).
 
     E-mail addresses, secrets, IBANs, social security numbers, IP addresses, card or account numbers, telephone
-    numbers (international, US, or national with a leading 0) and all names after a title (not its initials and particles) are exchanged for keyed surrogates: one entity has one surrogate everywhere,
-    different entities have different ones. Rows without a match, null and empty texts come through as they are with
-    n_entities 0. Repeated rows stay; an empty table gives an empty table. A null key or other columns don't matter.
+    numbers (international, US, or national with a leading 0) and all names after a title (not its initials and particles) are
+    exchanged for keyed surrogates: one entity has one surrogate everywhere, different entities have different ones. Where the
+    same text has such a name again without a title, it gets the same surrogate. Country codes, private address ranges
+    and valid check digits are kept. Rows without a match, null and empty texts come through as they are with n_entities 0. Repeated
+    rows stay; an empty table gives an empty table; other columns, whatever their names, come through.
+
+    The patterns run over all texts once; what they found is kept beside the rows in a table of the shared folder.
     """
     docs = docs.drop("n_entities", "kinds")
-    text = F.col(text_col)
-    has = F.coalesce(text.rlike(HINT) & text.rlike(PATTERN), F.lit(False))
-    hits = docs.where(has).withColumn("_found", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    hits = hits.withColumn("_named", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1)))
-    hits = hits.withColumn("_between", F.split(text, PATTERN, -1)).withColumn("_row", F.monotonically_increasing_id())
+    text = F.col("doc").getField(text_col)  # the row stays together, so no name of a column can clash
+    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    scanned = docs.select(F.struct(*docs.columns).alias("doc"))
+    scanned = written(scanned.withColumn("found", F.coalesce(found, F.array().cast("array<string>"))), "scanned")
+    hits = scanned.where(F.size("found") > 0).withColumn("named", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(1)))
+    hits = hits.withColumn("between", F.split(text, PATTERN, -1)).withColumn("row", F.monotonically_increasing_id())
     # of a title with several names each name is an entity, and what stands between them stays
-    hits = hits.withColumn("_pieces", F.zip_with("_found", "_named", lambda f, n: F.when(n != "", F.regexp_extract_all(f, F.lit(PIECE), F.lit(0))).otherwise(F.array(f))))
-    inner = F.zip_with("_found", "_pieces", lambda f, p: F.when(F.size(p) > 1, F.slice(F.split(f, PIECE, -1), 2, F.size(p) - 1)).otherwise(F.array().cast("array<string>")))
-    after = F.zip_with(inner, F.slice("_between", 2, F.size("_found")), lambda i, b: F.concat(i, F.array(b)))
-    hits = hits.withColumn("_between", F.concat(F.slice("_between", 1, 1), F.flatten(after)))
-    hits = hits.withColumn("_given", F.flatten(F.transform("_pieces", lambda p: F.transform(p, lambda _, i: (i == 0) & (F.size(p) > 1)))))
-    hits = hits.withColumn("_found", F.flatten("_pieces")).drop("_named", "_pieces")
-    hits = written(hits, "hits")
-    each = F.array_distinct(F.arrays_zip(F.col("_found").alias("ent"), F.col("_given").alias("is_given")))
-    pairs = hits.select("_row", F.explode(each).alias("x")).select("_row", F.col("x.ent").alias("ent"), F.col("x.is_given").alias("is_given"))
+    hits = hits.withColumn("pieces", F.zip_with("found", "named", lambda f, n: F.when(n != "", F.regexp_extract_all(f, F.lit(PIECE), F.lit(0))).otherwise(F.array(f))))
+    inner = F.zip_with("found", "pieces", lambda f, p: F.when(F.size(p) > 1, F.slice(F.split(f, PIECE, -1), 2, F.size(p) - 1)).otherwise(F.array().cast("array<string>")))
+    after = F.zip_with(inner, F.slice("between", 2, F.size("found")), lambda i, b: F.concat(i, F.array(b)))
+    hits = hits.withColumn("between", F.concat(F.slice("between", 1, 1), F.flatten(after)))
+    hits = hits.withColumn("given", F.flatten(F.transform("pieces", lambda p: F.transform(p, lambda _, i: (i == 0) & (F.size(p) > 1)))))
+    hits = written(hits.withColumn("found", F.flatten("pieces")).drop("named", "pieces"), "hits")
+    each = F.array_distinct(F.arrays_zip(F.col("found").alias("ent"), F.col("given").alias("is_given")))
+    pairs = hits.select("row", F.explode(each).alias("x")).select("row", F.col("x.ent").alias("ent"), F.col("x.is_given").alias("is_given"))
     words = dictionary(pairs.select("ent", "is_given").distinct(), key)
-    of_row = pairs.join(words, ["ent", "is_given"]).groupBy("_row").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat(F.col("is_given").cast("string"), F.lit(":"), "ent"), "replacement"))).alias("_map"),
+    of_row = pairs.join(words, ["ent", "is_given"]).groupBy("row").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat(F.col("is_given").cast("string"), F.lit(":"), "ent"), "replacement"))).alias("new"),
+        # of a name that is a given and a family name the latter speaks
+        F.array_sort(F.collect_set(F.when(F.col("name").isNotNull(), F.struct("name", (F.col("kind") == "given").alias("given"), "new_name")))).alias("names"),
         F.sort_array(F.collect_set("kind")).alias("kinds"),
     )
-    done = hits.join(of_row, "_row")
-    new = F.zip_with("_found", "_given", lambda e, g: F.col("_map")[F.concat(g.cast("string"), F.lit(":"), e)])
-    new = F.array_join(F.flatten(F.zip_with("_between", new, lambda b, r: F.array(b, F.coalesce(r, F.lit(""))))), "")
-    done = done.withColumn(text_col, new).withColumn("n_entities", F.size("_found").cast("long"))
-    rest = docs.where(~has).withColumn("n_entities", F.lit(0).cast("long")).withColumn("kinds", F.array().cast("array<string>"))
-    names = [*docs.columns, "n_entities", "kinds"]
-    return rest.select(*names).unionByName(done.select(*names))
+    first = F.filter("names", lambda x, i: (i == 0) | (x["name"] != F.col("names")[F.greatest(i - 1, F.lit(0))]["name"]))
+    done = hits.join(of_row, "row").withColumn("names", F.map_from_entries(F.transform(first, lambda x: F.struct(x["name"].alias("k"), x["new_name"].alias("v")))))
+    followed = F.transform("between", lambda b: F.when(F.size("names") > 0, _follow(b, F.col("names"))).otherwise(F.struct(b.alias("text"), F.lit(0).alias("n"))))
+    done = done.withColumn("followed", followed)
+    new = F.zip_with("found", "given", lambda e, g: F.col("new")[F.concat(g.cast("string"), F.lit(":"), e)])
+    new = F.array_join(F.flatten(F.zip_with("followed", new, lambda b, r: F.array(b["text"], F.coalesce(r, F.lit(""))))), "")
+    count = F.size("found") + F.aggregate("followed", F.lit(0), lambda acc, b: acc + b["n"])
+    done = done.select(F.col("doc").withField(text_col, new).alias("doc"), count.cast("long").alias("n_entities"), "kinds")
+    rest = scanned.where(F.size("found") == 0).select("doc", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    return rest.unionByName(done).select("doc.*", "n_entities", "kinds")

@@ -64,7 +64,9 @@ def test_gray_tree_finds_all_pairs(n):
     assert {(a, b // 7) for a, b in zip(*np.nonzero(d))} <= sent
 
 
-def test_longest_common_subsequence():
+@pytest.mark.parametrize("table", [html.TABLE, 4])
+def test_longest_common_subsequence(monkeypatch, table):
+    monkeypatch.setattr(html, "TABLE", table)
     rng = random.Random(1)
     for _ in range(200):
         a, b = ([rng.randrange(4) for _ in range(rng.randrange(12))] for _ in "ab")
@@ -85,6 +87,18 @@ def test_page_structure():
     assert html.lines(None) == ([], False) and html.lines("<p>a &am")[0] == [("a &am", False, False)]
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>one</p><a title=don't>link</a><p>it's</p><p>two</p>", ["one", "link", "it's", "two"]),
+    ('<p>x</p><a title="y>z</a>', ["x", "z"]),
+    ("<p a='1>2' b=\"c>d\" =e f= >t</p>", ["t"]),
+    ("<article><p class='lead alert'>a</p><math><mi>b</mi></math><noscript>c</noscript><object>d</object></article>", ["a", "b", "c", "d"]),
+    ("<article><p class=ad>a</p><p data-class='ad'>b</p></article>", ["b"]),
+    ("<p>5 < 6 & 7 &gt; 2</p>", ["5 < 6 & 7 > 2"]),
+])
+def test_loose_markup(page, want):
+    assert [t for t, _, gone in html.lines(page)[0] if not gone] == want
+
+
 def test_automaton_holds_all_substrings():
     rng = random.Random(2)
     s = [rng.randrange(3) for _ in range(60)]

@@ -106,6 +106,44 @@ def test_pii(spark):
     assert pii.replace(docs(spark, []), "k").count() == 0
 
 
+def test_pii_follows_names_and_keeps_forms(spark):
+    texts = {
+        1: "Mr. John Smith met Mrs. Smith. John Smith and Smith left; Johnson, Smithson and smith stayed. Smith's car.",
+        2: "Smith is named without a title here, by 192.168.1.5 and 10.0.0.7 and 172.20.3.4 and 8.8.8.8",
+        3: "+49 (030) 123-4567, +1 (017) 555-7713, +420 601 123 456, IBAN DE89370400440532013000, fe80::1:2:3",
+        4: "Dr. Kim Kim and Kim", 5: "word " * 200_000 + "a.b@x.com",
+    }
+    d = docs(spark, [(i, t, "en", "s") for i, t in texts.items()]).withColumn("found", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("names", F.lit(2))
+    rows = {r.doc_id: r for r in pii.replace(d, "k").collect()}
+    assert rows[1].found == "clash" and rows[1].row == 1 and rows[1].names == 2
+    got = {i: r.text for i, r in rows.items()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+)\. (\w+) (\w+) and (\w+) left; Johnson, Smithson and smith stayed\. (\w+)'s car\.", got[1])
+    assert m and m[2] == m[3] == m[5] == m[6] == m[7] != "Smith" and m[1] == m[4] != "John" and rows[1].n_entities == 7
+    ips = re.fullmatch(r"Smith is named without a title here, by 192\.168\.(\S+) and 10\.(\S+) and 172\.(\d+)\.\S+ and (\S+)", got[2])
+    assert ips and ips[1] != "1.5" and ips[2] != "0.0.7" and 16 <= int(ips[3]) < 32 and ips[4] != "8.8.8.8"
+    f = re.fullmatch(r"\+49 \(\d{3}\) \d{3}-\d{4}, \+1 \(\d{3}\) \d{3}-\d{4}, \+420 \d{3} \d{3} \d{3}, IBAN DE(\d{20}), fe80:[0-9a-f:]{34}", got[3])
+    assert f and int(f[1][2:] + "1314" + f[1][:2]) % 97 == 1 and got[3] != texts[3]
+    k = re.fullmatch(r"Dr\. (\w+) (\w+) and (\w+)", got[4])
+    assert k[2] == k[3] and len(got[5]) == len(texts[5])
+
+
+def test_pii_distinct_and_coreferent(spark):
+    """Over all documents: an entity has one surrogate, no two share one, none is an entity of the input, nothing else changes."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    new = {r.doc_id: (r.text, r.n_entities) for r in pii.replace(d, "k").collect()}
+    java = {k: p.replace("++", "+").replace("*+", "*") for k, p in pii.KINDS.items()}
+    pattern = re.compile("|".join(java[k] for k in ("email", "secret", "ssn", "ip", "card")).replace("\\p{L}\\p{N}", "\\w").replace("\\p{L}", "[^\\W\\d_]"))
+    of, back = {}, {}
+    for r in d.collect():
+        text, n = new[r.doc_id]
+        a, b = pattern.findall(r.text or ""), pattern.findall(text or "")
+        assert len(a) == len(b) <= n or not n and r.text == text
+        for x, y in zip(a, b):
+            x, y = x.lower(), y.lower()
+            assert of.setdefault(x, y) == y and back.setdefault(y, x) == x and x != y
+    assert len(of) > 20 and not set(of) & set(back)
+
+
 def test_pii_collisions_draw_again(spark):
     names = spark.createDataFrame([(f"Mr. {chr(65 + i // 26)}{chr(97 + i % 26)}", True) for i in range(60)], "ent string, is_given boolean")
     out = [r.replacement for r in pii.dictionary(names, "k").collect()]
@@ -207,6 +245,38 @@ def test_html_differencing(spark):
     assert html.extract(p.limit(0)).count() == 0
 
 
+def test_html_against_brute_force(spark):
+    """The rows of extract() from pages paired and aligned one by one."""
+    p = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    long_page = "<body>" + "".join(f"<p>line {i}</p>" for i in range(30_000)) + "</body>"
+    p = p.select("page_id", "url", "html").unionByName(spark.createDataFrame([(10**6, "http://long.com/a", long_page), (10**6 + 1, "http://long.com/b", long_page + "<p>own</p>")], "page_id long, url string, html string"))
+    rows = sorted((*html._where(r.url), r.page_id, html.lines(r.html)) for r in p.collect())
+    got = {r.page_id: (r.text, r.n_shared, r.n_other) for r in html.extract(p).collect()}
+    for k, (host, path, page, (mine, found)) in enumerate(rows):
+        near = [rows[j] for j in (k - 1, k + 1) if 0 <= j < len(rows) and rows[j][0] == host and host]
+        other = max(near, key=lambda x: html._like(path, x[1])) if near else None  # the first of equals
+        a, b = [t for t, _, _ in mine], [t for t, _, _ in other[3][0]] if other else []
+        if host == "long.com":
+            same = set(range(30_000))
+        else:
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+            same, i, j = set(), len(a), len(b)
+            while i and j:
+                if best[i][j] == best[i][j - 1]:
+                    j -= 1
+                elif best[i][j] == best[i - 1][j]:
+                    i -= 1
+                else:
+                    same.add(i - 1)
+                    i, j = i - 1, j - 1
+        same = {k for k in same if not mine[k][1]}
+        kept = [t for k, (t, inside, gone) in enumerate(mine) if k not in same and not gone and (inside or not found)]
+        assert got[page][0] == " ".join(kept) and got[page][1:] == (len(same), len(a) - len(same) - len(kept)), page
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     d = spark.read.parquet(f"{SF}/documents.parquet")
