@@ -1,4 +1,8 @@
-"""A corpus pipeline over documents: each stage works on all that the one before kept."""
+"""A corpus pipeline over documents: each stage works on all that the one before kept.
+
+In every stage repeated rows stay repeated, an empty table gives an empty table, null sources and languages are values of their own,
+and columns beyond those of documents are dropped, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -15,24 +19,34 @@ FRACTION = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter in any text (und) go; lang becomes the predicted language."""
+    """Documents without a letter in their text (und; null and empty ones too) go; lang becomes the predicted language.
+
+    Ties between languages go to the first by name; where no row has a language nothing is learned and all go.
+    """
     learned = langid.sample(docs, F.lit(True))
     out = langid.identify(docs.select(*COLUMNS), learned).where("lang_pred <> 'und'")
     return out.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (0.8 of their five-word shingles in common) the document with the smallest id stays."""
-    return copies.one_of_each(docs).select(*COLUMNS)
+    """Of each group of near-duplicates (0.8 of their five-word shingles in common) the document with the smallest id stays.
+
+    Wordless texts are copies of each other. Rows that repeat the smallest id all stay; rows with a null id take no part and stay.
+    """
+    return copies.one_of_each(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become surrogates; n_chars follows the new text."""
-    return pii.replace(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Personal data become surrogates; n_chars follows the new text (null for a null one)."""
+    return pii.replace(docs.select(*COLUMNS), PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the budgets of its domain, language and source take it."""
+    """Each document as often as the budgets of its domain, language and source take it.
+
+    Rows that repeat an id (or have none) are each taken as often as the most often taken of them.
+    """
+    docs = docs.select(*COLUMNS)
     taken = mixing.select(docs, domain(), FRACTION, EPOCHS, SEED, WEIGHTS)
     taken = taken.groupBy("doc_id").agg(F.max("copies").alias("copies"))
     out = docs.alias("d").join(taken.alias("t"), F.expr("d.doc_id <=> t.doc_id")).select("d.*", "copies")
@@ -40,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
+    """Token ids of every document of the mix; a null text has none."""
     out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.read_ranks(spark, RANKS))
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

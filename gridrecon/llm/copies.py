@@ -19,6 +19,11 @@ WIDTH, SIMILARITY = 5, 0.8
 RADIUS = 24
 #: Texts meet by any of BANDS keys of ROWS smallest hashes each; of pairs at 0.8, 3 in a million share no key.
 BANDS, ROWS = 24, 4
+#: Keys with more texts than GROUP outside their largest component are dealt again, LEVELS times at most, by keys from other
+#: choices of the same hashes.
+GROUP, LEVELS = 256, 2
+#: Of two texts at 0.8, fewer than this share of the smallest hashes agree with probability below one in ten million.
+AGREE = 0.58
 
 _RNG = np.random.default_rng(42)
 _A = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -38,16 +43,22 @@ def signature(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes())
 
 
-def sketch(s: np.ndarray) -> tuple[int, list[int]]:
-    """SimHash and band keys of a set of shingles."""
+def sketch(s: np.ndarray) -> tuple[int, np.ndarray]:
+    """SimHash of a set of shingles, and the lowest 16 bits of its smallest hashes."""
     ones, low = np.zeros(64, np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(s), 2048):
         h = s[at : at + 2048]
         ones += np.unpackbits(h.byteswap().view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
         low = np.minimum(low, (h[None] * _A[:, None] + _B[:, None]).min(1))
     fp = int.from_bytes(np.packbits(ones * 2 > len(s)).tobytes(), "big")
-    low = low.reshape(BANDS, ROWS)
-    return fp, [xxhash.xxh64_intdigest(low[k].tobytes(), k) for k in range(BANDS)]
+    return fp, (low >> np.uint64(8)).astype(np.uint16)
+
+
+def band_keys(low: np.ndarray, level: int, seed: int = 0) -> list[int]:
+    """The band keys of smallest hashes at a level; seed: the key of the level before."""
+    order = np.arange(BANDS * ROWS) if not level else np.random.default_rng(level).permutation(BANDS * ROWS)
+    low = low[order].reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(low[k].tobytes(), (seed + k) % 2**64) for k in range(BANDS)]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -61,15 +72,26 @@ def _long(x) -> pa.Array:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sigs, fps, keys = [], [], []
+        sigs, fps, lows = [], [], []
         for t in b.column(1):
             s = shingles(t.as_py())
-            fp, bands = sketch(s)
+            fp, low = sketch(s)
             sigs.append(signature(s))
             fps.append(fp)
-            keys += bands
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), _long(keys))
-        yield pa.RecordBatch.from_arrays([b.column(0), _long(sigs), _long(fps), lists], ["doc_id", "sig", "fp", "keys"])
+            lows.append(low.tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), _long(sigs), _long(fps), pa.array(lows, pa.binary())], ["doc_id", "sig", "fp", "low"])
+
+
+def _deal(level: int):
+    """Rows (sig, low, key) to (sig, key), a row for each band of the level; key is that of the level before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [k for low, key in zip(b.column(1), b.column(2).to_pylist()) for k in band_keys(np.frombuffer(low.as_buffer(), np.uint16), level, key)]
+            sig = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), _long(keys)], ["sig", "key"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,27 +102,43 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, ["sig", "bytes"])
 
 
+def _agree(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of smallest hashes agree often enough for a similarity of 0.8."""
+    least = int(AGREE * BANDS * ROWS)
+    return np.concatenate([(low[i[a : a + 65536]] == low[j[a : a + 65536]]).sum(1) >= least for a in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+
+
 def _meet(first: bool):
-    """Rows (key, fp, sig, component) sorted by key, to pairs of sigs within RADIUS that are not in one component yet.
+    """Rows (key, fp, sig, component, low) sorted by key, to pairs of sigs within RADIUS that agree and are not in one component yet.
 
-    First only neighbours in Gray order and pairs with the group's first row; then all pairs.
+    Rows outside the key's largest component are compared with others: at first with their neighbours in Gray order and with
+    two of that component, then with all.
     """
 
-    def pairs(f, s, c):
+    def pairs(f, s, c, low):
         order = np.argsort(gray_rank(f), kind="stable")
-        f, s, c = f[order], s[order], c[order]
+        f, s, c, low = f[order], s[order], c[order], low[order]
+        label, size = np.unique(c, return_counts=True)
+        large = c == label[size.argmax()]
+        own, core = np.flatnonzero(~large), np.flatnonzero(large)
+        if not len(own):
+            return
         if first:
-            n = np.arange(1, len(f))
-            i, j = np.r_[n - 1, np.zeros(len(n), np.int64)], np.r_[n, n]
-            near = np.bitwise_count(f[i] ^ f[j]) <= RADIUS
+            i = np.concatenate([own] * 4)
+            j = np.concatenate([np.maximum(own - 1, 0), np.minimum(own + 1, len(f) - 1), np.full(len(own), core[0]), np.full(len(own), core[len(core) // 2])])
+            blocks = [(i, j, np.bitwise_count(f[i] ^ f[j]) <= RADIUS)]
+        else:
+            tree, step = GrayTree(f), max(1, (1 << 20) // len(f))
+            found = (tree.search(f[own[at : at + step]], RADIUS) for at in range(0, len(own), step))
+            blocks = ((own[at : at + step][i], j, np.ones(len(i), bool)) for at, (i, j) in zip(range(0, len(own), step), found))
+        for i, j, near in blocks:
+            near &= (c[i] != c[j]) & (large[j] | (i < j) | first)
+            i, j = i[near], j[near]
+            near = _agree(low, i, j)
             yield s[i[near]], s[j[near]]
-        elif (c != c[0]).any():
-            for i, j in GrayTree(f).pairs(f, RADIUS):
-                other = c[i] != c[j]
-                yield s[i[other]], s[j[other]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
+        rest = [np.zeros(0, np.int64)] * 4 + [np.zeros((0, BANDS * ROWS), np.uint16)]
 
         def of(cols):
             key = cols[0]
@@ -109,7 +147,7 @@ def _meet(first: bool):
             for a, z in zip(cut[:-1], cut[1:]):
                 if z - a < 2:
                     continue
-                for i, j in pairs(cols[1][a:z].view(np.uint64), cols[2][a:z], cols[3][a:z]):
+                for i, j in pairs(cols[1][a:z].view(np.uint64), *(x[a:z] for x in cols[2:])):
                     held.append((np.minimum(i, j), np.maximum(i, j)))
                     n += len(i)
                     if n > 1 << 16:
@@ -123,9 +161,11 @@ def _meet(first: bool):
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["a", "b"])
 
         for b in batches:
-            cols = [np.concatenate([r, x.to_numpy(zero_copy_only=False)]) for r, x in zip(rest, b.columns)]
-            if not len(cols[0]):
+            if not b.num_rows:
                 continue
+            new = [x.to_numpy(zero_copy_only=False) for x in b.columns[:4]]
+            new.append(np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint16).reshape(b.num_rows, -1))
+            cols = [np.concatenate(x) for x in zip(rest, new)]
             other = np.flatnonzero(cols[0] != cols[0][-1])
             last = other[-1] + 1 if len(other) else 0
             rest = [x[last:] for x in cols]
@@ -150,33 +190,48 @@ def components_of(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) per row of docs (doc_id, text): the smallest id reachable over pairs of similarity 0.8 or more.
 
     Texts of the same shingles count once. Distinct ones meet by band keys; of those that meet, the pairs within
-    RADIUS bits of SimHash are compared on the shingles of their whole texts. A first round links each text to its
-    neighbours in Gray order, so that a large group of copies is one component before all pairs between
-    components are tried. Rows of null id take no part and have a null component.
+    RADIUS bits of SimHash whose smallest hashes agree are compared on the shingles of their whole texts. A first round links
+    each text to its neighbours in Gray order and to two texts of its key, so that a large group of copies is one component, which is
+    not compared with itself. Of a frequent passage's many texts a large part may share a key without being alike: such keys
+    are dealt again by keys from other choices of hashes, where texts at 0.8 meet again and others part. Rows of null id take no part.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    rows = written(src.mapInArrow(_sketches, "doc_id long, sig long, fp long, keys array<long>"), "sketches")
-    one = rows.groupBy("sig").agg(F.min("doc_id").alias("low"))
-    met = rows.select("sig", "fp", F.explode("keys").alias("key")).distinct()
-    crowd = met.groupBy("key").count().where("count > 1").select("key")
-    met = written(met.join(crowd, "key"), "met")
-    sets = src.join(met.select("sig").distinct().join(one, "sig").select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rows = written(src.mapInArrow(_sketches, "doc_id long, sig long, fp long, low binary"), "sketches")
+    texts = rows.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("low").alias("low"))  # equal for equal sigs
+
+    def dealt(some: DataFrame, level: int) -> DataFrame:
+        met = some.select("sig", "low", "key").mapInArrow(_deal(level), "sig long, key long").distinct()
+        shared = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        return written(met.join(shared, "key").join(texts.drop("first_id"), "sig"), "met")
+
+    def with_component(met: DataFrame, comp: DataFrame) -> DataFrame:
+        return met.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+
+    met = dealt(texts.withColumn("key", F.lit(0).cast("long")), 0)
+    sets = src.join(met.select("sig").distinct().join(texts, "sig").select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = written(sets.select("text").mapInArrow(_sets, "sig long, bytes binary").dropDuplicates(["sig"]), "sets")
 
-    def links(first: bool, comp: DataFrame | None) -> DataFrame:
-        m = met.withColumn("component", F.lit(0).cast("long")) if comp is None else (
-            met.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        )
-        m = m.select("key", "fp", "sig", "component").repartition("key").sortWithinPartitions("key")
+    def links(met: DataFrame, first: bool) -> DataFrame:
+        m = met.select("key", "fp", "sig", "component", "low").repartition("key").sortWithinPartitions("key")
         p = m.mapInArrow(_meet(first), "a long, b long").distinct()
         p = p.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b").select("a", "b", "one", "two")
         return written(p.mapInArrow(_similar, "a long, b long"), "similar")
 
-    near = links(True, None)
-    near = near.unionByName(links(False, components(near)))
+    near = links(met.withColumn("component", F.col("sig")), True)
+    comp = components(near)
+    for level in range(LEVELS + 1):
+        met = with_component(met, comp)
+        size = met.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg((F.sum("n") - F.max("n")).alias("others"))
+        met = written(met.join(size.where("others > 0"), "key"), "crowds")
+        few = met if level == LEVELS else met.where(F.col("others") <= GROUP)
+        near = near.unionByName(links(few, False))
+        hot = met.where(F.col("others") > GROUP)
+        if level == LEVELS or hot.isEmpty():
+            break
+        met = dealt(hot, level + 1)
     comp = components(near).select(F.col("node").alias("sig"), "component")
-    one = one.join(comp, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    ids = one.groupBy("component").agg(F.min("low").alias("component_id"))
+    one = texts.select("sig", "first_id").join(comp, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    ids = one.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "sig").join(one.join(ids, "component").select("sig", "component_id"), "sig").select("doc_id", "component_id")
 
 

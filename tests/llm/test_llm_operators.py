@@ -281,8 +281,30 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     d = spark.read.parquet(f"{SF}/documents.parquet")
     stages = {k: f for k, f in corpus_pipeline.STAGES}
-    assert stages["SimHash near-dedup"](spark, d, SF).count() == simhash.near_duplicates(d).where("doc_id = component_id").count()
+    sets = {}
+    for r in d.collect():
+        w = r.text.lower().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = classes(near, sets)
+    assert sorted(r.doc_id for r in stages["SimHash near-dedup"](spark, d, SF).collect()) == sorted(i for i in sets if want[i] == i)
     mixed = stages["mixing"](spark, d, SF)
     assert mixed.columns == d.columns and mixed.count() == mixing.select(d, queries.domain(), corpus_pipeline.FRACTION, 2, 7, queries.WEIGHTS).agg(F.sum("copies")).first()[0]
     assert stages["language ID"](spark, d.unionByName(docs(spark, [(9, "12", "en", "s")])), SF).count() == d.where("text rlike '\\\\p{L}'").count()
+    private = {r.doc_id: (r.text, r.n_chars) for r in stages["PII"](spark, d, SF).collect()}
+    assert private == {r.doc_id: (r.text, len(r.text)) for r in pii.replace(d, queries.PII_KEY).collect()}
+    tok = bpe.Tokenizer(open(queries.RANKS, "rb").read())
+    for r in stages["byte-level BPE"](spark, d, SF).join(d.select("doc_id", "text"), "doc_id").collect():
+        assert tok.decode(np.array(r.ids)) == r.text.encode() and r.n_tokens == len(r.ids)
     assert out.count() > 0 and out.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    rows = [(1, None, None, None), (2, "", None, "s"), (None, "the cat", "en", None), (3, "the cat and the dog", "en", "s"), (3, "the cat and the dog", "en", "s"), (4, "the cat and the dog", None, "s"), (5, "word " * 50_000, "en", "s")]
+    d = docs(spark, rows).withColumn("copies", F.lit("clash")).withColumn("ids", F.lit(1)).withColumn("sig", F.lit(2))
+    got = {k: f(spark, d, SF) for k, f in corpus_pipeline.STAGES}
+    ids = {k: sorted(-1 if r.doc_id is None else r.doc_id for r in x.collect()) for k, x in got.items()}
+    assert ids == {"language ID": [-1, 3, 3, 4, 5], "SimHash near-dedup": [-1, 1, 3, 3, 5], "PII": [-1, 1, 2, 3, 3, 4, 5], "mixing": ids["mixing"], "byte-level BPE": [-1, 1, 2, 3, 3, 4, 5]}
+    assert all(x.columns == list(corpus_pipeline.COLUMNS) for k, x in got.items() if k != "byte-level BPE")
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, d.limit(0), SF).count() == 0
