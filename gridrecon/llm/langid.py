@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,9 @@ TEXTS, CHARS, LONGEST = 64, 40_000, 4_000
 #: Texts are parsed from many places at once, this many symbols apart; the parts are then joined to the one parse from the start.
 PIECE, ROUNDS = 512, 4
 #: Entries of all languages' tables of common symbols; transitions on rarer symbols are kept as a sorted list.
-DENSE = 1 << 25
+DENSE = 1 << 24
+#: Characters of whole texts that are parsed together.
+TOGETHER = 1 << 20
 SPACE, OTHER = 0, 1
 
 
@@ -57,15 +60,15 @@ class Phrases:
     def __init__(self, codes: np.ndarray, symbols: int, room: int):
         counts = np.bincount(codes[codes != OTHER], minlength=symbols)
         order = np.argsort(-counts, kind="stable")[: max(1, int((counts > 0).sum()))]
-        self.rank = np.full(symbols, len(order), np.int64)  # by falling frequency; the last one occurs nowhere
+        self.rank = np.full(symbols, len(order), np.int32)  # by falling frequency; the last one occurs nowhere
         self.rank[order] = np.arange(len(order))
         self.rank[OTHER] = len(order)
         self.count = len(order) + 1
-        self.moves = automaton([c for c in self.rank[codes].tolist() if c < len(order)])
-        self.width = int(min(self.count, max(1, room // len(self.moves))))
-        self.table = np.zeros((len(self.moves), self.width), np.int32)
+        moves = automaton([c for c in self.rank[codes].tolist() if c < len(order)])
+        self.width = int(min(self.count, max(1, room // len(moves))))
+        self.table = np.zeros((len(moves), self.width), np.int32)
         rare = []
-        for s, m in enumerate(self.moves):
+        for s, m in enumerate(moves):
             for c, t in m.items():
                 if c < self.width:
                     self.table[s, c] = t
@@ -127,12 +130,19 @@ class Phrases:
 
     def one(self, own: np.ndarray) -> int:
         """Phrases of one sequence, symbol by symbol."""
-        state, count, moves = 0, 0, self.moves
+        table, width, rare = memoryview(self.table), self.width, dict(zip(self.keys.tolist(), self.to.tolist()))
+        state, count = 0, 0
         for c in own.tolist():
-            to = moves[state].get(c, 0) if state else 0
-            if not to:
-                count += 1
-                to = moves[0].get(c, 0)
+            if c < width:
+                to = table[state * width + c] if state else 0
+                if not to:
+                    count += 1
+                    to = table[c]
+            else:
+                to = rare.get(state * self.count + c, 0) if state else 0
+                if not to:
+                    count += 1
+                    to = rare.get(c, 0)
             state = to
         return count
 
@@ -265,8 +275,10 @@ def identify(docs: DataFrame, learned: tuple, text_col: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(learned)
         for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                part = b.slice(a, 2000)
+            size = np.cumsum(pa.compute.utf8_length(b.column(at).cast(pa.string())).fill_null(0).to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(size // TOGETHER, prepend=0)), b.num_rows])
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = b.slice(a, z - a)
                 texts = part.column(at).cast(pa.string()).to_pylist()
                 bits, letters = p.phrases(texts) if p.langs else (np.zeros((len(texts), 1)), np.zeros(len(texts), bool))
                 best = bits.argmin(1)
