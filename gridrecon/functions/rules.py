@@ -31,6 +31,11 @@ def prepared(items: DataFrame) -> DataFrame:
     return items.withColumns({"name": text.item_name(key, plain), "tokens": text.tokens_of(plain), "unit_norm": text.unit(F.col("unit"))}).drop("_plain")
 
 
+def pair_status(req_quantity: Column, est_quantity: Column, req_unit: Column, est_unit: Column) -> Column:
+    """Status of two rows known to belong together, whatever their names: quantity before unit before OK."""
+    return F.when(quantity_differs(req_quantity, est_quantity), "QUANTITY_MISMATCH").when(text.unit(req_unit) != text.unit(est_unit), "UNIT_MISMATCH").otherwise("OK")
+
+
 def compare(r: str = "r", e: str = "e") -> dict[str, Column]:
     """status, match_confidence, quantity_difference and unit_mismatch of rows r and e (either may be absent: ord null).
 

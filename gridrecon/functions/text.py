@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FULL = "".join(chr(i) for i in range(0xFF01, 0xFF5F))
 _HALF = "".join(chr(i - 0xFEE0) for i in range(0xFF01, 0xFF5F))
 _KANA = "".join(chr(i) for i in range(0xFF61, 0xFFA0))
 _SPACE = "(?U)\\s"
-#: What a name keeps: word characters, kana, kanji and these signs.
+# What a name keeps: word characters, kana, kanji and these signs.
 _KEEP = "(?U)[^\\w\\u3040-\\u309F\\u30A0-\\u30FF\\u4E00-\\u9FAF\\uFF61-\\uFF9FφΦ×✕*～〜,，、。]"
 
 # Spellings of units.
@@ -102,10 +104,20 @@ def title_ref_key(x: Column) -> Column:
 
 
 def references(x: Column) -> Column:
-    """All reference numbers of a page's text, longest form only, in order of first appearance."""
+    """All reference numbers of a page's text, without spaces: those of the form 第3号明 first, then 内3号 and the like.
+
+    Digits may be full-width, parts apart. A bare 第3号 is left out where a longer reference begins with it.
+    """
     t = F.translate(F.coalesce(x, F.lit("")), "０１２３４５６７８９", "0123456789")
-    found = F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit("第\\d+号[一-龯]"), F.lit(0)), F.regexp_extract_all(t, F.lit("(?<!第)[一-龯]\\s*-?\\d+号(?![一-龯])"), F.lit(0))))
-    return found
+
+    def found(pattern):
+        return F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda r: F.regexp_replace(r, _SPACE, ""))
+
+    def of(long):
+        bare = F.filter(found("(?U)[一-龯々]+\\s*[0-9]+\\s*号"), lambda r: ~(F.startswith(r, F.lit("第")) & F.exists(long, lambda q: F.startswith(q, r))))
+        return F.array_distinct(F.concat(long, bare))
+
+    return F.element_at(F.transform(F.array(found("(?U)第\\s*[0-9]+\\s*号\\s*[一-龯]")), of), 1)
 
 
 def is_reference(x: Column) -> Column:
@@ -124,19 +136,41 @@ def amount(x: Column) -> Column:
     return F.coalesce(F.when(t.rlike("^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"), t).try_cast("double"), F.lit(0.0))
 
 
+def is_description(x: Column) -> Column:
+    """Whether a cell beside a quantity is words (Latin letters, =, brackets, 号 or 明) and no part of it."""
+    return F.coalesce(x, F.lit("")).rlike("[A-Za-z=()号明]")
+
+
 def split_quantity(whole: Column, left: Column, right: Column) -> Column:
-    """A whole number with the decimals of its left, else right, neighbour cell (0.5, .5, or up to three digits)."""
-    base = F.regexp_extract(half_width(F.coalesce(whole, F.lit(""))), "\\d+(\\.\\d+)?", 0)
+    """A whole number with the decimals of its left, else right, neighbour cell (0.5, .5, or up to three digits).
+
+    Neighbours that are words are passed over. Commas end the number: 1,234 is 1.
+    """
+    base = F.regexp_extract(half_width(unspaced(whole)), "\\d+(\\.\\d+)?", 0)
 
     def part(c):
-        c = F.trim(half_width(F.coalesce(c, F.lit(""))))
-        return F.when(c.rlike("^0?\\.\\d+$"), F.regexp_extract(c, "\\.(\\d+)$", 1)).when(c.rlike("^\\d{1,3}$"), c)
+        plain = half_width(unspaced(c))
+        found = F.regexp_extract(plain, "0?\\.(\\d+)", 1)
+        return F.when(is_description(unspaced(c)), None).when(found != "", found).when(plain.rlike("^\\d{1,3}$"), plain)
 
     decimals = F.coalesce(part(left), part(right))
     joined = F.when(F.contains(base, F.lit(".")) | decimals.isNull(), base).otherwise(F.concat(base, F.lit("."), decimals))
     return F.coalesce(joined.try_cast("double"), F.lit(0.0))
 
 
+def signed_quantity(whole: Column, left: Column, right: Column) -> Column:
+    """As split_quantity, but as text, with a sign, commas dropped and no decimals added to a number that has some."""
+    plain = F.regexp_replace(half_width(unspaced(whole)), ",", "")
+    base = F.regexp_extract(plain, "[+-]?\\d+(\\.\\d+)?", 0)
+
+    def part(c):
+        c = half_width(unspaced(c))
+        return F.when(c.rlike("^0?\\.\\d+$"), F.regexp_extract(c, "\\.(\\d+)$", 1)).when(c.rlike("^\\d{1,3}$"), c)
+
+    decimals = F.coalesce(part(left), part(right))
+    return F.nullif(F.when((base == "") | F.contains(base, F.lit(".")) | decimals.isNull(), base).otherwise(F.concat(base, F.lit("."), decimals)), F.lit(""))
+
+
 def quantity_text(x: Column) -> Column:
     """Commas, trailing zeros after the point and a trailing point dropped."""
     t = F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), "[,，]", "")
@@ -197,9 +231,61 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longer > 0, F.size(F.filter(F.split(a, ""), lambda c: (c != "") & F.contains(b, c))) / longer).otherwise(0.0)
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+
+
+def nfkc(x: Column) -> Column:
+    """Compatibility form (Spark has no function for it, so texts go through Arrow once); null is empty."""
+    return _nfkc(F.coalesce(x, F.lit("")))
+
+
+def simple(x: Column) -> Column:
+    """Compatibility form without white space and commas."""
+    return F.regexp_replace(nfkc(x), "(?U)[\\s,，]", "")
+
+
+def field_text(x: Column) -> Column:
+    """Compatibility form without white space."""
+    return F.regexp_replace(nfkc(x), _SPACE, "")
+
+
+def unspaced(x: Column) -> Column:
+    """White space dropped, all else kept; null is empty."""
+    return F.regexp_replace(F.coalesce(x, F.lit("")), _SPACE, "")
+
+
+def cell(x: Column, keep: bool = False) -> Column:
+    """Text of a cell: empty for null or not a number, trimmed unless keep (the leading spaces that tell a level)."""
+    x = F.coalesce(F.when(F.lower(x) != "nan", x), F.lit(""))
+    return x if keep else F.regexp_replace(x, "(?U)^\\s+|\\s+$", "")
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """Share, in percent, of the two texts that a longest common subsequence covers."""
+    return _ratio(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+
+
+@F.pandas_udf(T.DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    def one(x, y):
+        if not x and not y:
+            return 100.0
+        where, v, full = {}, (1 << len(y)) - 1, (1 << len(y)) - 1
+        for j, c in enumerate(y):
+            where[c] = where.get(c, 0) | (1 << j)
+        for c in x:
+            u = v & where.get(c, 0)
+            v = ((v + u) | (v - u)) & full
+        return 200.0 * (len(y) - v.bit_count()) / (len(x) + len(y))
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 def longest_reference(row: Column, refs: Column) -> Column:
-    """Of the references those that the row's text holds, the longest, the first of equals; null if none."""
-    t = compact(row)
+    """Of the references those that the row's text holds, parts apart or not, the longest, the first of equals; null if none."""
+    t = F.regexp_replace(compact(row), "[,，]", "")
     held = F.filter(refs, lambda r: F.contains(t, r))
     best = F.array_max(F.transform(held, lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("at"), r.alias("ref"))))
     return best["ref"]

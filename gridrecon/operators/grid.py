@@ -24,6 +24,16 @@ def lookahead_fill(c: Column, by: list, order: list, rows: int = 4) -> Column:
     return F.coalesce(c, F.first(c, ignorenulls=True).over(over(by, order).rowsBetween(1, rows)))
 
 
+def named_rows(rows: DataFrame, by: list, order: list, named: Column, total: Column, fields: list[str], ahead: int = 4) -> DataFrame:
+    """The named rows, blank fields filled from the next rows (at most ahead of them) before the next name or total."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    df = rows.withColumn("_named", yes(named)).withColumn("_total", yes(total))
+    df = df.withColumn("_group", segment(F.col("_named") | F.col("_total"), by, order))
+    w = over([*by, "_group"], order).rowsBetween(0, ahead)
+    filled = {c: F.first(F.nullif(F.col(c).cast("string"), F.lit("")), ignorenulls=True).over(w) for c in fields}
+    return df.withColumns(filled).where("_named and not _total").drop("_named", "_total", "_group")
+
+
 def segment(opens: Column, by: list, order: list) -> Column:
     """Number of rows so far that open a segment."""
     return F.sum(F.coalesce(opens, F.lit(False)).cast("long")).over(over(by, order).rowsBetween(*_UP))

@@ -13,40 +13,49 @@ from pyspark.sql import functions as F
 from gridrecon.functions import rules, text
 
 SIDES = ("item_key", "quantity", "unit")
+GREEDY = "doc long, key string, req_ord long, est_ord long, how string, req_quantity double, req_unit string, est_quantity double, est_unit string"
 
 
 def positional(req: DataFrame, est: DataFrame) -> DataFrame:
-    """Full outer join on the position within a document, with the status of each pair."""
-    r, e = rules.prepared(req).alias("r"), rules.prepared(est).alias("e")
-    joined = r.join(e, (F.col("r.doc") == F.col("e.doc")) & (F.col("r.ord") == F.col("e.ord")), "full_outer")
-    out = joined.select(
-        F.coalesce("r.doc", "e.doc").alias("doc"), F.coalesce("r.ord", "e.ord").alias("ord"),
-        *(F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in (("r", "req"), ("e", "est")) for c in SIDES),
+    """Full outer join on the position within a document (unique on each side), with the status of each pair.
+
+    Both sides go into one grouping, so they are shuffled once together.
+    """
+    cols = ["ord", "item_key", "quantity", "unit", "name", "tokens", "unit_norm"]
+
+    def tagged(df, side):
+        return rules.prepared(df).select("doc", F.col("ord").alias("at"), F.lit(side).alias("side"), F.struct(*cols).alias("x"))
+
+    both = tagged(req, 0).unionByName(tagged(est, 1)).groupBy("doc", "at").agg(
+        *(F.first(F.when(F.col("side") == k, F.col("x")), ignorenulls=True).alias(n) for k, n in enumerate("re"))
+    )
+    return both.select(
+        "doc", F.col("at").alias("ord"), *(F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in (("r", "req"), ("e", "est")) for c in SIDES),
         *(c.alias(k) for k, c in rules.compare().items()),
     )
-    return out
 
 
 def greedy(req: DataFrame, est: DataFrame) -> DataFrame:
     """One-to-one matching within (doc, ref key), in row order: first free exact name, else all tokens, else any token.
 
-    doc, key, req_ord, est_ord, how (exact, all, any, missing, extra). A missing row carries the free row it might
-    have been, at its own place or else the first, which stays free. Names and tokens are made before the groups
-    meet, so a group (one subtable) holds only what the order of matching needs.
+    doc, key, req_ord, est_ord, how (exact, all, any, missing, extra), and quantity and unit of both rows. A missing row carries
+    the free row it might have been, at its own place or else the first, which stays free. Names and tokens are made before
+    the groups meet, so a group (one subtable) holds only what the order of matching needs.
     """
 
     def prepared(df, side):
-        return rules.prepared(df).select("doc", text.ref_key(F.col("ref")).alias("key"), F.lit(side).alias("side"), "ord", "name", "tokens")
+        return rules.prepared(df).select("doc", text.ref_key(F.col("ref")).alias("key"), F.lit(side).alias("side"), F.col("ord").cast("long").alias("ord"), "name", "tokens", F.col("quantity").cast("double").alias("quantity"), "unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by group, requested before estimated, each in order."""
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         out: list[tuple] = []
         for (doc, key), group in groupby(rows, lambda r: r[:2]):
-            req, est = [], []
-            for _, _, side, o, n, tokens in group:
-                (est if side else req).append((o, n, tokens))
-            out += [(doc, key, *x) for x in _pair_up(req, [(o, n) for o, n, _ in est])]
+            req, est = {}, {}
+            for _, _, side, o, n, tokens, quantity, unit in group:
+                (est if side else req)[o] = (n, tokens, quantity, unit)
+            for r, e, how in _pair_up([(o, x[0], x[1]) for o, x in req.items()], [(o, x[0]) for o, x in est.items()]):
+                out.append((doc, key, r, e, how, *req.get(r, (None,) * 4)[2:], *est.get(e, (None,) * 4)[2:]))
             if len(out) >= 10_000:
                 yield _batch(out)
                 out = []
@@ -54,41 +63,50 @@ def greedy(req: DataFrame, est: DataFrame) -> DataFrame:
             yield _batch(out)
 
     both = prepared(req, 0).unionByName(prepared(est, 1))
-    return both.repartition("doc", "key").sortWithinPartitions("doc", "key", "side", "ord").mapInArrow(run, "doc long, key string, req_ord long, est_ord long, how string")
+    return both.repartition("doc", "key").sortWithinPartitions("doc", "key", "side", "ord").mapInArrow(run, GREEDY)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc", "key", "req_ord", "est_ord", "how"])
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in GREEDY.split(", ")])
 
 
 def _pair_up(req: list[tuple], est: list[tuple]) -> list[tuple]:
-    """(req ord, est ord, how) of one subtable."""
-    free, out = list(est), []
+    """(req ord, est ord, how) of one subtable. Exact partners are found by name; only rows without one walk the free rows."""
+    free: dict[int, str] = dict(est)
+    named: dict[str, list[int]] = {}
+    for o, n in reversed(est):
+        named.setdefault(n, []).append(o)
+    out = []
     for at, (o, n, tokens) in enumerate(req):
-        for how, test in (("exact", lambda x: x == n), ("all", lambda x: all(t in x for t in tokens)), ("any", lambda x: any(t in x for t in tokens))):
-            hit = next((i for i, (_, x) in enumerate(free) if test(x)), None)
-            if hit is not None:
-                out.append((o, free.pop(hit)[0], how))
-                break
+        same = named.get(n, [])
+        while same and same[-1] not in free:
+            same.pop()
+        if same:
+            hit, how = same.pop(), "exact"
+        else:
+            hit, how = next((e for e, x in free.items() if all(t in x for t in tokens)), None), "all"
+            if hit is None:
+                hit, how = next((e for e, x in free.items() if any(t in x for t in tokens)), None), "any"
+        if hit is None:
+            own = est[at][0] if at < len(est) and est[at][0] in free else next(iter(free), None)
+            out.append((o, own, "missing"))
         else:
-            own = est[at] if at < len(est) and est[at] in free else free[0] if free else (None,)
-            out.append((o, own[0], "missing"))
-    return out + [(None, o, "extra") for o, _ in free]
+            del free[hit]
+            out.append((o, hit, how))
+    return out + [(None, o, "extra") for o in free]
 
 
-def subtable_status(matched: DataFrame, req: DataFrame, est: DataFrame) -> DataFrame:
+def subtable_status(matched: DataFrame) -> DataFrame:
     """greedy()'s rows with the status of each pair; only exact names are certain (confidence 1)."""
-    m = matched.alias("m").join(req.alias("r"), (F.col("m.doc") == F.col("r.doc")) & (F.col("m.req_ord") == F.col("r.ord")), "left").join(
-        est.alias("e"), (F.col("m.doc") == F.col("e.doc")) & (F.col("m.est_ord") == F.col("e.ord")), "left"
-    )
-    qty = rules.quantity_differs(F.col("r.quantity"), F.col("e.quantity"))
-    unit = text.unit(F.col("r.unit")) != text.unit(F.col("e.unit"))
+    m = matched
+    qty = rules.quantity_differs(F.col("req_quantity"), F.col("est_quantity"))
+    unit = text.unit(F.col("req_unit")) != text.unit(F.col("est_unit"))
     status = (
         F.when(F.col("how").isin("missing", "extra"), F.upper("how")).when(qty, "QUANTITY_MISMATCH").when(unit, "UNIT_MISMATCH")
         .when(F.col("how") != "exact", "NAME_MISMATCH").otherwise("OK")
     )
-    return m.select("m.doc", "key", "req_ord", "est_ord", "how", status.alias("status"), F.when(F.col("how") == "exact", 1.0).otherwise(0.0).alias("match_confidence"))
+    return m.select("doc", "key", "req_ord", "est_ord", "how", status.alias("status"), F.when(F.col("how") == "exact", 1.0).otherwise(0.0).alias("match_confidence"))
 
 
 def missing_by_name(req: DataFrame, est: DataFrame) -> DataFrame:
@@ -136,17 +154,52 @@ def best_candidate(req: DataFrame, est: DataFrame, k: int = 1) -> DataFrame:
 
 
 def fuzzy_best(req: DataFrame, est: DataFrame, least: int = 80) -> DataFrame:
-    """Best estimated name of the document by edit distance (ratio in whole percent) for names without an exact partner."""
+    """Best estimated name of the document by edit distance (ratio in whole percent) for names without an exact partner.
+
+    Distinct names of a document meet once, and only those whose lengths allow the ratio are compared.
+    """
     n = text.item_name(F.col("item_key"))
     r = req.select("doc", F.col("ord").alias("req_ord"), n.alias("name"))
     e = est.select("doc", F.col("ord").alias("est_ord"), n.alias("other"))
     r = r.join(e.select("doc", F.col("other").alias("name")).distinct(), ["doc", "name"], "left_anti")
     ratio = F.floor(F.lit(100) * (1 - F.levenshtein("name", "other") / F.greatest(F.length("name"), F.length("other"), F.lit(1)))).cast("int")
-    both = r.join(e, "doc").withColumn("ratio", ratio).where(F.col("ratio") >= least)
+    # only names of near lengths can reach the ratio, and these are compared by distinct pairs of names
+    pairs = r.select("doc", "name").distinct().join(e.select("doc", "other").distinct(), "doc")
+    near = F.least(F.length("name"), F.length("other")) * 100 >= F.greatest(F.length("name"), F.length("other")) * least
+    pairs = pairs.where(near).withColumn("ratio", ratio).where(F.col("ratio") >= least)
+    both = r.join(pairs, ["doc", "name"]).join(e, ["doc", "other"])
     best = both.groupBy("doc", "req_ord").agg(F.max(F.struct("ratio", (-F.col("est_ord")).alias("o"))).alias("x"))
     return best.select("doc", "req_ord", (-F.col("x.o")).alias("est_ord"), F.col("x.ratio").alias("ratio"))
 
 
+def cascade(req: DataFrame, est: DataFrame) -> DataFrame:
+    """doc, req_ord, est_ord, how, status: for each requested item the first estimated one of the document that fits best.
+
+    how: exact (equal names), folded (equal but for width, case and spaces), all or any (tokens in the name), missing (then est_ord
+    is the row that shares most character pairs). Rows may be found more than once. Names meet through equi-joins: on the name, on
+    its folded form, and on character pairs for the rest.
+    """
+    r = rules.prepared(req).select("doc", F.col("ord").alias("req_ord"), "name", "tokens", text.strict_name(F.col("item_key")).alias("folded"), F.col("quantity").alias("rq"), F.col("unit").alias("ru"))
+    e = rules.prepared(est).select("doc", F.col("ord").alias("est_ord"), F.col("name").alias("other"), text.strict_name(F.col("item_key")).alias("folded"), F.col("quantity").alias("eq"), F.col("unit").alias("eu"))
+    shared = token_overlap(req, est)
+    near = shared.join(r.select("doc", "req_ord", "tokens"), ["doc", "req_ord"]).join(e.select("doc", "est_ord", "other"), ["doc", "est_ord"])
+    near = near.select("doc", "req_ord", "est_ord", F.when(rules.all_tokens(F.col("tokens"), F.col("other")), 2).when(rules.any_token(F.col("tokens"), F.col("other")), 3).otherwise(4).alias("rank"), "shared")
+    exact = r.join(e.drop("folded"), (r["doc"] == e["doc"]) & (r["name"] == e["other"])).select(r["doc"], "req_ord", "est_ord", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("shared"))
+    folded = r.join(e.drop("other"), ["doc", "folded"]).select("doc", "req_ord", "est_ord", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("shared"))
+    order = F.struct("rank", F.when(F.col("rank") == 4, -F.col("shared")).otherwise(F.lit(0)).alias("s"), "est_ord")
+    best = exact.unionByName(folded).unionByName(near).groupBy("doc", "req_ord").agg(F.min(order).alias("x"))
+    out = r.select("doc", "req_ord", "rq", "ru").join(best, ["doc", "req_ord"], "left").withColumn("est_ord", F.col("x.est_ord"))
+    out = out.join(e.select("doc", "est_ord", "eq", "eu"), ["doc", "est_ord"], "left")
+    how = F.coalesce(F.get(F.array(*map(F.lit, ("exact", "folded", "all", "any", "missing"))), F.col("x.rank")), F.lit("missing"))
+    status = F.when(how == "missing", "MISSING").otherwise(rules.pair_status(F.col("rq"), F.col("eq"), F.col("ru"), F.col("eu")))
+    return out.select("doc", "req_ord", "est_ord", how.alias("how"), status.alias("status"))
+
+
+def title_mismatches(joined: DataFrame) -> DataFrame:
+    """titles()'s rows of both sides that do not match, those that could not be compared (match null) among them."""
+    return joined.where("side = 'both' and not coalesce(match, false)").withColumn("reason", F.when(F.col("match").isNull(), "skipped").otherwise("differs"))
+
+
 def titles(req: DataFrame, est: DataFrame) -> DataFrame:
     """Full outer join of subtables on (doc, key): side is both, left or right. First left row and last right row speak.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# The statuses of a compared row.
 STATUSES = ("OK", "QUANTITY_MISMATCH", "UNIT_MISMATCH", "NAME_MISMATCH", "MISSING", "EXTRA")
 
 
@@ -20,10 +21,35 @@ def breakdown(results: DataFrame, by: str) -> DataFrame:
     return g.select("*", *pct)
 
 
+def side_breakdown(results: DataFrame) -> DataFrame:
+    """Counts and shares of each status by document side (requested, estimated) and kind of table, and over all kinds (kind null).
+
+    results: kind, status. A row counts for the requested side unless it is extra, for the estimated side unless missing.
+    """
+    sides = F.filter(F.array(F.when(F.col("status") != "EXTRA", F.lit("requested")), F.when(F.col("status") != "MISSING", F.lit("estimated"))), lambda s: s.isNotNull())
+    g = results.select("kind", "status", F.explode(sides).alias("side")).groupingSets([["side", "kind"], ["side"]], "side", "kind")
+    g = g.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES))
+    return g.select("*", *(F.bround((F.col(s.lower()) * 100).cast("decimal(20,4)") / F.col("total"), 1).cast("double").alias(f"{s.lower()}_pct") for s in STATUSES))
+
+
+def checklist_table(sections: DataFrame) -> DataFrame:
+    """Checklist cells of sections that are lists: a heading row, the first row's keys, then a row for each entry by these keys.
+
+    sections: section_no, title, rows array<map<string,string>>; a null or empty list gives no section.
+    """
+    s = sections.where(F.size("rows") > 0).withColumn("keys", F.map_keys(F.get("rows", F.lit(0))))
+    head = s.select("section_no", F.lit(0).alias("row_no"), F.lit(0).alias("col_no"), F.col("title").alias("value"))
+    names = s.select("section_no", F.lit(1).alias("row_no"), F.posexplode("keys").alias("col_no", "value"))
+    body = s.select("section_no", "keys", F.posexplode("rows").alias("pos", "row"))
+    body = body.select("section_no", (F.col("pos") + 2).alias("row_no"), F.posexplode(F.transform("keys", lambda k: F.coalesce(F.col("row")[k], F.lit("")))).alias("col_no", "value"))
+    return head.unionByName(names).unionByName(body)
+
+
 def pattern_histogram(refs: DataFrame) -> DataFrame:
-    """Subtables by kind of reference, for each sheet and overall (sheet null)."""
+    """Subtables by kind of reference, for each sheet and overall (sheet null, overall true)."""
     kind = F.coalesce(*(F.when(F.startswith("ref", F.lit(p)), p) for p in ("内", "単", "代", "施")), F.lit("Other"))
-    return refs.withColumn("pattern", kind).rollup("sheet", "pattern").agg(F.count("*").alias("n")).where("pattern is not null or sheet is null").where("pattern is not null")
+    sets = refs.select("sheet", kind.alias("pattern")).groupingSets([["sheet", "pattern"], ["pattern"]], "sheet", "pattern")
+    return sets.agg((F.grouping("sheet") == 1).alias("overall"), F.count("*").alias("n"))
 
 
 def union_report(**parts: DataFrame) -> DataFrame:
@@ -35,6 +61,12 @@ def union_report(**parts: DataFrame) -> DataFrame:
     return out
 
 
+def tagged(rows: DataFrame, **parts: Column) -> DataFrame:
+    """A row for each of the reports (by name) whose condition it meets: one pass over rows, however many reports."""
+    tags = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in parts.items())), lambda t: t.isNotNull())
+    return rows.select(F.explode(tags).alias("report"), "*")
+
+
 def checklist(sections: DataFrame) -> DataFrame:
     """Checklist cells (section_no, row_no, col_no, value): a heading row, then key and value of each field in order.
 

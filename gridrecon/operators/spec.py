@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 from gridrecon.functions import text
 
 # Labels of the estimate fields.
-FIELDS = {
-    "工種区分": r"工種区分\s*[:：]?\s*(\S+)", "工事中止日数": r"工事中止日数\s*[:：]?\s*([0-9０-９]+)", "単価地区": r"単価地区\s*[:：]?\s*(\S+)",
-    "単価使用年月": r"単価使用年月\s*[:：]?\s*(\S+)", "歩掛適用年月": r"歩掛適用年月\s*[:：]?\s*(\S+)", "総日数": r"([0-9０-９]+日間)",
-}
+LABELS = ("工種区分", "工事中止日数", "単価地区", "単価使用年月", "歩掛適用年月", "総日数")
 
 
 def article_spans(words: DataFrame) -> DataFrame:
@@ -39,8 +36,32 @@ def article_text(pages: DataFrame) -> DataFrame:
 
 
 def estimate_fields(page_text: Column) -> list[Column]:
-    """The six fields of an estimate's reference page; null where not found."""
-    return [text.field(page_text, p).alias(k) for k, p in FIELDS.items()]
+    """The six fields of an estimate's reference page; null where not found.
+
+    Labels may be spaced out. Most fields are the word behind the label; of days the first number behind it that 日
+    follows; of months year and month, or else the word; the total is the first 日間 of the page, its digits as written.
+    """
+    t = F.trim(F.regexp_replace(F.coalesce(page_text, F.lit("")), "(?U)\\s+", " "))
+
+    def label(i: int) -> str:
+        return " *".join(LABELS[i])
+
+    def found(pattern: str, group: int = 1) -> Column:
+        return F.nullif(F.regexp_extract(t, pattern, group), F.lit(""))
+
+    def digits(x: Column) -> Column:
+        return F.translate(x, "０１２３４５６７８９", "0123456789")
+
+    def word(i: int) -> Column:
+        return found(f"{label(i)} *[:：]? *([^ ]+)")
+
+    def month(i: int) -> Column:
+        p = f"{label(i)} *[:：]? *([0-9０-９]{{4}})年 *([0-9０-９]{{1,2}})月"
+        return F.coalesce(F.concat(digits(found(p)), F.lit("年 "), digits(found(p, 2)), F.lit("月")), word(i))
+
+    days = F.concat(digits(found(f"{label(1)}.*?([0-9０-９]+) *日")), F.lit("日"))
+    total = F.concat(found("([0-9０-９]+) *日 *間"), F.lit("日間"))
+    return [c.alias(k) for k, c in zip(LABELS, (word(0), days, word(2), month(3), month(4), total))]
 
 
 def checked_rows(rows: DataFrame, first: str) -> DataFrame:

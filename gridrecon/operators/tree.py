@@ -2,40 +2,112 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridrecon.functions import text
+from gridrecon.operators.stored import written
 
 # Names of the totals of an estimate.
 DIRECT, NET, COST, PRICE, TOTAL = "直接工事費", "純工事費", "工事原価", "工事価格", "工事費計"
 SITE, GENERAL, TAX, TAX_ALT = "現場管理費", "一般管理費等", "消費税額及び地方消費税額", "消費税相当額"
-DEPTH = 12
 
 
 def with_parent(rows: DataFrame, level: Column | None = None) -> DataFrame:
-    """level, parent_seq: the nearest earlier row of the document with a smaller level (null: none).
+    """rows with level, parent_seq (the nearest earlier row of the document with a smaller level; null: none) and ancestors.
 
-    Levels beyond DEPTH count as DEPTH. One window holds, for each level, the last row at it.
+    ancestors: seqs of the rows above, from the root down. Levels may be of any depth and may leave some out. Rows go by
+    document in order through Arrow, and of each document only the rows above the present one are held.
     """
-    lv = F.least(level if level is not None else text.level(F.col("item_name")), F.lit(DEPTH)).cast("int")
-    df = rows.withColumn("level", lv)
-    w = W.partitionBy("doc").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == k, F.col("seq")), ignorenulls=True).over(w) for k in range(DEPTH)]
-    parent = F.greatest(F.lit(None).cast("long"), *(F.when(F.col("level") > k, last[k].cast("long")) for k in range(DEPTH)))
-    return df.withColumn("parent_seq", parent)
+    df = rows.withColumn("level", (level if level is not None else text.level(F.col("item_name"))).cast("int")).drop("parent_seq", "ancestors")
+    kind = T.LongType()
+    schema = T.StructType([*df.schema.fields, T.StructField("parent_seq", kind), T.StructField("ancestors", T.ArrayType(kind))])
+    names = df.columns
+    doc, seq, lv = (names.index(c) for c in ("doc", "seq", "level"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, above = None, []
+        for b in batches:
+            lists = []
+            for d, s, n in zip(b.column(doc).to_pylist(), b.column(seq).to_pylist(), b.column(lv).to_pylist()):
+                if d != at:
+                    at, above = d, []
+                while above and above[-1][0] >= n:
+                    above.pop()
+                lists.append([x for _, x in above])
+                above.append((n, s))
+            new = [pa.array([x[-1] if x else None for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*names, "parent_seq", "ancestors"])
+
+    return df.repartition("doc").sortWithinPartitions("doc", "seq").mapInArrow(run, schema)
 
 
 def with_path(rows: DataFrame, sep: str = "/") -> DataFrame:
-    """path: names from the root down; each level is one join of a document's rows with those above."""
-    path = rows.where("parent_seq is null").withColumn("path", F.trim(F.regexp_replace("item_name", "　", "")))
-    done = path
-    for _ in range(DEPTH):
-        kids = rows.alias("c").join(path.select("doc", "seq", "path").alias("p"), (F.col("c.doc") == F.col("p.doc")) & (F.col("c.parent_seq") == F.col("p.seq")))
-        path = kids.select("c.*", F.concat("p.path", F.lit(sep), F.trim(F.regexp_replace("c.item_name", "　", ""))).alias("path"))
-        done = done.unionByName(path)
-    return done
+    """path: names from the root down, for rows with parent_seq, to any depth; rows on a cycle or below none are left out.
+
+    Every round joins each row's path so far with that of the topmost row it begins with, so a tree of depth n takes about
+    log2(n) rounds; each is written to the shared folder, and rows that have reached their root are joined no more.
+    """
+    cut = F.trim(F.regexp_replace("item_name", "　", ""))
+    open_ = written(rows.select("doc", "seq", F.col("parent_seq").alias("up"), cut.alias("path")), "paths")
+    left, rest = rows.count(), 1
+    while rest:
+        p = open_.select("doc", F.col("seq").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
+        moved = open_.where("up is not null").join(p, ["doc", "up"])
+        moved = moved.select("doc", "seq", F.col("next").alias("up"), F.concat("before", F.lit(sep), "path").alias("path"))
+        open_ = written(open_.where("up is null").unionByName(moved), "paths")
+        rest = open_.where("up is not null").count()
+        left //= 2
+        if not left:  # longer than any tree of so many rows: only cycles are left
+            break
+    return rows.join(open_.where("up is null").select("doc", "seq", "path"), ["doc", "seq"]).select(*rows.columns, "path")
+
+
+def recursion_path(rows: DataFrame, special: Column) -> DataFrame:
+    """passes: whether a check of sums that starts at the roots reaches a row: none above it is special or without children.
+
+    rows: with ancestors. A row above another has children, so only special rows stop it.
+    """
+    stops = rows.where(F.coalesce(special, F.lit(False))).select("doc", F.col("seq").alias("stop"))
+    held = rows.select("doc", "seq", F.explode("ancestors").alias("stop")).join(stops, ["doc", "stop"]).select("doc", "seq").distinct()
+    return rows.join(held.withColumn("_held", F.lit(True)), ["doc", "seq"], "left").withColumn("passes", F.col("_held").isNull()).drop("_held")
+
+
+def check_sums(rows: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Rows with children that the check reaches (recursion_path) and that are no totals: amount against the sum of the children."""
+    special = text.compact(F.col("item_name")).isin(DIRECT, NET, COST, PRICE, TOTAL, TAX, TAX_ALT)
+    reached = recursion_path(rows, special).where("passes").where(~F.coalesce(special, F.lit(False)))
+    both = reached.join(children_sums(rows).withColumnRenamed("parent_seq", "seq"), ["doc", "seq"])
+    out = both.withColumn("actual", money(F.col("amount"))).withColumn("difference", F.col("actual") - F.col("children_sum"))
+    return out.select("doc", "seq", "item_name", "level", "actual", F.col("children_sum").alias("expected"), "difference", (F.abs("difference") <= tolerance).alias("ok"))
+
+
+def check_totals_again(rows: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """The second reading of three totals, without segments: doc, item_name, actual, expected, ok; the first row of a name speaks.
+
+    The direct cost is the sum of the level-0 rows before it, the net cost the direct cost and what follows up to it, the
+    prime cost the net cost and all of that row's children.
+    """
+    top = rows.where("level = 0").withColumn("name", text.compact(F.col("item_name"))).withColumn("m", money(F.col("amount")))
+    top = top.join(children_sums(rows).withColumnRenamed("parent_seq", "seq"), ["doc", "seq"], "left")
+    w = W.partitionBy("doc").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    top = top.withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0)))
+    one = top.groupBy("doc").agg(*(F.min_by(F.struct("m", "before", F.coalesce("children_sum", F.lit(0)).alias("under")), F.when(F.col("name") == n, F.col("seq"))).alias(k) for k, n in (("d", DIRECT), ("n", NET), ("c", COST))))
+    net = F.col("d.m") + (F.col("n.before") - F.col("d.before") - F.col("d.m"))
+    parts = [(DIRECT, F.col("d.m"), F.col("d.before")), (NET, F.col("n.m"), net), (COST, F.col("c.m"), F.col("n.m") + F.col("n.under"))]
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("item_name"), a.cast("decimal(18,2)").alias("actual"), e.cast("decimal(18,2)").alias("expected")) for n, a, e in parts)))
+    out = one.select("doc", each.alias("x")).select("doc", "x.*").where("actual is not null and expected is not null")
+    return out.withColumn("ok", F.abs(F.col("actual") - F.col("expected")) <= tolerance)
+
+
+def flatten(rows: DataFrame) -> DataFrame:
+    """rows (with ancestors) in pre-order with depth counted anew from 0: a level left out counts as none."""
+    return rows.withColumn("depth", F.size("ancestors")).orderBy("doc", "seq")
 
 
 def money(c: Column) -> Column:
@@ -100,20 +172,9 @@ def first_mismatches(bad: DataFrame) -> DataFrame:
     return bad.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def ancestors(rows: DataFrame) -> DataFrame:
-    """ancestors: seqs of the rows above, from the root down, from one window over rows with level.
-
-    The last row of each smaller level is one if no row of a still smaller level has come since.
-    """
-    w = W.partitionBy("doc").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    last = F.array(*(F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("seq")), ignorenulls=True).over(w)) for k in range(DEPTH)))
-    rising = lambda acc, x: F.when(x > F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)), F.concat(acc, F.array(x))).otherwise(acc)
-    return rows.withColumn("_last", last).withColumn("ancestors", F.aggregate("_last", F.array().cast("array<bigint>"), lambda a, x: rising(a, x.cast("long")))).drop("_last")
-
-
 def nearest_descendant(rows: DataFrame, has: Column) -> DataFrame:
-    """(doc, seq, found): for each row with such rows below it, the first of them breadth first; rows with level, seq from 0."""
-    below = ancestors(rows.withColumn("_has", F.coalesce(has, F.lit(False)))).where("_has").select("doc", F.col("seq").alias("found"), F.posexplode(F.reverse("ancestors")).alias("depth", "seq"))
+    """(doc, seq, found): for each row with such rows below it, the first of them breadth first; rows with ancestors."""
+    below = rows.where(F.coalesce(has, F.lit(False))).select("doc", F.col("seq").alias("found"), F.posexplode(F.reverse("ancestors")).alias("depth", "seq"))
     return below.groupBy("doc", "seq").agg(F.min(F.struct("depth", "found")).alias("x")).select("doc", "seq", F.col("x.found").alias("found"))
 
 

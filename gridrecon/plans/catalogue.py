@@ -131,15 +131,44 @@ def extra_simplified(spark, sf):
     return match.extra_simplified(*pair(spark, sf)).select("doc", "ord", "item_key", "unit", "quantity")
 
 
-@query()
+_KEY = "regexp_replace(ref, '^(.)(\\d+)号$', '\\1:\\2') AS key"
+#: The walk row by row: each step takes the next requested row of a subtable and the list of rows used so far.
+_GREEDY = f"""WITH RECURSIVE {_ITEMS},
+rr AS (SELECT doc, {_KEY}, ord, quantity, unit, {_name("item_key")} AS n FROM req),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc, key ORDER BY ord) AS i, list_concat({_pairs("n")}, list_filter(regexp_extract_all(n, '\\d+|\\D+'), lambda t: len(t) >= 2)) AS tokens FROM rr),
+ee AS (SELECT doc, {_KEY}, ord, quantity, unit, {_name("item_key")} AS n FROM est),
+es AS (SELECT doc, key, list({{'o': ord, 'n': n}} ORDER BY ord) AS es FROM ee GROUP BY ALL),
+g AS (SELECT doc, key, es FROM (SELECT DISTINCT doc, key FROM rk) FULL JOIN es USING (doc, key)),
+s AS (
+  SELECT doc, key, coalesce(es, []) AS es, 0 AS i, CAST([] AS INTEGER[]) AS used, CAST(NULL AS INTEGER) AS req_ord, CAST(NULL AS INTEGER) AS est_ord, CAST(NULL AS VARCHAR) AS how FROM g
+  UNION ALL
+  SELECT doc, key, es, i, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END, req_ord, coalesce(hit, own), how FROM (
+    SELECT *, coalesce(x, y, z) AS hit, CASE WHEN x IS NOT NULL THEN 'exact' WHEN y IS NOT NULL THEN 'all' WHEN z IS NOT NULL THEN 'any' ELSE 'missing' END AS how,
+           CASE WHEN list_contains(list_transform(free, lambda f: f.o), es[i].o) THEN es[i].o ELSE free[1].o END AS own
+    FROM (SELECT doc, key, es, rk_i AS i, used, ord AS req_ord, free, list_filter(free, lambda f: f.n = n)[1].o AS x,
+                 list_filter(free, lambda f: coalesce(list_bool_and(list_transform(tokens, lambda t: contains(f.n, t))), true))[1].o AS y,
+                 list_filter(free, lambda f: coalesce(list_bool_or(list_transform(tokens, lambda t: contains(f.n, t))), false))[1].o AS z
+          FROM (SELECT s.doc, s.key, s.es, s.used, rk.i AS rk_i, rk.ord, rk.n, rk.tokens, list_filter(s.es, lambda f: NOT list_contains(s.used, f.o)) AS free
+                FROM s JOIN rk ON rk.doc = s.doc AND rk.key = s.key AND rk.i = s.i + 1)))),
+last AS (SELECT doc, key, arg_max(used, i) AS used, any_value(es) AS es FROM s GROUP BY ALL),
+pairs AS (
+  SELECT doc, key, req_ord, est_ord, how FROM s WHERE i > 0
+  UNION ALL SELECT doc, key, NULL, unnest(list_transform(list_filter(es, lambda f: NOT list_contains(used, f.o)), lambda f: f.o)), 'extra' FROM last),
+gm AS (SELECT p.doc, p.key, CAST(req_ord AS BIGINT) AS req_ord, CAST(est_ord AS BIGINT) AS est_ord, how, r.quantity AS req_quantity, r.unit AS req_unit, e.quantity AS est_quantity, e.unit AS est_unit
+      FROM pairs p LEFT JOIN rr r ON r.doc = p.doc AND r.ord = p.req_ord LEFT JOIN ee e ON e.doc = p.doc AND e.ord = p.est_ord)"""
+
+
+@query(f"{_GREEDY} SELECT * FROM gm")
 def subtable_greedy_match(spark, sf):
     return match.greedy(*pair(spark, sf))
 
 
-@query()
+@query(f"""{_GREEDY} SELECT doc, key, req_ord, est_ord, how, CASE WHEN how IN ('missing', 'extra') THEN upper(how)
+  WHEN CASE WHEN req_quantity IS NULL THEN est_quantity IS NULL ELSE abs(coalesce(est_quantity, 0) - req_quantity) >= 0.001 END THEN 'QUANTITY_MISMATCH'
+  WHEN {_unit("req_unit")} <> {_unit("est_unit")} THEN 'UNIT_MISMATCH' WHEN how <> 'exact' THEN 'NAME_MISMATCH' ELSE 'OK' END AS status,
+  CASE WHEN how = 'exact' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS match_confidence FROM gm""")
 def subtable_status(spark, sf):
-    req, est = pair(spark, sf)
-    return match.subtable_status(match.greedy(req, est), req, est)
+    return match.subtable_status(match.greedy(*pair(spark, sf)))
 
 
 _OVERLAP = f"""WITH {_ITEMS}, r AS (SELECT doc, ord AS req_ord, unnest(list_distinct({_pairs(_name("item_key"))})) AS p FROM req),
@@ -234,8 +263,8 @@ def first_page_per_ref(spark, sf):
     return requested(spark, sf).groupBy("ref").agg(F.min("doc").alias("first_page"), F.count("*").alias("n_rows"))
 
 
-@query("""SELECT CAST(s_nationkey AS INTEGER) AS sheet, pattern, count(*) AS n FROM (SELECT *, ['内', '単', '代', '施', 'Other'][CAST(s_suppkey % 5 + 1 AS INTEGER)] AS pattern FROM supplier)
-GROUP BY GROUPING SETS ((s_nationkey, pattern)) """)
+@query("""SELECT CAST(s_nationkey AS INTEGER) AS sheet, pattern, grouping(s_nationkey) = 1 AS overall, count(*) AS n FROM (SELECT *, ['内', '単', '代', '施', 'Other'][CAST(s_suppkey % 5 + 1 AS INTEGER)] AS pattern FROM supplier)
+GROUP BY GROUPING SETS ((s_nationkey, pattern), (pattern))""")
 def ref_pattern_rollup(spark, sf):
     ref = F.concat(F.element_at(F.array(*map(F.lit, ("内", "単", "代", "施", "明"))), (F.col("s_suppkey") % 5 + 1).cast("int")), F.col("s_suppkey").cast("string"), F.lit("号"))
     return report.pattern_histogram(table(spark, sf, "supplier").select(F.col("s_nationkey").alias("sheet"), ref.alias("ref")))
@@ -304,20 +333,29 @@ def article_intervals(spark, sf):
     return spec.article_pages(spans, e.select(F.col("user_id").alias("doc"), F.col("ts").alias("page"), "event_id")).select("event_id", "article")
 
 
+#: Names of a customer's orders in turn, the totals of an estimate among them, and of an order's lines.
+TOPS = ("工種", "工種", tree.DIRECT, "工種", tree.NET, tree.COST, tree.PRICE, tree.TAX_ALT, tree.TOTAL)
+KIDS = ("　" + tree.SITE, "　細別", "　細別", "　" + tree.GENERAL, "　細別")
+
+
+def _list(names: tuple[str, ...]) -> str:
+    return "['" + "', '".join(names) + "']"
+
+
 def _sheet(spark, sf):
-    """Orders and their lines as the rows of one estimate sheet per customer: level by position, amounts as text."""
+    """Orders and their lines as the rows of one estimate sheet per customer: level by position."""
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
-    a = o.select(F.col("o_custkey").alias("doc"), (F.col("o_orderkey") * 100).alias("seq"), F.lit("工種").alias("item_name"), F.lit(0).alias("level"), F.col("o_totalprice").alias("amount"), F.lit(None).cast("double").alias("unit_price"), F.lit(None).cast("double").alias("quantity"))
+    a = o.select(F.col("o_custkey").alias("doc"), (F.col("o_orderkey") * 100).alias("seq"), F.element_at(F.array(*map(F.lit, TOPS)), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) % len(TOPS) + 1).alias("item_name"), F.lit(0).alias("level"), F.col("o_totalprice").alias("amount"), F.lit(None).cast("double").alias("unit_price"), F.lit(None).cast("double").alias("quantity"))
     n = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ORDER))
     b = li.withColumn("n", n).join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    b = b.select(F.col("o_custkey").alias("doc"), (F.col("l_orderkey") * 100 + F.col("n")).alias("seq"), F.lit("　細別").alias("item_name"), (F.col("n") % 3 + 1).alias("level"), F.col("l_extendedprice").alias("amount"), price.alias("unit_price"), F.col("l_quantity").alias("quantity"))
+    b = b.select(F.col("o_custkey").alias("doc"), (F.col("l_orderkey") * 100 + F.col("n")).alias("seq"), F.element_at(F.array(*map(F.lit, KIDS)), F.col("n") % len(KIDS) + 1).alias("item_name"), (F.col("n") % 3 + 1).alias("level"), F.col("l_extendedprice").alias("amount"), price.alias("unit_price"), F.col("l_quantity").alias("quantity"))
     return a.unionByName(b)
 
 
 _SHEET = f"""s AS (
-  SELECT o_custkey AS doc, o_orderkey * 100 AS seq, '工種' AS item_name, 0 AS level, o_totalprice AS amount, NULL::DOUBLE AS unit_price, NULL::DOUBLE AS quantity FROM orders
-  UNION ALL SELECT o_custkey, l_orderkey * 100 + n, '　細別', CAST(n % 3 + 1 AS INTEGER), l_extendedprice, round(l_extendedprice / l_quantity, 2), l_quantity
+  SELECT o_custkey AS doc, o_orderkey * 100 AS seq, {_list(TOPS)}[CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) % {len(TOPS)} + 1 AS INTEGER)] AS item_name, 0 AS level, o_totalprice AS amount, NULL::DOUBLE AS unit_price, NULL::DOUBLE AS quantity FROM orders
+  UNION ALL SELECT o_custkey, l_orderkey * 100 + n, {_list(KIDS)}[CAST(n % {len(KIDS)} + 1 AS INTEGER)], CAST(n % 3 + 1 AS INTEGER), l_extendedprice, round(l_extendedprice / l_quantity, 2), l_quantity
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(ORDER)}) AS n FROM lineitem) JOIN orders ON l_orderkey = o_orderkey),
 t AS (SELECT *, greatest({", ".join(f"CASE WHEN level > {k} THEN last_value(CASE WHEN level = {k} THEN seq END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END" for k in range(4))}) AS parent_seq FROM s)"""
 
@@ -341,14 +379,25 @@ def row_amount_check(spark, sf):
     return tree.check_rows(_sheet(spark, sf)).where("level > 0").select("doc", "seq", "ok")
 
 
-@query(f"""WITH {_SHEET}, k AS (SELECT doc, parent_seq AS seq, sum(CAST(amount AS DECIMAL(18,2))) AS c FROM t WHERE parent_seq IS NOT NULL GROUP BY ALL)
-SELECT t.doc, t.seq, CAST(CAST(amount AS DECIMAL(18,2)) AS DOUBLE) AS actual, CAST(coalesce(c, CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS expected FROM t LEFT JOIN k ON t.doc = k.doc AND t.seq = k.seq WHERE level = 0""")
+#: z: level-0 rows with what they should be; each segment ends with its total, whose parts are looked up by name.
+_CHAIN = f"""{_SHEET}, a AS (SELECT *, CAST(amount AS DECIMAL(18,2)) AS m FROM t),
+k AS (SELECT doc, parent_seq AS seq, sum(m) AS c, max(m) FILTER (item_name = '　{tree.SITE}') AS site, max(m) FILTER (item_name = '　{tree.GENERAL}') AS general FROM a WHERE parent_seq IS NOT NULL GROUP BY ALL),
+z0 AS (SELECT a.doc, a.seq, item_name AS name, m, c, coalesce(site, 0) AS site, coalesce(general, 0) AS general,
+         (SELECT count(*) FROM a b WHERE b.doc = a.doc AND b.level = 0 AND b.item_name = '{tree.TOTAL}' AND b.seq < a.seq) AS seg FROM a LEFT JOIN k ON a.doc = k.doc AND a.seq = k.seq WHERE level = 0),
+z1 AS (SELECT *, coalesce((SELECT sum(m) FROM z0 b WHERE b.doc = z0.doc AND b.seg = z0.seg AND b.seq < z0.seq), 0) AS before FROM z0),
+g AS (SELECT doc, seg, {", ".join(f"max(m) FILTER (name = '{x}') AS {y}" for x, y in ((tree.DIRECT, "direct"), (tree.NET, "net"), (tree.COST, "cost"), (tree.PRICE, "price"), (tree.TAX_ALT, "tax")))},
+        max(before) FILTER (name = '{tree.DIRECT}') AS bd FROM z1 GROUP BY ALL),
+z AS (SELECT z1.doc, z1.seq, m AS actual, CASE name WHEN '{tree.DIRECT}' THEN before WHEN '{tree.NET}' THEN direct + (before - bd - direct) WHEN '{tree.COST}' THEN net + site
+        WHEN '{tree.PRICE}' THEN cost + general WHEN '{tree.TOTAL}' THEN price + coalesce(tax, 0) WHEN '{tree.TAX_ALT}' THEN m ELSE coalesce(c, m) END AS expected FROM z1 JOIN g USING (doc, seg))"""
+
+
+@query(f"WITH {_CHAIN} SELECT doc, seq, CAST(actual AS DOUBLE) AS actual, CAST(expected AS DOUBLE) AS expected FROM z")
 def grand_total_chain(spark, sf):
     c = tree.check_amounts(_tree(spark, sf))
     return c.select("doc", "seq", F.col("actual").cast("double").alias("actual"), F.col("expected").cast("double").alias("expected"))
 
 
-@query(f"WITH {_SHEET} SELECT doc, min(seq) AS seq, level FROM s WHERE level > 0 AND NOT abs(round(unit_price * quantity, 4) - amount) <= 0.01 + 1e-9 GROUP BY doc, level")
+@query(f"WITH {_SHEET} SELECT doc, min(seq) AS seq, level FROM s WHERE level > 0 AND NOT abs(round(unit_price * quantity, 4) - amount) <= 0.01 + 1e-9 GROUP BY doc, level, item_name")
 def mismatch_dedupe(spark, sf):
     bad = tree.check_rows(_sheet(spark, sf)).where("level > 0 and not ok").withColumn("reference_number", F.lit(None).cast("string")).withColumn("table_number", F.lit(None).cast("string"))
     return tree.first_mismatches(bad).select("doc", "seq", "level")
@@ -385,7 +434,10 @@ def session_ttl_stats(spark, sf):
     return session.stats(s, F.lit(1704153600.0))
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch(ts) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+w AS (SELECT key, min(ts) AS t0 FROM h GROUP BY 1 UNION ALL SELECT w.key, min(h.ts) FROM w JOIN h ON h.key = w.key AND h.ts > w.t0 + 3600 GROUP BY w.key, w.t0),
+r AS (SELECT h.key, h.ts, row_number() OVER (PARTITION BY h.key, w.t0 ORDER BY h.n) AS place FROM h JOIN (SELECT *, lead(t0) OVER (PARTITION BY key ORDER BY t0) AS t1 FROM w) w ON h.key = w.key AND h.ts >= t0 AND (t1 IS NULL OR h.ts < t1))
+SELECT key, ts, place <= 5 AS allowed, CAST(least(place, 5) AS INTEGER) AS used FROM r""")
 def rate_limit_fixed_window(spark, sf):
     return limiter.limit_batch(_events(spark, sf).select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").cast("double").alias("ts")), window=3600.0)
 
@@ -393,13 +445,10 @@ def rate_limit_fixed_window(spark, sf):
 @query(f"""WITH {_ITEMS}, {_COMPARE} SELECT 'extra' AS report, doc, ord, est_item_key AS name, NULL AS status FROM c WHERE status = 'EXTRA'
 UNION ALL SELECT 'missing', doc, ord, req_item_key, NULL FROM c WHERE status = 'MISSING' UNION ALL SELECT 'unit', doc, ord, req_item_key, status FROM c WHERE status = 'UNIT_MISMATCH'""")
 def union_report(spark, sf):
-    c = _compared(spark, sf)
-    out = report.union_report(
-        extra=c.where("status = 'EXTRA'").select("doc", "ord", F.col("est_item_key").alias("name")),
-        missing=c.where("status = 'MISSING'").select("doc", "ord", F.col("req_item_key").alias("name")),
-        unit=c.where("status = 'UNIT_MISMATCH'").select("doc", "ord", F.col("req_item_key").alias("name"), "status"),
-    )
-    return out.select("report", "doc", "ord", "name", "status")
+    s = F.col("status")
+    out = report.tagged(_compared(spark, sf), extra=s == "EXTRA", missing=s == "MISSING", unit=s == "UNIT_MISMATCH")
+    name = F.when(F.col("report") == "extra", F.col("est_item_key")).otherwise(F.col("req_item_key"))
+    return out.select("report", "doc", "ord", name.alias("name"), F.when(F.col("report") == "unit", s).alias("status"))
 
 
 @query("""SELECT o_orderkey AS section_no, r AS row_no, c AS col_no, CASE WHEN r = 0 THEN o_orderpriority WHEN r = 1 AND c = 0 THEN 'price' WHEN r = 1 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)

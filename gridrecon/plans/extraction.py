@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridrecon.functions import text
 from gridrecon.operators import blocks, grid, match, report, spec, tree
-from gridrecon.plans.catalogue import _BY, _COMPARE, _ITEMS, _ORDER, _SHEET, _compared, _events, _name, _sheet, _tree, query
+from gridrecon.plans.catalogue import _BY, _CHAIN, _COMPARE, _ITEMS, _ORDER, _SHEET, _compared, _events, _name, _sheet, _tree, query
 from gridrecon.plans.items import ORDER, pair, requested, table
 
 _ROWS = "r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
@@ -183,7 +183,7 @@ def article_text_concat(spark, sf):
   UNION ALL SELECT u.doc, u.found, t.parent_seq, depth + 1 FROM u JOIN t ON t.doc = u.doc AND t.seq = u.seq WHERE t.parent_seq IS NOT NULL)
 SELECT doc, seq, arg_min(found, depth * 10000000000 + found) AS found FROM u GROUP BY ALL""")
 def descendant_reference(spark, sf):
-    return tree.nearest_descendant(_sheet(spark, sf), F.col("quantity") > 45)
+    return tree.nearest_descendant(_tree(spark, sf), F.col("quantity") > 45)
 
 
 @query(f"""WITH {_SHEET} SELECT doc, seq, '{{"level":' || level || CASE WHEN parent_seq IS NULL THEN '' ELSE ',"parent_seq":' || parent_seq END || ',"item_name":"' || item_name || '"}}' AS json FROM t""")
@@ -191,9 +191,9 @@ def tree_json(spark, sf):
     return tree.as_json(_tree(spark, sf), ["level", "parent_seq", "item_name"])
 
 
-@query(f"""WITH {_SHEET}, k AS (SELECT doc, parent_seq AS seq, sum(CAST(amount AS DECIMAL(18,2))) AS c FROM t WHERE parent_seq IS NOT NULL GROUP BY ALL),
-b AS (SELECT doc, level FROM s WHERE level > 0 AND NOT abs(round(unit_price * quantity, 4) - amount) <= 0.01 + 1e-9
-  UNION SELECT t.doc, 0 FROM t JOIN k ON t.doc = k.doc AND t.seq = k.seq WHERE level = 0 AND abs(CAST(amount AS DECIMAL(18,2)) - c) > 0.01),
+@query(f"""WITH {_CHAIN},
+b AS (SELECT DISTINCT doc, item_name, level FROM s WHERE level > 0 AND NOT abs(round(unit_price * quantity, 4) - amount) <= 0.01 + 1e-9
+  UNION ALL SELECT doc, item_name, 0 FROM (SELECT DISTINCT doc, item_name FROM z JOIN t USING (doc, seq) WHERE abs(actual - expected) > 0.01)),
 n AS (SELECT count(*) AS total FROM s WHERE level = 0), m AS (SELECT count(*) AS mismatches FROM b)
 SELECT total, mismatches, total - mismatches AS verified FROM n, m""")
 def verification_totals(spark, sf):

@@ -27,14 +27,15 @@ def requested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estimated(req: DataFrame) -> DataFrame:
+    """The estimate: some rows changed, some left out, some added; kept and added rows come from one pass over req."""
     k = F.col("k")
     name = F.when(k % 19 == 0, "ヰヱヲ").when(k % 29 == 0, F.concat("item_key", F.lit("甲"))).otherwise(F.col("item_key"))
     wide = F.translate("unit", "mkgt2", "ｍｋｇｔ２")
     unit = F.when(k % 17 == 0, "本").when(k % 11 == 0, wide).otherwise(F.col("unit"))
     qty = F.when(k % 23 == 0, F.lit(None).cast("double")).when(k % 7 == 0, F.col("quantity") + 1).otherwise(F.col("quantity"))
-    kept = req.where(k % 13 != 0).select("doc", F.col("ord").alias("o"), name.alias("item_key"), unit.alias("unit"), qty.alias("quantity"), "ref")
-    extra = req.where((F.col("doc") % 10 == 0) & (F.col("ord") == 1)).select("doc", F.lit(1000).alias("o"), F.lit("追加工").alias("item_key"), F.lit("式").alias("unit"), F.lit(1.0).alias("quantity"), "ref")
-    both = kept.unionByName(extra)
+    kept = F.when(k % 13 != 0, F.struct(F.col("ord").alias("o"), name.alias("item_key"), unit.alias("unit"), qty.alias("quantity")))
+    added = F.when((F.col("doc") % 10 == 0) & (F.col("ord") == 1), F.struct(F.lit(1000).alias("o"), F.lit("追加工").alias("item_key"), F.lit("式").alias("unit"), F.lit(1.0).alias("quantity")))
+    both = req.select("doc", "ref", F.explode(F.filter(F.array(kept, added), lambda x: x.isNotNull())).alias("x")).select("doc", "x.*", "ref")
     return both.withColumn("ord", F.row_number().over(W.partitionBy("doc").orderBy("o"))).drop("o")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,34 +23,51 @@ def _step(start: float | None, used: int, ts: float, limit: int, window: float)
 def limit_batch(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW) -> DataFrame:
     """hits (key, ts seconds) with allowed and used: the window opens at a key's first hit and anew after it has passed.
 
-    SQL aggregates carry the state: a key's hits, in time order, fold into a list natively, so a key needs one row.
+    Whether a hit opens a window depends on the window before, so a key's hits go in order through Arrow; only the open
+    window's start and count are held, however many hits a key has.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        start, used, out = None, 0, []
-        for ts in sorted(pdf["ts"]):
-            start, used, ok = _step(start, used, ts, limit, window)
-            out.append((key[0], ts, ok, used))
-        return pd.DataFrame(out, columns=["key", "ts", "allowed", "used"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, start, used = None, None, 0
+        for b in batches:
+            ok, count = [], []
+            for key, ts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if key != at:
+                    at, start, used = key, None, 0
+                start, used, allowed = _step(start, used, ts, limit, window)
+                ok.append(allowed)
+                count.append(used)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_()), pa.array(count, pa.int32())], ["key", "ts", "allowed", "used"])
 
-    return hits.select("key", "ts").groupBy("key").applyInPandas(run, OUT)
+    rows = hits.select("key", F.col("ts").cast("double").alias("ts")).where("key is not null and ts is not null")
+    return rows.repartition("key").sortWithinPartitions("key", "ts").mapInArrow(run, OUT)
 
 
-def limit_stream(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW) -> DataFrame:
-    """The same on a stream: start and count of the open window are the key's state."""
+def limit_stream(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW, late: float = 60.0) -> DataFrame:
+    """The same on a stream: start and count of the open window are the key's state.
+
+    hits: key, ts. Hits may come up to late seconds behind; a key's state goes once the watermark has passed its window.
+    """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, used = state.get if state.exists else (None, 0)
         out = []
         for ts in sorted(t for b in batches for t in b["ts"]):
             start, used, ok = _step(start, used, ts, limit, window)
             out.append((key[0], ts, ok, used))
         state.update((start, used))
+        state.setTimeoutTimestamp(max(int((start + window) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "ts", "allowed", "used"])
 
-    return hits.groupBy("key").applyInPandasWithState(run, OUT, "start double, used int", "append", GroupStateTimeout.NoTimeout)
+    timed = hits.select("key", F.col("ts").cast("double").alias("ts")).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", f"{int(late * 1000)} milliseconds")
+    return timed.groupBy("key").applyInPandasWithState(run, OUT, "start double, used int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def over_limit(hits: DataFrame, limit: int = LIMIT, seconds: int = 60) -> DataFrame:
-    """Keys and aligned windows with more than limit hits: the windowed aggregate, for late data behind a watermark."""
+def over_limit(hits: DataFrame, limit: int = LIMIT, seconds: int = 60, late: str = "60 seconds") -> DataFrame:
+    """Keys and aligned windows with more than limit hits; on a stream hits may come late, up to the watermark."""
+    if hits.isStreaming:
+        hits = hits.withWatermark("ts", late)
     return hits.groupBy("key", F.window("ts", f"{seconds} seconds")).count().where(F.col("count") > limit)

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from gridrecon.plans import catalogue, extraction  # noqa: F401
+from gridrecon.plans import catalogue, extraction, sheets  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
