@@ -1,54 +1,13 @@
-"""Shared pieces: tables in the cluster's shared folder, connected components."""
+"""Shared pieces: tables in the cluster's shared folder (from the library's own), connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridrecon.operators.stored import new_path, purge, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share.
-
-    Only where the setting is absent (tests in local mode) a folder of this machine takes its place.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if sc.applicationId not in _own:
-            _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="gridrecon-")
-        folder = _own[sc.applicationId]
-    return folder.rstrip("/")
-
-
-_own: dict[str, str] = {}
-_made: list[str] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
-
-
-def purge(spark: SparkSession) -> int:
-    """Delete all folders that operators of this process wrote; to be called once their results are stored. Returns how many."""
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
-    return n
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a parquet table in the shared folder: lineage ends there and outlives executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "crc_mod", "new_path", "purge", "shared_dir", "written"]
 
 
 def crc_mod(id_col: str, n: int) -> Column:
@@ -62,7 +21,6 @@ def components(edges: DataFrame) -> DataFrame:
     the shuffle) and reaches its edges through a join, which adaptive execution splits where a node is hot, so
     no neighbour list is ever gathered. Each round is written to the shared folder. No edges: no rows.
     """
-    spark = edges.sparkSession
 
     def mark(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first())

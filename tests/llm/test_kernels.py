@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridrecon.llm import bpe, hnsw, html, langid, simhash, topk, warc
+from gridrecon.llm import bpe, hnsw, html, langid, simhash, topk, toxicity, warc
 
 RANKS = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()
 TOK = bpe.Tokenizer(RANKS)
@@ -178,6 +178,30 @@ def test_hnsw_recall_of_rare_links():
     assert (found.sum() - 6000) >= 0.97 * (true.sum() - 6000)
 
 
+def test_toxicity_scores_against_plain_loops():
+    """Convolutions, pooling, output and threshold, word by word, for short, empty and long texts."""
+    rng = np.random.default_rng(2)
+    m = toxicity.Model()
+    texts = ["you are bad bad words", "nice calm day today", "bad", "calm", "so bad a day", "a calm nice thing"]
+    for _ in range(2):
+        m.fit([toxicity.buckets(t) for t in texts], np.array([1, 0, 1, 0, 1, 0]))
+    m.langs, m.common, m.thresholds, m.threshold = ["x", "y"], {"calm": 0, "bad": 1}, np.array([0.3, 0.7]), 0.5
+    scorer = toxicity.Scorer(m)
+    scorer.SPAN = 8
+    for t in [*texts, "", None, " ".join(rng.choice(["bad", "calm", "day", "zzz"], 100))]:
+        words = toxicity.WORD.findall((t or "").lower())
+        e = [sum(m.emb[h] for h in toxicity.hashes(w)) for w in words] + [3 * m.emb[0]] * (max(toxicity.WIDTHS) - len(words))
+        z = m.shift
+        for w, (k, c) in enumerate(zip(toxicity.WIDTHS, m.conv)):
+            for f in range(toxicity.FILTERS):
+                best = max(sum(float(e[a + j] @ c[j][:, f]) for j in range(k)) for a in range(len(e) - k + 1))
+                z += max(0.0, best + m.bias[w * toxicity.FILTERS + f]) * m.out[w * toxicity.FILTERS + f]
+        p, votes = 1 / (1 + np.exp(-z)), [m.common[w] for w in words if w in m.common]
+        cut = m.thresholds[max(set(votes), key=lambda k: (votes.count(k), -k))] if votes else 0.5
+        want = 0.5 * p / cut if p < cut else 0.5 + 0.5 * (p - cut) / (1 - cut)
+        assert scorer.score(t) == pytest.approx(want, abs=1e-4)
+
+
 def test_warc_record():
     r = warc.parse(warc.record(7, "http://www.Example.com/a b?x=1#f", "é".encode(), None))
     assert (r["page_id"], r["payload_bytes"], r["record_type"], r["payload"]) == (7, 2, "response", "é".encode())

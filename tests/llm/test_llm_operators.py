@@ -169,6 +169,8 @@ def test_mixing_prefix(spark):
     total = sum(len((r[1] or "").split()) for r in rows)
     taken = sum(r.n_tokens * r.copies for r in out)
     assert 0.6 * total < taken <= 0.7 * total and max(r.copies for r in out) <= 2
+    clash = docs(spark, rows).withColumn("h", F.lit("x")).withColumn("cut", F.lit(1)).withColumn("whole", F.lit("y")).withColumn("copies", F.lit(9)).withColumn("domain", F.lit("z"))
+    assert sorted(map(str, mixing.select(clash, F.lit("d"), 0.7, 2, 1).collect())) == sorted(map(str, out))
     assert mixing.select(docs(spark, []), F.lit("d"), 0.5).count() == 0
 
 
@@ -188,8 +190,14 @@ def test_toxicity(spark):
     out = toxicity.classify(d, m).join(y, "doc_id").where(common.crc_mod("doc_id", 5) == 0).toPandas()
     p, n = out[out.toxic == 1].score, out[out.toxic == 0].score
     assert sum((a > n).sum() for a in p) / (len(p) * len(n)) > 0.8
-    odd = toxicity.classify(docs(spark, [(1, None, None, None), (2, "", None, None), (3, "word", None, None)]), m).collect()
-    assert odd[0].score == odd[1].score and all(0 <= r.score <= 1 for r in odd)
+    long = "word and other " * 40_000
+    rows = [(1, None, None, None), (2, "", None, None), (3, "word", None, None), (3, "word", None, None), (4, long, None, None), (None, "word", None, None)]
+    odd = toxicity.classify(docs(spark, rows).withColumn("score", F.lit("clash")).withColumn("id", F.lit(1)), m).collect()
+    assert odd[0].score == odd[1].score and odd[2].score == odd[3].score == odd[5].score and all(0 <= r.score <= 1 for r in odd) and odd[5].doc_id is None
+    # ids and labels that repeat, or are null, give one text each
+    twice = docs(spark, [(1, "bad words here", "en", "s"), (1, "other", "en", "s"), (None, "x", "en", "s")] * 50 + [(2, "fine words", "en", "s")]).withColumn("y", F.lit("clash"))
+    few = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.train(twice, few, F.lit(True)) is not None
     assert toxicity.train(docs(spark, []), y, F.lit(True)) is None and toxicity.classify(d.limit(2), None).first().score == 0
 
 
@@ -229,6 +237,8 @@ def test_warc(spark):
     p = spark.createDataFrame([(1, "http://a.b/x", "<p>"), (2, "http://a.b/x", "<p>"), (3, None, None), (None, "http://a.b/y", "<p>"), (5, "::[", ""), (2, "http://a.b/x", "<p>")], "page_id long, url string, html string").withColumn("payload", F.lit(1))
     got = sorted((r.page_id or -1, r.record_type, r.refers_to, r.payload_bytes, bytes(r.payload)) for r in warc.round_trip(p).collect())
     assert got == [(-1, "response", None, 3, b"<p>"), (1, "revisit", 2, 3, b""), (2, "response", None, 3, b"<p>"), (2, "response", None, 3, b"<p>"), (3, "revisit", 5, 0, b""), (5, "response", None, 0, b"")]
+    big = spark.createDataFrame([(i, "http://big.org/", "é" * 3_000_000) for i in (1, 2)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(big).drop("payload").collect()) == [(1, "revisit", 2, 6_000_000), (2, "response", None, 6_000_000)]
     assert warc.round_trip(p.limit(0)).count() == 0
 
 
