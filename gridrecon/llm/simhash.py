@@ -16,7 +16,7 @@ from gridrecon.llm.common import components, written
 FANOUT = 16
 BITS = 2
 #: Distinct fingerprints of one range: a 64th of all, between these bounds (a task holds one range and its tree).
-RANGE, MOST = 4_096, 1 << 18
+RANGE, MOST = 256, 1 << 18
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
