@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridrecon.functions import rules, text
+from gridrecon.operators.stored import written
 
 SIDES = ("item_key", "quantity", "unit")
 GREEDY = "doc long, key string, req_ord long, est_ord long, how string, req_quantity double, req_unit string, est_quantity double, est_unit string"
@@ -180,12 +181,14 @@ def cascade(req: DataFrame, est: DataFrame) -> DataFrame:
     its folded form, and on character pairs for the rest.
     """
     r = rules.prepared(req).select("doc", F.col("ord").alias("req_ord"), "name", "tokens", text.strict_name(F.col("item_key")).alias("folded"), F.col("quantity").alias("rq"), F.col("unit").alias("ru"))
-    e = rules.prepared(est).select("doc", F.col("ord").alias("est_ord"), F.col("name").alias("other"), text.strict_name(F.col("item_key")).alias("folded"), F.col("quantity").alias("eq"), F.col("unit").alias("eu"))
-    shared = token_overlap(req, est)
+    e = rules.prepared(est).select("doc", F.col("ord").alias("est_ord"), F.col("name").alias("other"), "tokens", text.strict_name(F.col("item_key")).alias("folded"), F.col("quantity").alias("eq"), F.col("unit").alias("eu"))
+    r, e = written(r, "requested"), written(e, "estimated")  # each is read by every kind of match
+    duo = F.explode(F.filter("tokens", lambda t: F.length(t) == 2)).alias("duo")
+    shared = r.select("doc", "req_ord", duo).join(e.select("doc", "est_ord", duo), ["doc", "duo"]).groupBy("doc", "req_ord", "est_ord").agg(F.count("*").alias("shared"))
     near = shared.join(r.select("doc", "req_ord", "tokens"), ["doc", "req_ord"]).join(e.select("doc", "est_ord", "other"), ["doc", "est_ord"])
     near = near.select("doc", "req_ord", "est_ord", F.when(rules.all_tokens(F.col("tokens"), F.col("other")), 2).when(rules.any_token(F.col("tokens"), F.col("other")), 3).otherwise(4).alias("rank"), "shared")
-    exact = r.join(e.drop("folded"), (r["doc"] == e["doc"]) & (r["name"] == e["other"])).select(r["doc"], "req_ord", "est_ord", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("shared"))
-    folded = r.join(e.drop("other"), ["doc", "folded"]).select("doc", "req_ord", "est_ord", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("shared"))
+    exact = r.join(e.drop("folded", "tokens"), (r["doc"] == e["doc"]) & (r["name"] == e["other"])).select(r["doc"], "req_ord", "est_ord", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("shared"))
+    folded = r.join(e.drop("other", "tokens"), ["doc", "folded"]).select("doc", "req_ord", "est_ord", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("shared"))
     order = F.struct("rank", F.when(F.col("rank") == 4, -F.col("shared")).otherwise(F.lit(0)).alias("s"), "est_ord")
     best = exact.unionByName(folded).unionByName(near).groupBy("doc", "req_ord").agg(F.min(order).alias("x"))
     out = r.select("doc", "req_ord", "rq", "ru").join(best, ["doc", "req_ord"], "left").withColumn("est_ord", F.col("x.est_ord"))

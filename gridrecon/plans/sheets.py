@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridrecon.functions import text
 from gridrecon.operators import articles, grid, match, report, spec, tables, tree, workbook
+from gridrecon.operators.stored import written
 from gridrecon.plans.catalogue import _BY, _CHAIN, _COMPARE, _COUNTS, _GREEDY, _ITEMS, _ORDER, _PCT, _SHEET, _compared, _events, _name, _pairs, _tree, _unit, query
 from gridrecon.plans.items import ORDER, pair, table
 
@@ -44,7 +45,7 @@ def _grids(spark, sf):
 
 @query(f"""WITH {_LINES} SELECT doc, CAST(doc % 2 AS INTEGER) AS header_idx, ['北上市', '岩手', '農政'][CAST(doc % 3 + 1 AS INTEGER)] AS layout, CASE WHEN doc % 3 = 0 THEN 1 ELSE 3 END AS quantity_at FROM (SELECT DISTINCT doc FROM l)""")
 def page_headers(spark, sf):
-    h = tables.headers(tables.rows_of(_grids(spark, sf)), "岩手")
+    h = tables.headers(written(tables.rows_of(_grids(spark, sf)), "rows"), "岩手")
     return h.select("doc", F.col("header_idx").cast("int").alias("header_idx"), "layout", F.col("places")["数量"].alias("quantity_at"))
 
 
@@ -82,13 +83,13 @@ def _workbook(spark, sf):
 
 @query(f"""WITH {_LINES} SELECT doc, 1 AS table_no, 1 AS title_row, '工事 内訳書' AS title, 2 AS header_row, CAST(max(n) + 2 AS INTEGER) AS end_row FROM l GROUP BY doc""")
 def workbook_tables(spark, sf):
-    t = workbook.main_tables(_workbook(spark, sf))
+    t = workbook.main_tables(written(_workbook(spark, sf), "cells"))
     return t.select("doc", F.col("table").alias("table_no"), "title_row", "title", "header_row", F.col("end_row").cast("int").alias("end_row"))
 
 
 @query(f"WITH {_LINES} SELECT doc, CAST(n AS INTEGER) AS line_number, p_name AS item_key, CAST(q AS DOUBLE) AS quantity, 'm' AS unit, '内' || n || '号' AS note FROM l")
 def workbook_items(spark, sf):
-    return workbook.main_items(_workbook(spark, sf)).select("doc", "line_number", "item_key", "quantity", "unit", F.col("fields")["摘要"].alias("note"))
+    return workbook.main_items(written(_workbook(spark, sf), "cells")).select("doc", "line_number", "item_key", "quantity", "unit", F.col("fields")["摘要"].alias("note"))
 
 
 def _verified(spark, sf):
@@ -104,7 +105,7 @@ def _verified(spark, sf):
 
 @query(f"WITH {_LINES} SELECT doc || '/a' AS doc, n * 2 AS seq, repeat('　', CAST(n % 3 AS INTEGER)) || p_name AS item_name, 'm' AS unit, CAST(q AS VARCHAR) AS quantity, CAST(n % 3 AS INTEGER) AS level FROM l")
 def sheet_hierarchy(spark, sf):
-    h = workbook.hierarchy(_verified(spark, sf))
+    h = workbook.hierarchy(written(_verified(spark, sf), "cells"))
     return tree.with_parent(h).select("doc", "seq", "item_name", "unit", "quantity", "level")
 
 
