@@ -179,7 +179,7 @@ def test_row_pairs_skip_what_they_took_in(spark):
 
 def test_descendants_breadth_first(spark):
     rows = spark.createDataFrame([(1, i, lv, h) for i, (lv, h) in enumerate([(0, False), (1, False), (2, True), (1, True), (0, False), (2, False), (1, True)])], "doc long, seq long, level int, h boolean")
-    assert {(r.seq, r.found) for r in tree.nearest_descendant(rows, F.col("h")).collect()} == {(0, 3), (1, 2), (4, 6)}
+    assert {(r.seq, r.found) for r in tree.nearest_descendant(tree.with_parent(rows, F.col("level")), F.col("h")).collect()} == {(0, 3), (1, 2), (4, 6)}
 
 
 def test_reports(spark):
