@@ -214,42 +214,57 @@ def extract(pages: DataFrame) -> DataFrame:
     blocks went because they were shared, and for their place.
 
     Every page is aligned, by the longest common subsequence of the hashes of its blocks, with the page of its host whose URL is
-    nearest. Shared blocks outside articles are template and go; inside they stay: articles may quote each other. Of what
-    is left, blocks in elements that are no main text by name, class, id or role (menus, headers, footers, asides, notices,
-    adverts, forms, comments) go, and where articles (or main) hold at least half of the rest, blocks outside them. Null or
-    empty html: empty text; a null or only URL of a host has no partner; rows that share an id share their partner; empty input:
-    no rows. Whole pages are read. Other columns are ignored.
+    nearest. Shared blocks outside articles are template and go (wherever they stand outside articles); inside they stay: articles
+    may quote each other. Of what is left, blocks in elements that are no main text by name, class, id or role (menus, headers,
+    footers, asides, notices, adverts, forms, comments) go, and where articles (or main) hold at least half of the rest, blocks
+    outside them. Null or empty html: empty text; a null or only URL of a host has no partner; rows that share an id share
+    what goes; empty input: no rows. Whole pages are read. Other columns are ignored.
 
-    Pages are parsed once; their blocks are shuffled once, to meet the hashes of their partner's.
+    Only hashes are stored and shuffled for the alignment; pages are parsed again for their text, which meets the few shared hashes.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"page_id": pa.int64(), "url": pa.string(), "host": pa.string(), "path": pa.string(), "texts": pa.list_(pa.string()), "places": pa.list_(pa.int8()), "found": pa.bool_(), "blocks": pa.list_(pa.int64())}
+        types = {"page_id": pa.int64(), "host": pa.string(), "path": pa.string(), "blocks": pa.list_(pa.int64()), "inside": pa.list_(pa.bool_())}
         for b in batches:
             rows = []
             for i, u, h in zip(*(c.to_pylist() for c in b.columns)):
-                got, found = lines(h)
-                rows.append((i, u, *_where(u), [t for t, _, _ in got], [2 * gone + inside for _, inside, gone in got], found, [xxhash.xxh64_intdigest(t) >> 1 for t, _, _ in got]))
+                got, _ = lines(h)
+                rows.append((i, *_where(u), [xxhash.xxh64_intdigest(t) >> 1 for t, _, _ in got], [x for _, x, _ in got]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], list(types))
 
-    out = written(p.mapInArrow(outline, "page_id long, url string, host string, path string, texts array<string>, places array<tinyint>, found boolean, blocks array<long>"), "outlines")
+    out = written(p.mapInArrow(outline, "page_id long, host string, path string, blocks array<long>, inside array<boolean>"), "outlines")
     pairs = nearest(out.where("host <> ''").select("page_id", "host", "path")).groupBy("page_id").agg(F.min("partner").alias("partner"))
     once = out.groupBy(F.col("page_id").alias("partner")).agg(F.min_by("blocks", F.hash("blocks")).alias("other"))
-    other = pairs.join(once, "partner").select("page_id", "other")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, gone = [], []
+            for i, mine, inside, other in zip(*(c.to_pylist() for c in b.columns)):
+                same = {mine[k] for k in common(mine, other or []) if not inside[k]}
+                if same:
+                    ids.append(i)
+                    gone.append(sorted(same))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int64()))], ["page_id", "shared"])
+
+    both = out.join(pairs, "page_id").join(once, "partner").select("page_id", "blocks", "inside", "other")
+    shared = both.mapInArrow(differ, "page_id long, shared array<long>")
+    shared = written(shared.groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")), "shared")
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, shared, rest = [], [], []
-            for got, places, found, mine, theirs in zip(*(c.to_pylist() for c in b.columns[2:])):
-                same = {k for k in common(mine, theirs or []) if not places[k] & 1}
-                kept = [t for k, (t, place) in enumerate(zip(got, places)) if k not in same and (place == 1 or place == 0 and not found)]
+            texts, same, rest = [], [], []
+            for h, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                got, found = lines(h)
+                gone = set(gone or ())
+                left = [x for x in got if x[1] or not gone or xxhash.xxh64_intdigest(x[0]) >> 1 not in gone]
+                kept = [t for t, inside, drop in left if not drop and (inside or not found)]
                 texts.append(" ".join(kept))
-                shared.append(len(same))
-                rest.append(len(got) - len(same) - len(kept))
-            cols = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(shared, pa.int64()), pa.array(rest, pa.int64())]
+                same.append(len(got) - len(left))
+                rest.append(len(left) - len(kept))
+            cols = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(same, pa.int64()), pa.array(rest, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars", "n_shared", "n_other"])
 
-    both = out.join(other, "page_id", "left").select("page_id", "url", "texts", "places", "found", "blocks", "other")
-    return both.mapInArrow(text, "page_id long, url string, text string, n_chars long, n_shared long, n_other long")
+    whole = p.join(shared, "page_id", "left").select("page_id", "url", "html", "shared")
+    return whole.mapInArrow(text, "page_id long, url string, text string, n_chars long, n_shared long, n_other long")

@@ -282,7 +282,8 @@ def test_html_against_brute_force(spark):
                 else:
                     same.add(i - 1)
                     i, j = i - 1, j - 1
-        same = {k for k in same if not mine[k][1]}
+        held = {mine[k][0] for k in same if not mine[k][1]}
+        same = {k for k, (t, inside, _) in enumerate(mine) if not inside and t in held}
         kept = [t for k, (t, inside, gone) in enumerate(mine) if k not in same and not gone and (inside or not found)]
         assert got[page][0] == " ".join(kept) and got[page][1:] == (len(same), len(a) - len(same) - len(kept)), page
 
