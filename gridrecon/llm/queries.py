@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridrecon.llm import bpe, hnsw, html, langid, mixing, pii, simhash, topk, toxicity, warc
+from gridrecon.llm import bpe, hnsw, html, langid, mixing, pieces, pii, simhash, topk, toxicity, variants, warc, whitening
 from gridrecon.llm.common import crc_mod
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PII_KEY = "surrogates-1"
 EPOCHS, FRACTION, SEED = 2, 0.6, 7
 WEIGHTS: dict[tuple[str, ...], int] = {("web",): 3, ("books",): 2, ("code",): 1} | {
@@ -75,8 +76,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.read_ranks(spark, RANKS)).drop("n_pieces")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.read_model(spark, PIECES))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_warc, op3_toxicity, op4_mixing, op5_html, op6_pii, op7_langid, op8_simhash, op9_hnsw, op10_bpe)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_topk, op2_warc, op3_toxicity, op4_mixing, op5_html, op6_pii, op7_langid, op8_simhash, op9_hnsw, op10_bpe,
+            op11_variants, op12_pieces, op13_whitening,
+        )
+    }
 
 
 SQL_TOPK = """
@@ -152,6 +171,41 @@ SELECT id AS vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min
 FROM c LEFT JOIN n ON n.a = c.id GROUP BY id
 """
 
+SQL_VARIANTS = r"""
+WITH RECURSIVE runs AS (
+  SELECT d, run, count(*) AS n
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d,
+               translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{5,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+        FROM documents) GROUP BY ALL),
+bits AS (
+  SELECT *, flatten(list_transform(flatten(list_transform(string_split(d || ':' || run, ''),
+           lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 | (ord(c) >> 6), 128 | (ord(c) & 63)] END)),
+           lambda b: list_transform(range(8), lambda k: CAST((b >> CAST(k AS INTEGER)) & 1 AS BIGINT)))) AS bits
+  FROM runs),
+sums AS (
+  SELECT d, run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bits), lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT) AS h
+  FROM bits),
+w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM sums)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS other_n, first(other ORDER BY other_n DESC, encode(other)) AS other FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS at, form FROM forms
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON c.form = f.word)
+SELECT f.word, f.form, c.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM forms f JOIN chain c ON c.word = f.word AND c.form IS NULL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": SQL_TOPK, "op2_warc": SQL_WARC, "op4_mixing": SQL_MIXING, "op9_hnsw": SQL_HNSW}
+    return {"op11_variants": SQL_VARIANTS, "op1_topk": SQL_TOPK, "op2_warc": SQL_WARC, "op4_mixing": SQL_MIXING, "op9_hnsw": SQL_HNSW}
