@@ -188,7 +188,8 @@ def nearest(pages: DataFrame) -> DataFrame:
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # keys are small beside their pages, so sizes can't decide
     ranged = pages.select(key).distinct().repartitionByRange(parts, "key").withColumn("range", F.spark_partition_id())
     ranged = written(ranged, "ranges")
-    ends = sorted((r.lo, r.hi, r.range) for r in ranged.groupBy("range").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).collect())
+    # numbers of ranges follow the keys, among which there are nulls
+    ends = [(r.lo, r.hi, r.range) for r in ranged.groupBy("range").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("range").collect()]
     kind = ranged.schema["key"].dataType.simpleString()
     rows = [(r, ends[i - 1][1] if i else None, ends[i + 1][0] if i + 1 < len(ends) else None) for i, (_, _, r) in enumerate(ends)]
     edge = pages.sparkSession.createDataFrame(rows, f"range int, before {kind}, after {kind}")
@@ -209,56 +210,85 @@ def nearest(pages: DataFrame) -> DataFrame:
     return d.mapInArrow(run, "page_id long, partner long")
 
 
+#: Share of a page's open text (outside articles and listed elements) that stays without shared lines: from BULK on all of them go; below COPY
+#: the two pages are copies of one text, and none goes; in between those go that HOSTS different pages of the host hold.
+BULK, COPY, HOSTS = 0.5, 0.1, 3
+
+
+def template(got: list[tuple[bool, bool, int]], found: bool, shared: list[int]) -> tuple[list[int], bool]:
+    """(positions of shared lines outside articles, whether all of them go): of lines (in an article, in a listed element, length)."""
+    shared = [k for k in shared if not got[k][0]]
+    if found:
+        return shared, True
+    whole = sum(n for inside, gone, n in got if not inside and not gone)
+    stays = whole - sum(got[k][2] for k in shared if not got[k][1])
+    if stays < COPY * whole:
+        return [k for k in shared if got[k][1]], True
+    return shared, stays >= BULK * whole
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_shared, n_other: the main text of every row of pages (page_id, url, html), and how many
     blocks went because they were shared, and for their place.
 
     Every page is aligned, by the longest common subsequence of the hashes of its blocks, with the page of its host whose URL is
-    nearest. Shared blocks outside articles are template and go (wherever they stand outside articles); inside they stay: articles
-    may quote each other. Of what is left, blocks in elements that are no main text by name, class, id or role (menus, headers,
-    footers, asides, notices, adverts, forms, comments) go, and where articles (or main) hold at least half of the rest, blocks
-    outside them. Null or empty html: empty text; a null or only URL of a host has no partner; rows that share an id share
-    what goes; empty input: no rows. Whole pages are read. Other columns are ignored.
-
-    Only hashes are stored and shuffled for the alignment; pages are parsed again for their text, which meets the few shared hashes.
+    nearest. Aligned blocks outside articles are template and go; inside they stay: articles may quote each other. On a page without an
+    article they go only if at least half of its text outside listed elements stays, or if three different pages of the host hold the block;
+    where less than a tenth would stay the two pages are copies (mirrors, print views, a page fetched again) and keep their text. Of
+    what is left, blocks in elements that are no main text by name, class, id or role (menus, headers, footers, asides, notices, adverts,
+    forms, comments) go, and where articles (or main) hold at least half of the rest, blocks outside them. Null or empty html: empty
+    text; a null or only URL of a host has no partner; rows that share id and html share what goes; empty input: no rows. Whole
+    pages are read. Other columns are ignored.
+
+    Only hashes are stored and shuffled for the alignment; pages are parsed again for their text, which meets the few places.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    p = p.withColumn("h", F.xxhash64("html"))
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"page_id": pa.int64(), "host": pa.string(), "path": pa.string(), "blocks": pa.list_(pa.int64()), "inside": pa.list_(pa.bool_())}
+        types = {
+            "page_id": pa.int64(), "h": pa.int64(), "host": pa.string(), "path": pa.string(), "found": pa.bool_(), "blocks": pa.list_(pa.int64()),
+            "inside": pa.list_(pa.bool_()), "gone": pa.list_(pa.bool_()), "size": pa.list_(pa.int32()),
+        }
         for b in batches:
             rows = []
-            for i, u, h in zip(*(c.to_pylist() for c in b.columns)):
-                got, _ = lines(h)
-                rows.append((i, *_where(u), [xxhash.xxh64_intdigest(t) >> 1 for t, _, _ in got], [x for _, x, _ in got]))
+            for i, u, html, h in zip(*(c.to_pylist() for c in b.columns)):
+                got, found = lines(html)
+                rows.append((i, h, *_where(u), found, [xxhash.xxh64_intdigest(t) >> 1 for t, _, _ in got], [x for _, x, _ in got], [x for _, _, x in got], [len(t) for t, _, _ in got]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], list(types))
 
-    out = written(p.mapInArrow(outline, "page_id long, host string, path string, blocks array<long>, inside array<boolean>"), "outlines")
+    kinds = "page_id long, h long, host string, path string, found boolean, blocks array<long>, inside array<boolean>, gone array<boolean>, size array<int>"
+    out = written(p.mapInArrow(outline, kinds), "outlines")
     pairs = nearest(out.where("host <> ''").select("page_id", "host", "path")).groupBy("page_id").agg(F.min("partner").alias("partner"))
     once = out.groupBy(F.col("page_id").alias("partner")).agg(F.min_by("blocks", F.hash("blocks")).alias("other"))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, gone = [], []
-            for i, mine, inside, other in zip(*(c.to_pylist() for c in b.columns)):
-                same = {mine[k] for k in common(mine, other or []) if not inside[k]}
-                if same:
-                    ids.append(i)
-                    gone.append(sorted(same))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int64()))], ["page_id", "shared"])
-
-    both = out.join(pairs, "page_id").join(once, "partner").select("page_id", "blocks", "inside", "other")
-    shared = both.mapInArrow(differ, "page_id long, shared array<long>")
-    shared = written(shared.groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")), "shared")
+            rows = []
+            for i, h, host, found, mine, inside, gone, size, other in zip(*(c.to_pylist() for c in b.columns)):
+                at, sure = template(list(zip(inside, gone, size)), found, common(mine, other or []))
+                if at:
+                    rows.append((i, h, host, at, [mine[k] for k in at], sure))
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["page_id", "h", "host", "at", "hash", "sure"])
+
+    both = out.join(pairs, "page_id").join(once, "partner").select("page_id", "h", "host", "found", "blocks", "inside", "gone", "size", "other")
+    d = written(both.mapInArrow(differ, "page_id long, h long, host string, at array<int>, hash array<long>, sure boolean"), "differences")
+    asked = d.where("not sure").select("page_id", "h", "host", F.explode(F.arrays_zip("at", "hash")).alias("x")).select("page_id", "h", "host", "x.*")
+    held = out.select("host", F.xxhash64("blocks").alias("page"), F.explode("blocks").alias("hash")).join(asked.select("host", "hash").distinct(), ["host", "hash"], "left_semi")
+    many = held.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= HOSTS)
+    shared = d.where("sure").select("page_id", "h", "at").unionByName(asked.join(many, ["host", "hash"]).select("page_id", "h", F.array("at").alias("at")))
+    shared = written(shared.groupBy("page_id", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("shared")), "shared")
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, same, rest = [], [], []
-            for h, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                got, found = lines(h)
+            for html, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                got, found = lines(html)
                 gone = set(gone or ())
-                left = [x for x in got if x[1] or not gone or xxhash.xxh64_intdigest(x[0]) >> 1 not in gone]
+                left = [x for k, x in enumerate(got) if k not in gone]
                 kept = [t for t, inside, drop in left if not drop and (inside or not found)]
                 texts.append(" ".join(kept))
                 same.append(len(got) - len(left))
@@ -266,5 +296,5 @@ def extract(pages: DataFrame) -> DataFrame:
             cols = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(same, pa.int64()), pa.array(rest, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars", "n_shared", "n_other"])
 
-    whole = p.join(shared, "page_id", "left").select("page_id", "url", "html", "shared")
+    whole = p.join(shared, ["page_id", "h"], "left").select("page_id", "url", "html", "shared")
     return whole.mapInArrow(text, "page_id long, url string, text string, n_chars long, n_shared long, n_other long")

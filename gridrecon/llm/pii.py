@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridrecon.llm.common import written
@@ -166,10 +167,40 @@ def _syllables(h: Column, script: Column, ending: Column | None = None) -> Colum
     def word(s):
         return F.concat(*(_pick((CONSONANTS if i % 2 == 0 else VOWELS)[s], _nibble(h, F.lit(i + 3))) for i in range(6)), *(_pick(CONSONANTS[s], _nibble(h, F.lit(i))) for i in (11,)))
 
-    out = F.when(script == "cyrillic", word("cyrillic")).when(script == "greek", word("greek")).otherwise(word("latin"))
+    def more(s):
+        return F.transform(longer, lambda i: F.when(i % 2 == 1, _pick(VOWELS[s], _nibble(h, i + 20))).otherwise(_pick(CONSONANTS[s], _nibble(h, i + 20))))
+
+    longer = _longer()
+    by_script = lambda f: F.when(script == "cyrillic", f("cyrillic")).when(script == "greek", f("greek")).otherwise(f("latin"))
+    out = F.concat(by_script(word), F.array_join(by_script(more), ""))
     return F.initcap(F.concat(out, ending) if ending is not None else out)
 
 
+def _longer() -> Column:
+    """1 to the number of letters by which a name or a mailbox is longer than its form: none in the first draws, then one more in each."""
+    n = F.col("attempt") - SAME_LENGTH + 1
+    return F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+
+def _range(canon: Column) -> Column:
+    """Addresses of private, local and link ranges stay in their range."""
+    return F.regexp_extract(canon, r"^(?:10|127|192\.168|169\.254|172(?=\.(?:1[6-9]|2\d|3[01])\.))\.", 0)
+
+
+def _range6(canon: Column) -> Column:
+    return F.regexp_extract(canon, "^(?:fe80|f[cd][0-9a-f]{2})", 0)
+
+
+def _form() -> Column:
+    """What a surrogate of a kind without longer forms keeps: country, range, length, valid check digits."""
+    canon, kind = F.col("canon"), F.col("kind")
+    part = (
+        F.when(kind == "ip", _range(canon)).when(kind == "ipv6", _range6(canon)).when(kind == "iban", F.substring(canon, 1, 2))
+        .when(kind == "card", (_luhn(canon) == 0).cast("string")).when(kind == "phone", F.regexp_extract(canon, rf"^(?:\+(?:{COUNTRY})|0)", 0)).otherwise("")
+    )
+    return F.concat_ws("|", kind, part, F.when(kind.isin("ip", "ipv6"), "").otherwise(F.length(canon).cast("string")))
+
+
 def _surrogate(key: str) -> Column:
     """Canonical surrogate of (kind, canon, gender, attempt): keyed, of the kind's own form."""
     canon, kind = F.col("canon"), F.col("kind")
@@ -178,17 +209,16 @@ def _surrogate(key: str) -> Column:
     digits = F.substring(F.translate(h, "abcdef", "012345"), F.lit(1), F.length(canon))
     luhn = F.concat(F.substring(digits, F.lit(1), F.length(canon) - 1), F.pmod(F.lit(10) - _luhn(F.concat(F.substring(digits, F.lit(1), F.length(canon) - 1), F.lit("0"))), F.lit(10)).cast("string"))
     email = F.concat(
-        _like(F.substring_index(canon, "@", 1), h), F.lit("@"),
+        _like(F.substring_index(canon, "@", 1), h), F.substring(F.translate(h, "0123456789", "ghijklmnop"), F.lit(1), F.size(_longer())), F.lit("@"),
         _like(F.regexp_extract(canon, r"@(.*)\.[^.]*$", 1), F.reverse(h)), F.lit("."), F.substring_index(canon, ".", -1),
     )
-    # addresses of private, local and link ranges stay in their range
-    own = F.regexp_extract(canon, r"^(?:10|127|192\.168|169\.254|172(?=\.(?:1[6-9]|2\d|3[01])\.))\.", 0)
+    own = _range(canon)
     part = [(_byte(h, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]
     ip = (
         F.when(F.length(own) == 0, F.concat_ws(".", *part)).when(own == "172.", F.concat(own, F.concat_ws(".", (_byte(h, F.lit(0)) % 16 + 16).cast("string"), *part[1:3])))
         .otherwise(F.concat(own, F.concat_ws(".", F.when(own.isin("10.", "127."), part[1]), *part[2:])))
     )
-    kept = F.coalesce(F.nullif(F.regexp_extract(canon, "^(?:fe80|f[cd][0-9a-f]{2})", 0), F.lit("")), F.substring(h, 1, 4))
+    kept = F.coalesce(F.nullif(_range6(canon), F.lit("")), F.substring(h, 1, 4))
     code = F.regexp_extract(canon, rf"^\+({COUNTRY})", 1)
     given, ending = F.lit(None).cast("string"), F.lit("")
     for (s, g), names in GIVEN.items():
@@ -228,26 +258,51 @@ def _render() -> Column:
     )
 
 
-def dictionary(ents: DataFrame, key: str, attempts: int = 40) -> DataFrame:
+#: Draws in which names and mailboxes keep their length; draws after which a form without room is permuted; entities of one part of a permutation.
+SAME_LENGTH, DRAWS, PART = 3, 12, 10_000
+
+
+def _permuted(units: DataFrame, full: DataFrame, key: str) -> DataFrame:
+    """units with those of the forms in full given each other's place: in a keyed order each takes the next one's canonical form.
+
+    So surrogates differ by construction; each is another entity of the input, which itself is replaced. Large forms are dealt by hash into
+    parts of about PART entities, so no task sorts a form. An entity that is alone in its form keeps what it drew.
+    """
+    sizes = units.join(full, "form", "left_semi").groupBy("form").agg(F.count("*").alias("n")).withColumn("parts", F.greatest(F.lit(1), F.floor(F.col("n") / PART)).cast("long"))
+    some = units.join(sizes, "form").withColumn("turn", F.sha2(F.concat_ws("\u0001", F.lit(key), "kind", "canon"), 256))
+    by = W.partitionBy("form", F.pmod(F.xxhash64("turn"), F.col("parts")))
+    nxt = F.coalesce(F.lead("canon").over(by.orderBy("turn")), F.first("canon").over(by.orderBy("turn").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    some = some.withColumn("next", nxt).withColumn("surrogate", F.when(F.col("next") == F.col("canon"), F.col("surrogate")).otherwise(F.col("next")))
+    return units.join(full, "form", "left_anti").unionByName(some.select(*units.columns))
+
+
+def dictionary(ents: DataFrame, key: str, draws: int = DRAWS) -> DataFrame:
     """(ent, is_given, kind, replacement, name, new_name) for all distinct mentions; the last two are null but for names.
 
-    Surrogates of one kind are all different and none is an entity of the input: of those that clash the smallest
-    keeps its surrogate, the others draw again, until none clashes. Raises if attempts do not suffice.
+    Surrogates of one kind are all different and none is an entity of the input: of those that clash the smallest keeps its surrogate, the
+    others draw again. From the fourth draw on names and mailboxes grow by a letter a draw, so they always find room. Forms that
+    cannot grow (numbers, codes and addresses) and still clash after the given draws have too little room beside their entities: in
+    these all entities of the form exchange places, so a surrogate there may be another entity's text.
     """
     mentions = written(_units(ents), "mentions")
-    units = mentions.groupBy("kind", "canon", "gender").agg(F.min("name").alias("name")).withColumn("attempt", F.lit(0))
+    units = mentions.groupBy("kind", "canon", "gender").agg(F.min("name").alias("name")).withColumn("attempt", F.lit(0)).withColumn("form", _form())
     real = mentions.select("kind", F.col("canon").alias("surrogate")).distinct()
-    for _ in range(attempts):
+    grows, attempt = F.col("kind").isin("email", "given", "family"), 0
+    while True:
         units = written(units.drop("surrogate").withColumn("surrogate", _surrogate(key)), "units")
-        taken = units.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1")
-        clash = units.alias("u").join(taken.alias("t"), ["kind", "surrogate"]).where("struct(u.attempt, u.canon) <> t.first").select("kind", "canon")
-        clash = clash.unionByName(units.join(real, ["kind", "surrogate"]).select("kind", "canon")).distinct()
+        live = units if attempt < draws else units.where(grows)
+        taken = live.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1")
+        clash = live.alias("u").join(taken.alias("t"), ["kind", "surrogate"]).where("struct(u.attempt, u.canon) <> t.first").select("kind", "canon", "form")
+        clash = clash.unionByName(live.join(real, ["kind", "surrogate"]).select("kind", "canon", "form")).distinct()
         clash = written(clash.withColumn("again", F.lit(1)), "clash")
-        if clash.isEmpty():
+        if attempt == draws - 1:  # what cannot grow is settled now
+            full = clash.where(~grows).select("form").distinct()
+        if clash.isEmpty() or (attempt >= draws - 1 and clash.where(grows).isEmpty()):
             break
-        units = units.join(clash, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again")
-    else:
-        raise ValueError(f"surrogates still clash after {attempts} attempts")
+        attempt += 1
+        units = units.join(clash.drop("form"), ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again")
+    if attempt >= draws - 1:
+        units = written(_permuted(units, full, key), "units")
     full = mentions.join(units.select("kind", "canon", "gender", "surrogate"), ["kind", "canon", "gender"])
     new = F.when(F.col("kind") == "given", F.substring("surrogate", F.lit(3), F.length("surrogate"))).when(F.col("kind") == "family", F.col("surrogate"))
     return written(full.select("ent", "is_given", "kind", _render().alias("replacement"), F.when(new.isNotNull(), F.col("name")).alias("name"), new.alias("new_name")), "dictionary")
@@ -266,7 +321,8 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
     E-mail addresses, secrets, IBANs, social security numbers, IP addresses, card or account numbers, telephone
     numbers (international, US, or national with a leading 0) and all names after a title (not its initials and particles) are
-    exchanged for keyed surrogates: one entity has one surrogate everywhere, different entities have different ones. Where the
+    exchanged for keyed surrogates: one entity has one surrogate everywhere, different entities have different ones (dictionary() says
+    what happens where a form has no room for new ones; nothing raises). Where the
     same text has such a name again without a title, it gets the same surrogate. Country codes, private address ranges
     and valid check digits are kept. Rows without a match, null and empty texts come through as they are with n_entities 0. Repeated
     rows stay; an empty table gives an empty table; other columns, whatever their names, come through.
