@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridrecon.functions import text
+from gridrecon.operators import scan
 from gridrecon.operators.stored import written
 
 # Names of the totals of an estimate.
@@ -18,15 +19,24 @@ DIRECT, NET, COST, PRICE, TOTAL = "直接工事費", "純工事費", "工事原
 SITE, GENERAL, TAX, TAX_ALT = "現場管理費", "一般管理費等", "消費税額及び地方消費税額", "消費税相当額"
 
 
-def with_parent(rows: DataFrame, level: Column | None = None) -> DataFrame:
+#: Rows of a document that one task may walk through; a larger document goes by ranges.
+LARGEST = 1_000_000
+
+
+def with_parent(rows: DataFrame, level: Column | None = None, largest: int = LARGEST, parts: int | None = None) -> DataFrame:
     """rows with level, parent_seq (the nearest earlier row of the document with a smaller level; null: none) and ancestors.
 
-    ancestors: seqs of the rows above, from the root down. Levels may be of any depth and may leave some out. Rows go by
-    document in order through Arrow, and of each document only the rows above the present one are held.
+    ancestors: seqs of the rows above, from the root down. Levels may be of any depth and may leave some out. Rows are walked through in
+    order, holding only the rows above the present one: by document, or, where one has more than largest rows, by ranges of rows
+    (parts of them) that hand their open rows on. The result is a table in the shared folder, as several steps read it.
     """
     df = rows.withColumn("level", (level if level is not None else text.level(F.col("item_name"))).cast("int")).drop("parent_seq", "ancestors")
-    kind = T.LongType()
-    schema = T.StructType([*df.schema.fields, T.StructField("parent_seq", kind), T.StructField("ancestors", T.ArrayType(kind))])
+    big = df.groupBy("doc").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    out = scan.ancestors(df, parts) if big > largest else _by_document(df)
+    return written(out.withColumn("parent_seq", F.try_element_at("ancestors", F.lit(-1))).select(*df.columns, "parent_seq", "ancestors"), "parents")
+
+
+def _by_document(df: DataFrame) -> DataFrame:
     names = df.columns
     doc, seq, lv = (names.index(c) for c in ("doc", "seq", "level"))
 
@@ -41,9 +51,9 @@ def with_parent(rows: DataFrame, level: Column | None = None) -> DataFrame:
                     above.pop()
                 lists.append([x for _, x in above])
                 above.append((n, s))
-            new = [pa.array([x[-1] if x else None for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*names, "parent_seq", "ancestors"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.int64()))], [*names, "ancestors"])
 
+    schema = T.StructType([*df.schema.fields, T.StructField("ancestors", T.ArrayType(T.LongType()))])
     return df.repartition("doc").sortWithinPartitions("doc", "seq").mapInArrow(run, schema)
 
 
@@ -106,8 +116,8 @@ def check_totals_again(rows: DataFrame, tolerance: float = 0.01) -> DataFrame:
 
 
 def flatten(rows: DataFrame) -> DataFrame:
-    """rows (with ancestors) in pre-order with depth counted anew from 0: a level left out counts as none."""
-    return rows.withColumn("depth", F.size("ancestors")).orderBy("doc", "seq")
+    """rows (with ancestors) with depth counted anew from 0: a level left out counts as none. Each document is in pre-order."""
+    return rows.withColumn("depth", F.size("ancestors")).repartition("doc").sortWithinPartitions("doc", "seq")
 
 
 def money(c: Column) -> Column:
