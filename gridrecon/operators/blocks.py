@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridrecon.functions import text
+from gridrecon.operators import jumps
 from gridrecon.operators.grid import over, segment, segment_after
 
 
@@ -31,10 +32,15 @@ def table_blocks(rows: DataFrame, by: list, order: list, reference: Column, head
     return df.withColumn("block", F.when(F.col("_n") >= F.col("_first"), F.col("_first"))).drop("_n", "_head", "_able", "_part", "_first")
 
 
-def spaced(marks: DataFrame, by: list, at: str, gap: int) -> DataFrame:
+#: Marks of a table that one task may walk through; a larger table goes by pointers.
+LARGEST = 1_000_000
+
+
+def spaced(marks: DataFrame, by: list, at: str, gap: int, largest: int = LARGEST, parts: int | None = None) -> DataFrame:
     """Of the marks of each table, in order, those at least gap rows after the last one taken.
 
-    Which mark counts depends on the one taken before, so sorted marks stream through Arrow, one position held at a time.
+    Which mark counts depends on the one taken before: sorted marks stream through Arrow, one position held at a time, or, where a
+    table has more than largest marks, pointers double.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,6 +54,9 @@ def spaced(marks: DataFrame, by: list, at: str, gap: int) -> DataFrame:
             yield b.filter(pa.array(taken, pa.bool_()))
 
     marks = marks.select(*by, at)
+    most = marks.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > largest:
+        return jumps.spaced(marks, by, at, gap, parts=parts)
     return marks.repartition(*by).sortWithinPartitions(*by, at).mapInArrow(run, marks.schema)
 
 

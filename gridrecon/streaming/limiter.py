@@ -10,23 +10,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gridrecon.operators import jumps, scan
+
 LIMIT, WINDOW = 5, 60.0
+#: Hits of a key that one task may walk through; a larger key goes by pointers.
+LARGEST = 1_000_000
 OUT = "key string, ts double, allowed boolean, used int"
 
 
 def _step(start: float | None, used: int, ts: float, limit: int, window: float) -> tuple[float, int, bool]:
-    if start is None or ts - start > window:
+    if start is None or ts > start + window:
         return ts, 1, True
     return (start, used + 1, True) if used < limit else (start, used, False)
 
 
-def limit_batch(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW) -> DataFrame:
+def limit_batch(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW, largest: int = LARGEST, parts: int | None = None) -> DataFrame:
     """hits (key, ts seconds) with allowed and used: the window opens at a key's first hit and anew after it has passed.
 
-    Whether a hit opens a window depends on the window before, so a key's hits go in order through Arrow; only the open
-    window's start and count are held, however many hits a key has.
+    Whether a hit opens a window depends on the window before. Hits go by key in order, with one window's start and count held, or, where a
+    key has more than largest hits, by ranges and doubling pointers (parts of them), so that no key is one task. Hits with a null are left
+    out; of equal hits the first ones are allowed.
     """
+    rows = hits.select("key", F.col("ts").cast("double").alias("ts")).where("key is not null and ts is not null")
+    most = rows.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return _by_pointers(rows, limit, window, parts) if most > largest else _by_key(rows, limit, window)
+
 
+def _by_pointers(rows: DataFrame, limit: int, window: float, parts: int | None) -> DataFrame:
+    at = rows.groupBy("key", "ts").agg(F.count("*").alias("n"))
+    opens = jumps.spaced(at, ["key"], "ts", window, strict=True, parts=parts).withColumn("opens", F.lit(True))
+    at = scan.running(at.join(opens, ["key", "ts"], "left"), ["key"], ["ts"], parts, before=scan.total(F.col("n"), own=False))
+    at = scan.running(at, ["key"], ["ts"], parts, start=scan.last(F.when(F.col("opens"), F.col("before"))))
+    place = F.col("before") - F.col("start") + F.col("k")
+    each = at.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return each.select("key", "ts", (place <= limit).alias("allowed"), F.least(place, F.lit(limit)).cast("int").alias("used"))
+
+
+def _by_key(rows: DataFrame, limit: int, window: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, start, used = None, None, 0
         for b in batches:
@@ -39,7 +59,6 @@ def limit_batch(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW) ->
                 count.append(used)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_()), pa.array(count, pa.int32())], ["key", "ts", "allowed", "used"])
 
-    rows = hits.select("key", F.col("ts").cast("double").alias("ts")).where("key is not null and ts is not null")
     return rows.repartition("key").sortWithinPartitions("key", "ts").mapInArrow(run, OUT)
 
 

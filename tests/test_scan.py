@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridrecon.operators import scan, tree
+from gridrecon.operators import blocks, jumps, scan, tree
+from gridrecon.streaming import limiter
 
 
 @pytest.mark.parametrize("parts", [1, 7, 50])
@@ -55,3 +56,36 @@ def test_one_document_over_many_ranges(spark, parts):
         stack.append((level, seq))
     assert want == by_hand
     assert tree.with_parent(d.limit(0), F.col("level"), largest=0).count() == 0
+
+
+def walk(points, gap, strict):
+    out = []
+    for t in sorted(set(points)):
+        if not out or (t > out[-1] + gap if strict else t >= out[-1] + gap):
+            out.append(t)
+    return out
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_spaced_marks(spark, strict):
+    rng = random.Random(8)
+    points = {"a": [rng.randrange(3000) for _ in range(1200)], "b": [5], "c": [0, 10, 20, 30, 31], "d": list(range(0, 640, 10))}
+    rows = [(k, t) for k, ts in points.items() for t in ts] + [(None, 3), ("a", None)]
+    got = jumps.spaced(spark.createDataFrame(rows, "g string, t long"), ["g"], "t", 10, strict, parts=9)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((k, t) for k, ts in points.items() for t in walk(ts, 10, strict))
+    assert jumps.spaced(spark.createDataFrame([], "g string, t long"), ["g"], "t", 10).count() == 0
+
+
+def test_a_key_with_a_third_of_all_hits(spark):
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.35 else f"k{rng.randrange(40)}", float(rng.randrange(9000))) for _ in range(3000)] + [(None, 1.0), ("x", None)]
+    d = spark.createDataFrame(rows, "key string, ts double")
+    want = sorted(tuple(r) for r in limiter.limit_batch(d, limit=3, window=60.0).collect())
+    assert sorted(tuple(r) for r in limiter.limit_batch(d, limit=3, window=60.0, largest=0, parts=12).collect()) == want and len(want) == 3000
+    assert limiter.limit_batch(d.limit(0), largest=0).count() == 0
+
+
+def test_spaced_marks_of_a_large_table(spark):
+    d = spark.createDataFrame([(1, i) for i in (1, 2, 3, 5, 6, 9, 30)] + [(2, 4)], "doc long, n long")
+    small, large = (sorted(tuple(r) for r in blocks.spaced(d, ["doc"], "n", 3, largest=k).collect()) for k in (100, 2))
+    assert small == large == [(1, 1), (1, 5), (1, 9), (1, 30), (2, 4)]
