@@ -154,47 +154,122 @@ def best_candidate(req: DataFrame, est: DataFrame, k: int = 1) -> DataFrame:
     return token_overlap(req, est).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fuzzy_best(req: DataFrame, est: DataFrame, least: int = 80) -> DataFrame:
-    """Best estimated name of the document by edit distance (ratio in whole percent) for names without an exact partner.
-
-    Distinct names of a document meet once, and only those whose lengths allow the ratio are compared.
+def _prefixes(names: DataFrame, alphabet: DataFrame, least: float) -> DataFrame:
+    """doc, name, m, c, k: of each name so many of its rarest characters (c for the k-th time) that a name of that ratio shares one of them."""
+    sorted_ = F.array_sort(F.split("name", ""))
+    marked = F.transform(sorted_, lambda c, i: F.struct(c.alias("c"), (i + 2 - F.array_position(sorted_, c)).cast("int").alias("k")))
+    each = names.where("name <> ''").withColumn("m", F.length("name")).select("doc", "name", "m", F.explode(marked).alias("x")).select("doc", "name", "m", "x.*")
+    each = each.join(F.broadcast(alphabet), "c")  # a row a code point at most
+    place = F.row_number().over(W.partitionBy("doc", "name").orderBy("f", "c", "k"))
+    shared = F.greatest(F.lit(1), F.ceil(F.col("m") * least / (200 - least) - 1e-9))
+    return each.withColumn("place", place).where(F.col("place") <= F.col("m") - shared + 1).drop("place", "f")
+
+
+def similar(left: DataFrame, right: DataFrame, least: float = 80.0) -> DataFrame:
+    """doc, name, other, ratio: all pairs of distinct names (doc, name) of a document whose ratio is at least least (above 0).
+
+    Two names of that ratio have so many characters in common that their rarest ones, as many as least leaves open, meet; only pairs that
+    meet there and whose lengths allow the ratio are formed and verified. The ratio is the share, in percent, of both texts that a longest
+    common subsequence covers; empty names are like nothing.
     """
+    l, r = left.select("doc", "name").distinct(), right.select("doc", "name").distinct()
+    alphabet = l.unionByName(r).select(F.explode(F.split("name", "")).alias("c")).groupBy("c").agg(F.count("*").alias("f"))
+    alphabet = written(alphabet, "alphabet")
+    other = _prefixes(r, alphabet, least).withColumnRenamed("name", "other").withColumnRenamed("m", "n")
+    both = _prefixes(l, alphabet, least).join(other, ["doc", "c", "k"])
+    high, low = F.greatest("m", "n"), F.least("m", "n")
+    pairs = both.where(low * (200 - least) >= high * least - 1e-6).select("doc", "name", "other").distinct()
+    return pairs.withColumn("ratio", text.ratio(F.col("name"), F.col("other"))).where(F.col("ratio") >= least)
+
+
+def _best(r: DataFrame, e: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc, req_ord, est_ord, ratio: of rows r (doc, req_ord, name) the best of similar()'s pairs, the first row e (doc, other, est_ord) of equals."""
+    first = e.groupBy("doc", "other").agg(F.min("est_ord").alias("est_ord"))
+    top = pairs.join(first, ["doc", "other"]).groupBy("doc", "name").agg(F.max(F.struct("ratio", (-F.col("est_ord")).alias("o"))).alias("x"))
+    return r.join(top, ["doc", "name"]).select("doc", "req_ord", (-F.col("x.o")).alias("est_ord"), F.col("x.ratio").alias("ratio"))
+
+
+def fuzzy_best(req: DataFrame, est: DataFrame, least: float = 80.0) -> DataFrame:
+    """Best estimated name of the document by ratio (percent, at least least) for names without an exact partner; the first of equals."""
     n = text.item_name(F.col("item_key"))
-    r = req.select("doc", F.col("ord").alias("req_ord"), n.alias("name"))
-    e = est.select("doc", F.col("ord").alias("est_ord"), n.alias("other"))
+    r = written(req.select("doc", F.col("ord").alias("req_ord"), n.alias("name")), "requested")
+    e = written(est.select("doc", F.col("ord").alias("est_ord"), n.alias("other")), "estimated")
     r = r.join(e.select("doc", F.col("other").alias("name")).distinct(), ["doc", "name"], "left_anti")
-    ratio = F.floor(F.lit(100) * (1 - F.levenshtein("name", "other") / F.greatest(F.length("name"), F.length("other"), F.lit(1)))).cast("int")
-    # only names of near lengths can reach the ratio, and these are compared by distinct pairs of names
-    pairs = r.select("doc", "name").distinct().join(e.select("doc", "other").distinct(), "doc")
-    near = F.least(F.length("name"), F.length("other")) * 100 >= F.greatest(F.length("name"), F.length("other")) * least
-    pairs = pairs.where(near).withColumn("ratio", ratio).where(F.col("ratio") >= least)
-    both = r.join(pairs, ["doc", "name"]).join(e, ["doc", "other"])
-    best = both.groupBy("doc", "req_ord").agg(F.max(F.struct("ratio", (-F.col("est_ord")).alias("o"))).alias("x"))
-    return best.select("doc", "req_ord", (-F.col("x.o")).alias("est_ord"), F.col("x.ratio").alias("ratio"))
+    return _best(r, e, similar(r, e.withColumnRenamed("other", "name"), least))
+
+
+def containing(r: DataFrame, e: DataFrame) -> DataFrame:
+    """doc, req_ord, est_ord: the first row e (doc, est_ord, other) whose name holds all tokens of a row r (doc, req_ord, tokens).
+
+    Names are looked up by the character pair of r that is rarest in the document's names, and only what is found there is verified. A
+    name without tokens is held by any, so by the document's first row.
+    """
+    index = e.select("doc", "est_ord", "other", F.explode(_duos(text.tokens_of(F.col("other")))).alias("duo"))
+    often = index.groupBy("doc", "duo").agg(F.count("*").alias("n"))
+    asked = r.select("doc", "req_ord", "tokens", F.explode(_duos(F.col("tokens"))).alias("duo")).join(often, ["doc", "duo"], "left")
+    rare = asked.groupBy("doc", "req_ord").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "duo")).alias("x"), F.first("tokens").alias("tokens"))
+    rare = rare.where("x.n > 0").select("doc", "req_ord", "tokens", F.col("x.duo").alias("duo"))
+    held = rare.join(index, ["doc", "duo"]).where(rules.all_tokens(F.col("tokens"), F.col("other"))).groupBy("doc", "req_ord").agg(F.min("est_ord").alias("est_ord"))
+    first = e.groupBy("doc").agg(F.min("est_ord").alias("est_ord"))
+    return held.unionByName(r.where(F.size("tokens") == 0).join(first, "doc").select("doc", "req_ord", "est_ord"))
+
+
+def _duos(tokens):
+    return F.filter(tokens, lambda t: F.length(t) == 2)
+
+
+#: Ratios at which the nearest name of a missing row is looked for, one after the other; the last asks for any common character.
+RATIOS = (60.0, 30.0, 1e-6)
+
+
+def nearest(r: DataFrame, e: DataFrame) -> DataFrame:
+    """doc, req_ord, est_ord: of rows r (doc, req_ord, name) the row e (doc, est_ord, other) of best ratio, the first of equals.
+
+    Joins at falling ratios: a row leaves with the first one that finds a name, which then is the best. A name that has no character in
+    common with any of the document gets its first row; a document without rows e has none.
+    """
+    names, found = e.select("doc", F.col("other").alias("name")), []
+    for least in RATIOS:
+        r = written(r, "open")
+        found.append(written(_best(r, e, similar(r, names, least)).drop("ratio"), "nearest"))
+        r = r.join(found[-1], ["doc", "req_ord"], "left_anti")
+    found.append(r.join(e.groupBy("doc").agg(F.min("est_ord").alias("est_ord")), "doc").select("doc", "req_ord", "est_ord"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def cascade(req: DataFrame, est: DataFrame) -> DataFrame:
     """doc, req_ord, est_ord, how, status: for each requested item the first estimated one of the document that fits best.
 
-    how: exact (equal names), folded (equal but for width, case and spaces), all or any (tokens in the name), missing (then est_ord
-    is the row that shares most character pairs). Rows may be found more than once. Names meet through equi-joins: on the name, on
-    its folded form, and on character pairs for the rest.
+    how: exact (equal names) or folded (equal but for width, case and spaces), whose status is that of the pair; all or any (tokens in the
+    name), a NAME_MISMATCH; missing, with the row of best ratio beside it. Rows may be found more than once. Each kind is looked for only
+    for rows that the kinds before did not find: by name, by folded name, by the rarest character pair, by any pair (of which only
+    the first row is kept), by ratio.
     """
     r = rules.prepared(req).select("doc", F.col("ord").alias("req_ord"), "name", "tokens", text.strict_name(F.col("item_key")).alias("folded"), F.col("quantity").alias("rq"), F.col("unit").alias("ru"))
-    e = rules.prepared(est).select("doc", F.col("ord").alias("est_ord"), F.col("name").alias("other"), "tokens", text.strict_name(F.col("item_key")).alias("folded"), F.col("quantity").alias("eq"), F.col("unit").alias("eu"))
+    e = rules.prepared(est).select("doc", F.col("ord").alias("est_ord"), F.col("name").alias("other"), text.strict_name(F.col("item_key")).alias("folded"), F.col("quantity").alias("eq"), F.col("unit").alias("eu"))
     r, e = written(r, "requested"), written(e, "estimated")  # each is read by every kind of match
-    duo = F.explode(F.filter("tokens", lambda t: F.length(t) == 2)).alias("duo")
-    shared = r.select("doc", "req_ord", duo).join(e.select("doc", "est_ord", duo), ["doc", "duo"]).groupBy("doc", "req_ord", "est_ord").agg(F.count("*").alias("shared"))
-    near = shared.join(r.select("doc", "req_ord", "tokens"), ["doc", "req_ord"]).join(e.select("doc", "est_ord", "other"), ["doc", "est_ord"])
-    near = near.select("doc", "req_ord", "est_ord", F.when(rules.all_tokens(F.col("tokens"), F.col("other")), 2).when(rules.any_token(F.col("tokens"), F.col("other")), 3).otherwise(4).alias("rank"), "shared")
-    exact = r.join(e.drop("folded", "tokens"), (r["doc"] == e["doc"]) & (r["name"] == e["other"])).select(r["doc"], "req_ord", "est_ord", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("shared"))
-    folded = r.join(e.drop("other", "tokens"), ["doc", "folded"]).select("doc", "req_ord", "est_ord", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("shared"))
-    order = F.struct("rank", F.when(F.col("rank") == 4, -F.col("shared")).otherwise(F.lit(0)).alias("s"), "est_ord")
-    best = exact.unionByName(folded).unionByName(near).groupBy("doc", "req_ord").agg(F.min(order).alias("x"))
-    out = r.select("doc", "req_ord", "rq", "ru").join(best, ["doc", "req_ord"], "left").withColumn("est_ord", F.col("x.est_ord"))
-    out = out.join(e.select("doc", "est_ord", "eq", "eu"), ["doc", "est_ord"], "left")
-    how = F.coalesce(F.get(F.array(*map(F.lit, ("exact", "folded", "all", "any", "missing"))), F.col("x.rank")), F.lit("missing"))
-    status = F.when(how == "missing", "MISSING").otherwise(rules.pair_status(F.col("rq"), F.col("eq"), F.col("ru"), F.col("eu")))
+    first = lambda df, *key: df.groupBy("doc", *key).agg(F.min("est_ord").alias("est_ord"))
+    kinds = {
+        "exact": lambda left: left.join(first(e.withColumnRenamed("other", "name"), "name"), ["doc", "name"]),
+        "folded": lambda left: left.join(first(e, "folded"), ["doc", "folded"]),
+        "all": lambda left: containing(left, e),
+        "any": lambda left: left.select("doc", "req_ord", F.explode(_duos(F.col("tokens"))).alias("duo"))
+        .join(first(e.select("doc", "est_ord", F.explode(_duos(text.tokens_of(F.col("other")))).alias("duo")), "duo"), ["doc", "duo"]),
+        "missing": lambda left: nearest(left.select("doc", "req_ord", "name"), e.select("doc", "est_ord", "other")),
+    }
+    left, done = r, None
+    for how, find in kinds.items():
+        hit = find(left).groupBy("doc", "req_ord").agg(F.min("est_ord").alias("est_ord")).withColumn("how", F.lit(how))
+        hit = written(hit, how)
+        done = hit if done is None else done.unionByName(hit)
+        if how != "missing":
+            left = written(left.join(hit, ["doc", "req_ord"], "left_anti"), "left")
+    out = r.select("doc", "req_ord", "rq", "ru").join(done, ["doc", "req_ord"], "left").join(e.select("doc", "est_ord", "eq", "eu"), ["doc", "est_ord"], "left")
+    how = F.coalesce("how", F.lit("missing"))
+    status = F.when(how == "missing", "MISSING").when(how.isin("all", "any"), "NAME_MISMATCH").otherwise(rules.pair_status(F.col("rq"), F.col("eq"), F.col("ru"), F.col("eu")))
     return out.select("doc", "req_ord", "est_ord", how.alias("how"), status.alias("status"))
 
 

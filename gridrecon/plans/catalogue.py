@@ -186,9 +186,16 @@ def best_candidate_topk(spark, sf):
     return match.best_candidate(*pair(spark, sf), k=2)
 
 
+def _ratio(a: str, b: str) -> str:
+    """Twice the longest common subsequence over both lengths, in percent; a bit of v that is 0 marks a place of b where it grows."""
+    full = f"((1::BIGINT << len({b})::INTEGER) - 1)"
+    masks = f"list_transform(string_split({a}, ''), lambda c: CAST(list_sum(list_transform(range(len({b})), lambda j: CASE WHEN substr({b}, j + 1, 1) = c THEN 1::BIGINT << j::INTEGER ELSE 0 END)) AS BIGINT))"
+    v = f"list_reduce(list_prepend({full}, {masks}), lambda v, m: ((v + (v & m)) | (v & ~m)) & {full})"
+    return f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE 200.0::DOUBLE * (len({b}) - bit_count({v})) / (len({a}) + len({b})) END)"
+
+
 @query(f"""WITH {_ITEMS}, r AS (SELECT doc, ord AS req_ord, {_name("item_key")} AS n FROM req), e AS (SELECT doc, ord AS est_ord, {_name("item_key")} AS o FROM est),
-x AS (SELECT r.doc, req_ord, est_ord, CAST(floor(100 * (1 - levenshtein(translate(n, '甲ヰヱヲ追加工', '!@#$%^&'), translate(o, '甲ヰヱヲ追加工', '!@#$%^&')) / greatest(len(n), len(o), 1))) AS INTEGER) AS ratio FROM r JOIN e ON r.doc = e.doc
-      WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.doc = r.doc AND f.o = r.n))
+x AS (SELECT r.doc, req_ord, est_ord, {_ratio("n", "o")} AS ratio FROM r JOIN e ON r.doc = e.doc WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.doc = r.doc AND f.o = r.n))
 SELECT * FROM x WHERE ratio >= 80 QUALIFY row_number() OVER (PARTITION BY doc, req_ord ORDER BY ratio DESC, est_ord) = 1""")
 def fuzzy_best_match(spark, sf):
     return match.fuzzy_best(*pair(spark, sf))

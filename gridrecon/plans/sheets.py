@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridrecon.functions import text
 from gridrecon.operators import articles, grid, match, report, spec, tables, tree, workbook
 from gridrecon.operators.stored import written
-from gridrecon.plans.catalogue import _BY, _CHAIN, _COMPARE, _COUNTS, _GREEDY, _ITEMS, _ORDER, _PCT, _SHEET, _compared, _events, _name, _pairs, _tree, _unit, query
+from gridrecon.plans.catalogue import _BY, _CHAIN, _COMPARE, _COUNTS, _GREEDY, _ITEMS, _ORDER, _PCT, _SHEET, _compared, _events, _name, _pairs, _ratio, _tree, _unit, query
 from gridrecon.plans.items import ORDER, pair, table
 
 _LINES = f"""l AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(ORDER)}) AS n, p_name, p_type, CAST(l_quantity AS INTEGER) AS q FROM lineitem JOIN part ON l_partkey = p_partkey)"""
@@ -139,15 +139,33 @@ def totals_again(spark, sf):
     return c.select("doc", "item_name", F.col("actual").cast("double").alias("actual"), F.col("expected").cast("double").alias("expected"), "ok")
 
 
-@query(f"""WITH {_ITEMS}, r AS (SELECT doc, ord, quantity, unit, {_name("item_key")} AS n FROM req), e AS (SELECT doc, ord, quantity, unit, {_name("item_key")} AS n FROM est),
-p AS (SELECT r.doc, r.ord AS req_ord, e.ord AS est_ord, r.quantity AS rq, e.quantity AS eq, r.unit AS ru, e.unit AS eu, len(list_intersect(list_distinct({_pairs("r.n")}), list_distinct({_pairs("e.n")}))) AS shared,
-  CASE WHEN r.n = e.n THEN 0 WHEN contains(e.n, r.n) AND len(r.n) > 1 THEN 2 ELSE 3 END AS rank FROM r JOIN e ON r.doc = e.doc),
-b AS (SELECT * FROM p WHERE shared > 0 OR rank = 0 QUALIFY row_number() OVER (PARTITION BY doc, req_ord ORDER BY rank, est_ord) = 1)
-SELECT r.doc, r.ord AS req_ord, est_ord, coalesce(['exact', 'folded', 'all', 'any'][rank + 1], 'missing') AS how, CASE WHEN est_ord IS NULL THEN 'MISSING'
+def _tokens(n: str) -> str:
+    return f"list_concat({_pairs(n)}, list_filter(regexp_extract_all({n}, '\\d+|\\D+'), lambda t: len(t) >= 2))"
+
+
+#: Requested rows with an index from 0 that decides how their names are changed, so that every kind of match occurs.
+_CASCADE = f"""WITH {_ITEMS}, q AS (SELECT *, CASE k % 8 WHEN 1 THEN replace(item_key, ' ', '.') WHEN 2 THEN split_part(item_key, ' ', 2) WHEN 3 THEN item_key || 'ヌ' WHEN 4 THEN 'ヌ'
+   WHEN 5 THEN 'ヌ' || substr(item_key, 1, 1) || 'ネ' || substr(item_key, 3, 1) || 'ノ' ELSE item_key END AS asked FROM req),
+r AS (SELECT doc, ord, quantity, unit, {_name("asked")} AS n FROM q), e AS (SELECT doc, ord, quantity, unit, {_name("item_key")} AS n FROM est),
+t AS (SELECT *, {_tokens("n")} AS tokens FROM r),
+p AS (SELECT r.doc, r.ord AS req_ord, e.ord AS est_ord, r.quantity AS rq, e.quantity AS eq, r.unit AS ru, e.unit AS eu, {_ratio("r.n", "e.n")} AS ratio,
+  CASE WHEN r.n = e.n THEN 0 WHEN coalesce(list_bool_and(list_transform(tokens, lambda t: contains(e.n, t))), true) THEN 2
+       WHEN list_bool_or(list_transform(tokens, lambda t: contains(e.n, t))) THEN 3 ELSE 4 END AS rank FROM t r JOIN e ON r.doc = e.doc),
+b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc, req_ord ORDER BY rank, CASE WHEN rank = 4 THEN -ratio ELSE 0 END, est_ord) = 1)"""
+
+
+@query(f"""{_CASCADE} SELECT r.doc, r.ord AS req_ord, est_ord, coalesce(['exact', 'folded', 'all', 'any', 'missing'][rank + 1], 'missing') AS how, CASE WHEN coalesce(rank, 4) = 4 THEN 'MISSING' WHEN rank > 1 THEN 'NAME_MISMATCH'
   WHEN CASE WHEN rq IS NULL THEN eq IS NULL ELSE abs(coalesce(eq, 0) - rq) >= 0.001 END THEN 'QUANTITY_MISMATCH' WHEN {_unit("ru")} <> {_unit("eu")} THEN 'UNIT_MISMATCH' ELSE 'OK' END AS status
 FROM r LEFT JOIN b ON b.doc = r.doc AND b.req_ord = r.ord""")
 def comparison_cascade(spark, sf):
-    return match.cascade(*pair(spark, sf))
+    req, est = pair(spark, sf)
+    k, key = F.col("k") % 8, F.col("item_key")
+    letter = lambda i: F.substring(key, i, 1)
+    asked = (
+        F.when(k == 1, F.replace(key, F.lit(" "), F.lit("."))).when(k == 2, F.split_part(key, F.lit(" "), F.lit(2))).when(k == 3, F.concat(key, F.lit("ヌ"))).when(k == 4, "ヌ")
+        .when(k == 5, F.concat(F.lit("ヌ"), letter(1), F.lit("ネ"), letter(3), F.lit("ノ"))).otherwise(key)
+    )
+    return match.cascade(req.withColumn("item_key", asked), est)
 
 
 @query(f"""WITH {_ITEMS}, l AS (SELECT doc, ref, arg_min(quantity, ord) AS q, arg_min(unit, ord) AS u FROM req GROUP BY ALL), r AS (SELECT doc, ref, max(ord) AS o FROM est GROUP BY ALL)

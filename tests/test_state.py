@@ -61,7 +61,7 @@ def test_cascade_takes_the_best_kind(spark):
     req = spark.createDataFrame([(1, 1, "Ａ b.c", "m", 1.0, None), (1, 2, "土工", "m", 1.0, None), (1, 3, "abcd", "m", 1.0, None), (1, 4, "xyz", "m", 1.0, None), (2, 1, "q", "m", 1.0, None)], s)
     est = spark.createDataFrame([(1, 1, "土工事", "m", 1.0, None), (1, 2, "ab.c", "m", 2.0, None), (1, 3, "zabcdz", "t", 1.0, None), (1, 4, "xyq", "m", 1.0, None)], s)
     got = {(r.doc, r.req_ord): (r.est_ord, r.how, r.status) for r in match.cascade(req, est).collect()}
-    assert got == {(1, 1): (2, "exact", "QUANTITY_MISMATCH"), (1, 2): (1, "all", "OK"), (1, 3): (3, "all", "UNIT_MISMATCH"), (1, 4): (4, "any", "OK"), (2, 1): (None, "missing", "MISSING")}
+    assert got == {(1, 1): (2, "exact", "QUANTITY_MISMATCH"), (1, 2): (1, "all", "NAME_MISMATCH"), (1, 3): (3, "all", "NAME_MISMATCH"), (1, 4): (4, "any", "NAME_MISMATCH"), (2, 1): (None, "missing", "MISSING")}
 
 
 def test_reports_by_side_and_lists(spark):
