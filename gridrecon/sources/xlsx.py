@@ -1,65 +1,356 @@
-"""Workbooks as cells: doc, sheet, sheet_idx, row, col, value, border styles. Read in tasks, one workbook each."""
+"""Workbooks as cells, read and written in tasks: doc, sheet, sheet_idx, row, col, value, border styles, error.
+
+A file that is no workbook, or whose parts cannot be read, gives one row with its doc and error, whatever was read of it before.
+"""
 
 from __future__ import annotations
 
 import io
+import os
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
+from urllib.parse import quote, unquote
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+
+SCHEMA = "doc string, sheet string, sheet_idx int, row int, col int, value string, b_top string, b_bottom string, b_left string, b_right string, error string"
+_NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 6]
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_NS = {"m": _MAIN, "r": f"{_PACKAGE}/relationships"}
+_REL = f"{{{_OFFICE}}}id"
+#: Cells of one batch.
+ROWS = 10_000
+
+
+# --- reading a workbook ------------------------------------------------------------------------------------------------
+
+
+def _plain(e: ElementTree.Element) -> str:
+    """Text of a string: its own and that of its runs, without what tells how it is pronounced."""
+    return "".join(t.text or "" for path in ("m:t", "m:r/m:t") for t in e.iterfind(path, _NS))
+
+
+def _place(ref: str | None, row: int, col: int) -> tuple[int, int]:
+    """Row and column of a cell; one without a reference follows the cell before it."""
+    m = re.fullmatch(r"([A-Z]+)(\d+)", ref or "")
+    if not m:
+        return row, col + 1
+    n = 0
+    for a in m[1]:
+        n = n * 26 + ord(a) - 64
+    return int(m[2]), n
+
 
-SCHEMA = "doc string, sheet string, sheet_idx int, row int, col int, value string, b_top string, b_bottom string, b_left string, b_right string"
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/package/2006/relationships"}
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+def _value(c: ElementTree.Element, strings: list[str]) -> str | None:
+    kind, v = c.get("t"), c.find("m:v", _NS)
+    if kind == "inlineStr":
+        inner = c.find("m:is", _NS)
+        return None if inner is None else _plain(inner)
+    if v is None or v.text is None:
+        return None
+    if kind == "s":
+        return strings[int(v.text)]
+    return ("False", "True")[v.text.strip() == "1"] if kind == "b" else v.text
 
 
-def cells(data: bytes) -> Iterator[tuple]:
-    """Cells that have a value or a border, with cached values; styles come from the workbook's border table."""
+def _strings(z: zipfile.ZipFile) -> list[str]:
+    out = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        with z.open("xl/sharedStrings.xml") as f:
+            for _, e in ElementTree.iterparse(f):
+                if e.tag == f"{{{_MAIN}}}si":
+                    out.append(_plain(e))
+                    e.clear()
+    return out
+
+
+def cells(data: bytes, sheets: set[str] | None = None, first_row: int = 1, last_row: int | None = None) -> Iterator[tuple]:
+    """(sheet, sheet_idx, row, col, value, four border styles) of cells that have a value or a border, with cached values.
+
+    sheets: only these; the others are not unpacked. Rows outside first_row to last_row are skipped. A sheet is parsed as it is unpacked, a
+    row at a time; shared strings and styles are held.
+    """
     z = zipfile.ZipFile(io.BytesIO(data))
-    names = set(z.namelist())
     tree = lambda n: ElementTree.fromstring(z.read(n))
-    strings = ["".join(t.text or "" for t in si.iterfind(".//m:t", _NS)) for si in tree("xl/sharedStrings.xml").iterfind("m:si", _NS)] if "xl/sharedStrings.xml" in names else []
-    borders, formats = [], []
-    if "xl/styles.xml" in names:
+    strings, borders, formats = _strings(z), [], []
+    if "xl/styles.xml" in z.namelist():
         styles = tree("xl/styles.xml")
         for b in styles.iterfind("m:borders/m:border", _NS):
-            sides = {s: b.find(f"m:{s}", _NS) for s in ("top", "bottom", "left", "right")}
-            borders.append(tuple(None if e is None else e.get("style") for e in sides.values()))
+            sides = [b.find(f"m:{s}", _NS) for s in ("top", "bottom", "left", "right")]
+            borders.append(tuple(None if e is None else e.get("style") for e in sides))
         formats = [int(x.get("borderId", 0)) for x in styles.iterfind("m:cellXfs/m:xf", _NS)]
     targets = {r.get("Id"): r.get("Target").lstrip("/").removeprefix("xl/") for r in tree("xl/_rels/workbook.xml.rels").iterfind("r:Relationship", _NS)}
     for k, s in enumerate(tree("xl/workbook.xml").iterfind("m:sheets/m:sheet", _NS)):
-        for c in tree(f"xl/{targets[s.get(_REL)]}").iterfind(".//m:c", _NS):
-            letters, row = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
-            col = 0
-            for a in letters:
-                col = col * 26 + ord(a) - 64
-            v = c.find("m:v", _NS)
-            if c.get("t") == "s" and v is not None:
-                value = strings[int(v.text)]
-            elif c.get("t") == "inlineStr":
-                value = "".join(t.text or "" for t in c.iterfind(".//m:t", _NS))
-            else:
-                value = None if v is None else v.text
-            style = int(c.get("s", 0))
-            edge = borders[formats[style]] if style < len(formats) and formats[style] < len(borders) else (None,) * 4
-            if value is not None or any(edge):
-                yield s.get("name"), k, int(row), col, value, *edge
+        if sheets is not None and s.get("name") not in sheets:
+            continue
+        with z.open(f"xl/{targets[s.get(_REL)]}") as f:
+            row, col, root = 0, 0, None
+            for event, e in ElementTree.iterparse(f, ("start", "end")):
+                if root is None:
+                    root = e
+                if e.tag == f"{{{_MAIN}}}row":
+                    if event == "start":
+                        row, col = int(e.get("r") or row + 1), 0
+                        if last_row is not None and row > last_row:
+                            break
+                    else:
+                        root.clear()
+                elif e.tag == f"{{{_MAIN}}}c" and event == "end":
+                    row, col = _place(e.get("r"), row, col)
+                    style = int(e.get("s", 0))
+                    edge = borders[formats[style]] if style < len(formats) and formats[style] < len(borders) else (None,) * 4
+                    value = _value(e, strings)
+                    if row >= first_row and (value is not None or any(edge)):
+                        yield s.get("name"), k, row, col, value, *edge
 
 
-def read(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """Cells of all workbooks under path (any file system Spark reads); sheet: only that sheet. Damaged files raise."""
+def _batches(doc: str, data: bytes, sheets: set[str] | None = None, first_row: int = 1, last_row: int | None = None) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    try:
+        for c in cells(data, sheets, first_row, last_row):
+            rows.append((doc, *c, None))
+            if len(rows) >= ROWS:
+                yield _batch(rows)
+                rows = []
+    except Exception as broken:  # whatever a damaged file makes the parsers raise
+        rows.append((doc, *[None] * 9, f"{type(broken).__name__}: {broken}"))
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
+
+
+def parse(files: DataFrame, sheet: str | None = None) -> DataFrame:
+    """Cells of workbooks given as (doc string, content binary); a null content is a damaged file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in SCHEMA.split(", ")]
-        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 5]
         for b in batches:
             for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = [(doc, *c) for c in cells(data) if sheet is None or c[0] == sheet]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                yield from _batches(doc, data or b"", None if sheet is None else {sheet})
+
+    return files.select("doc", "content").mapInArrow(run, SCHEMA)
 
+
+def read(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """Cells of all workbooks under path (any file system Spark reads); sheet: only that sheet."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    return parse(files.withColumnRenamed("path", "doc"), sheet)
+
+
+# --- writing a workbook ------------------------------------------------------------------------------------------------
+
+
+def letters(col: int) -> str:
+    out = ""
+    while col:
+        col, r = divmod(col - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def _legal(text: str) -> str:
+    return re.sub("[^\\t\\n\\r\\x20-\\uD7FF\\uE000-\\uFFFD\\U00010000-\\U0010FFFF]", "�", text)
+
+
+def workbook(sheets: list[tuple[str, list[tuple[int, int, str]]]]) -> bytes:
+    """A workbook of text cells: [(sheet name, [(row, col, value)])], rows and columns from 1; the same cells give the same bytes."""
+    kinds = f"{_PACKAGE.replace('/2006', '')}/2006/content-types"
+    part = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    numbers = range(1, len(sheets) + 1)
+    files = {
+        "[Content_Types].xml": f'<Types xmlns="{kinds}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+        f'<Override PartName="/xl/workbook.xml" ContentType="{part}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{part}.worksheet+xml"/>' for k in numbers) + "</Types>",
+        "_rels/.rels": f'<Relationships xmlns="{_NS["r"]}"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets>'
+        + "".join(f'<sheet name="{escape(_legal(n), {chr(34): "&quot;"})}" sheetId="{k}" r:id="rId{k}"/>' for k, (n, _) in zip(numbers, sheets)) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_NS["r"]}">' + "".join(f'<Relationship Id="rId{k}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in numbers) + "</Relationships>",
+    }
+    for k, (_, cells) in zip(numbers, sheets):
+        rows = "".join(
+            f'<row r="{r}">' + "".join(f'<c r="{letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(_legal(v))}</t></is></c>' for _, c, v in line) + "</row>"
+            for r, line in groupby(sorted(cells), lambda x: x[0])
+        )
+        files[f"xl/worksheets/sheet{k}.xml"] = f'<worksheet xmlns="{_MAIN}"><sheetData>{rows}</sheetData></worksheet>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in files.items():
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), '<?xml version="1.0" encoding="UTF-8"?>' + text, zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+def workbooks(rows: DataFrame) -> DataFrame:
+    """(doc, content): a workbook of each doc's cells (doc, sheet_idx, sheet, row, col, value); null values are no cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, data in _each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([doc], pa.string()), pa.array([data], pa.binary())], ["doc", "content"])
+
+    return _ordered(rows).mapInArrow(run, "doc string, content binary")
+
+
+_CELLS = ["doc", "sheet_idx", "sheet", "row", "col", "value"]
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    r = rows.selectExpr("cast(doc as string) doc", "cast(sheet_idx as int) sheet_idx", "cast(sheet as string) sheet", "cast(row as int) row", "cast(col as int) col", "cast(value as string) value")
+    return r.where("doc is not null").repartition("doc").sortWithinPartitions("doc", "sheet_idx", "sheet", "row", "col", "value")
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """(doc, workbook) of rows in _ordered()'s order, one workbook held at a time; of cells of one place the first stays."""
+    flat = (r for b in batches for r in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in _CELLS)))
+    for doc, rows in groupby(flat, lambda r: r[0]):
+        sheets = []
+        for (_, name), part in groupby(rows, lambda r: r[1:3]):
+            held: dict[tuple[int, int], str] = {}
+            for _, _, _, r, c, v in part:
+                if v is not None:
+                    held.setdefault((r, c), v)
+            sheets.append((name or f"Sheet{len(sheets) + 1}", [(r, c, v) for (r, c), v in held.items()]))
+        yield doc, workbook(sheets)
+
+
+# --- the data source -----------------------------------------------------------------------------------------------------
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path; Spark's names of S3 are those of Arrow."""
+    if "://" not in path and not path.startswith("file:"):
+        path = os.path.abspath(path)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", re.sub("^file:/(?=[^/])", "file:///", path)))
+
+
+class Part(InputPartition):
+    def __init__(self, files: list[str]):
+        self.files = files
+
+
+class Reader(DataSourceReader):
+    """A partition for some workbooks of about PART bytes together; filters on sheet and row decide what is unpacked."""
+
+    PART = 32 << 20
+
+    def __init__(self, path: str):
+        self.path, self.sheets, self.first, self.last = path, None, 1, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name, v = ".".join(getattr(f, "attribute", ())), getattr(f, "value", None)
+            if isinstance(f, (EqualTo, In)) and name == "sheet":
+                asked = set(v) if isinstance(f, In) else {v}
+                self.sheets = asked if self.sheets is None else self.sheets & asked
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and name == "row":
+                self.first = max(self.first, v + isinstance(f, GreaterThan))
+            elif isinstance(f, (LessThan, LessThanOrEqual)) and name == "row":
+                v -= isinstance(f, LessThan)
+                self.last = v if self.last is None else min(self.last, v)
+            elif isinstance(f, EqualTo) and name == "row":
+                self.first, self.last = max(self.first, v), v if self.last is None else min(self.last, v)
+            yield f  # rows of damaged files are no cells, so Spark looks at every row again
+
+    def partitions(self) -> list[Part]:
+        store, root = file_system(self.path)
+        info = store.get_file_info(root)
+        found = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
+        files = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".xlsx") and "/_staging-" not in f.path)
+        out, size = [], self.PART
+        for p, n in files:
+            if size + n > self.PART:
+                out.append(Part([]))
+                size = 0
+            out[-1].files.append(p)
+            size += n
+        return out
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        store, _ = file_system(self.path)
+        for p in part.files if part else ():
+            with store.open_input_file(p) as f:
+                yield from _batches(unquote(os.path.basename(p).removesuffix(".xlsx")), f.read(), self.sheets, self.first, self.last)
+
+
+class Staged(WriterCommitMessage):
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
+
+
+class Writer(DataSourceArrowWriter):
+    """Files go to a staging folder and move to their names when all tasks are through, so a retried or failed job leaves no half file."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path, overwrite, f"_staging-{uuid.uuid4().hex}"
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
+        store, root = file_system(self.path)
+        folder, done = f"{root}/{self.job}/{uuid.uuid4().hex}", []
+        store.create_dir(folder, recursive=True)
+        for doc, data in _each(batches):
+            name = quote(doc, safe="") + ".xlsx"
+            with store.open_output_stream(f"{folder}/{name}") as f:
+                f.write(data)
+            done.append((f"{folder}/{name}", f"{root}/{name}"))
+        return Staged(done)
+
+    def commit(self, messages: list[Staged | None]) -> None:
+        store, root = file_system(self.path)
+        moves = [x for m in messages if m for x in m.files]
+        try:
+            if len({to for _, to in moves}) < len(moves):
+                raise ValueError("cells of one workbook came from several tasks; write what write() prepares")
+            if self.overwrite:
+                for f in store.get_file_info(fs.FileSelector(root)):
+                    if f.is_file and f.path.endswith(".xlsx"):
+                        store.delete_file(f.path)
+            for a, b in moves:
+                store.move(a, b)
+        finally:
+            self._clear(store, root)
+
+    def abort(self, messages: list[Staged | None]) -> None:
+        self._clear(*file_system(self.path))
+
+    def _clear(self, store: fs.FileSystem, root: str) -> None:
+        if store.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/{self.job}")
+
+
+class Workbooks(DataSource):
+    """spark.read.format("workbooks").load(path), df.write.format("workbooks").save(path); doc is a file's name."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbooks"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> Reader:
+        return Reader(self.options["path"])
+
+    def writer(self, schema, overwrite: bool) -> Writer:
+        return Writer(self.options["path"], overwrite)
+
+
+def register(spark: SparkSession) -> None:
+    """The source of workbooks, with its filters pushed down."""
+    spark.dataSource.register(Workbooks)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def write(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """A workbook a doc under path: rows (doc, sheet_idx, sheet, row, col, value). append: files of other docs stay, those of the same are replaced."""
+    register(rows.sparkSession)
+    _ordered(rows).write.format("workbooks").mode(mode).save(path)

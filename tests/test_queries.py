@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from gridrecon.plans import catalogue, drawn, extraction, running, sheets  # noqa: F401
+from gridrecon.plans import catalogue, drawn, extraction, files, running, sheets  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
