@@ -24,11 +24,15 @@ def any_token(tokens: Column, name: Column) -> Column:
     return F.exists(tokens, lambda t: F.contains(name, t))
 
 
+def named(items: DataFrame) -> DataFrame:
+    """items with name, plain (the name from which tokens are made) and unit_norm, made once a row, before any join."""
+    items = items.withColumn("plain", text.name(F.col("item_key")))  # used twice, so Catalyst leaves it a column of its own
+    return items.withColumns({"name": text.item_name(F.col("item_key"), F.col("plain")), "unit_norm": text.unit(F.col("unit"))})
+
+
 def prepared(items: DataFrame) -> DataFrame:
-    """items with name, tokens and unit_norm, made once a row, before any join."""
-    key, plain = F.col("item_key"), F.col("_plain")
-    items = items.withColumn("_plain", text.name(key))  # used twice, so Catalyst leaves it a column of its own
-    return items.withColumns({"name": text.item_name(key, plain), "tokens": text.tokens_of(plain), "unit_norm": text.unit(F.col("unit"))}).drop("_plain")
+    """named() with tokens."""
+    return named(items).withColumn("tokens", text.tokens_of(F.col("plain"))).drop("plain")
 
 
 def pair_status(req_quantity: Column, est_quantity: Column, req_unit: Column, est_unit: Column) -> Column:
@@ -39,11 +43,11 @@ def pair_status(req_quantity: Column, est_quantity: Column, req_unit: Column, es
 def compare(r: str = "r", e: str = "e") -> dict[str, Column]:
     """status, match_confidence, quantity_difference and unit_mismatch of rows r and e (either may be absent: ord null).
 
-    Each side comes from prepared() and brings ord, quantity, name, tokens and unit_norm. Priority: no common token,
-    quantity, unit, name.
+    Each side comes from named() and brings ord, quantity, name, plain and unit_norm. Priority: no common token,
+    quantity, unit, name. Tokens are made only where the names differ.
     """
     exact = F.col(f"{r}.name") == F.col(f"{e}.name")
-    overlap = any_token(F.col(f"{r}.tokens"), F.col(f"{e}.name"))
+    overlap = any_token(text.tokens_of(F.col(f"{r}.plain")), F.col(f"{e}.name"))
     qty = quantity_differs(F.col(f"{r}.quantity"), F.col(f"{e}.quantity"))
     unit = F.col(f"{r}.unit_norm") != F.col(f"{e}.unit_norm")
     status = (

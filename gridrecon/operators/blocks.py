@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridrecon.functions import text
 from gridrecon.operators import jumps
 from gridrecon.operators.grid import over, segment, segment_after
+from gridrecon.operators.stored import has_group_over
 
 
 def _yes(c: Column) -> Column:
@@ -54,8 +55,7 @@ def spaced(marks: DataFrame, by: list, at: str, gap: int, largest: int = LARGEST
             yield b.filter(pa.array(taken, pa.bool_()))
 
     marks = marks.select(*by, at)
-    most = marks.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if most > largest:
+    if has_group_over(marks, by, largest):
         return jumps.spaced(marks, by, at, gap, parts=parts)
     return marks.repartition(*by).sortWithinPartitions(*by, at).mapInArrow(run, marks.schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -20,16 +21,17 @@ GREEDY = "doc long, key string, req_ord long, est_ord long, how string, req_quan
 def positional(req: DataFrame, est: DataFrame) -> DataFrame:
     """Full outer join on the position within a document (unique on each side), with the status of each pair.
 
-    Both sides go into one grouping, so they are shuffled once together.
+    Both sides go into one order, in which a requested row stands before the estimated one of its place, so they are shuffled and sorted once.
     """
-    cols = ["ord", "item_key", "quantity", "unit", "name", "tokens", "unit_norm"]
+    cols = ["ord", "item_key", "quantity", "unit", "name", "plain", "unit_norm"]
 
     def tagged(df, side):
-        return rules.prepared(df).select("doc", F.col("ord").alias("at"), F.lit(side).alias("side"), F.struct(*cols).alias("x"))
+        return rules.named(df).select("doc", F.col("ord").alias("at"), F.lit(side).alias("side"), F.struct(*cols).alias("x"))
 
-    both = tagged(req, 0).unionByName(tagged(est, 1)).groupBy("doc", "at").agg(
-        *(F.first(F.when(F.col("side") == k, F.col("x")), ignorenulls=True).alias(n) for k, n in enumerate("re"))
-    )
+    both, here = tagged(req, 0).unionByName(tagged(est, 1)), W.partitionBy("doc", "at").orderBy("side")
+    none = F.lit(None).cast(both.schema["x"].dataType)
+    both = both.withColumn("after", F.lead("x").over(here)).withColumn("second", F.row_number().over(here) > 1).where("not second")
+    both = both.select("doc", "at", F.when(F.col("side") == 0, F.col("x")).otherwise(none).alias("r"), F.when(F.col("side") == 0, F.col("after")).otherwise(F.col("x")).alias("e"))
     return both.select(
         "doc", F.col("at").alias("ord"), *(F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in (("r", "req"), ("e", "est")) for c in SIDES),
         *(c.alias(k) for k, c in rules.compare().items()),
@@ -40,12 +42,13 @@ def greedy(req: DataFrame, est: DataFrame) -> DataFrame:
     """One-to-one matching within (doc, ref key), in row order: first free exact name, else all tokens, else any token.
 
     doc, key, req_ord, est_ord, how (exact, all, any, missing, extra), and quantity and unit of both rows. A missing row carries
-    the free row it might have been, at its own place or else the first, which stays free. Names and tokens are made before
-    the groups meet, so a group (one subtable) holds only what the order of matching needs.
+    the free row it might have been, at its own place or else the first, which stays free. Names are made before the groups meet,
+    tokens only for rows without an exact partner, so a group (one subtable) holds only what the order of matching needs.
     """
 
     def prepared(df, side):
-        return rules.prepared(df).select("doc", text.ref_key(F.col("ref")).alias("key"), F.lit(side).alias("side"), F.col("ord").cast("long").alias("ord"), "name", "tokens", F.col("quantity").cast("double").alias("quantity"), "unit")
+        plain = F.when(F.col("plain") != F.col("name"), F.col("plain")).alias("plain")  # names with pipes only
+        return rules.named(df).select("doc", text.ref_key(F.col("ref")).alias("key"), F.lit(side).alias("side"), F.col("ord").cast("long").alias("ord"), "name", plain, F.col("quantity").cast("double").alias("quantity"), "unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by group, requested before estimated, each in order."""
@@ -53,8 +56,8 @@ def greedy(req: DataFrame, est: DataFrame) -> DataFrame:
         out: list[tuple] = []
         for (doc, key), group in groupby(rows, lambda r: r[:2]):
             req, est = {}, {}
-            for _, _, side, o, n, tokens, quantity, unit in group:
-                (est if side else req)[o] = (n, tokens, quantity, unit)
+            for _, _, side, o, n, plain, quantity, unit in group:
+                (est if side else req)[o] = (n, n if plain is None else plain, quantity, unit)
             for r, e, how in _pair_up([(o, x[0], x[1]) for o, x in req.items()], [(o, x[0]) for o, x in est.items()]):
                 out.append((doc, key, r, e, how, *req.get(r, (None,) * 4)[2:], *est.get(e, (None,) * 4)[2:]))
             if len(out) >= 10_000:
@@ -72,20 +75,29 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in GREEDY.split(", ")])
 
 
+_RUNS = re.compile(r"\d{2,}|\D{2,}")
+
+
+def _tokens(n: str) -> list[str]:
+    """text.tokens_of() of one name."""
+    return sorted({n[i : i + 2] for i in range(len(n) - 1)} | set(_RUNS.findall(n)))
+
+
 def _pair_up(req: list[tuple], est: list[tuple]) -> list[tuple]:
-    """(req ord, est ord, how) of one subtable. Exact partners are found by name; only rows without one walk the free rows."""
+    """(req ord, est ord, how) of one subtable: rows (ord, name, plain name), (ord, name). Only rows without an exact partner walk the free rows."""
     free: dict[int, str] = dict(est)
     named: dict[str, list[int]] = {}
     for o, n in reversed(est):
         named.setdefault(n, []).append(o)
     out = []
-    for at, (o, n, tokens) in enumerate(req):
+    for at, (o, n, plain) in enumerate(req):
         same = named.get(n, [])
         while same and same[-1] not in free:
             same.pop()
         if same:
             hit, how = same.pop(), "exact"
         else:
+            tokens = _tokens(plain)
             hit, how = next((e for e, x in free.items() if all(t in x for t in tokens)), None), "all"
             if hit is None:
                 hit, how = next((e for e, x in free.items() if any(t in x for t in tokens)), None), "any"

@@ -36,6 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def has_group_over(df: DataFrame, by: list[str], limit: int) -> bool:
+    """Whether a group has more than limit rows; a table that is no larger than that is not grouped to find out."""
+    if df.count() <= limit:
+        return False
+    return bool(df.groupBy(*by).count().where(f"count > {limit}").head(1))
+
+
 def purge(spark: SparkSession) -> int:
     """Delete all folders that operators of this process wrote; to be called once their results are stored. Returns how many."""
     jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0

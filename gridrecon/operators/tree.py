@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from gridrecon.functions import text
 from gridrecon.operators import scan
-from gridrecon.operators.stored import written
+from gridrecon.operators.stored import has_group_over, written
 
 # Names of the totals of an estimate.
 DIRECT, NET, COST, PRICE, TOTAL = "直接工事費", "純工事費", "工事原価", "工事価格", "工事費計"
@@ -31,8 +31,7 @@ def with_parent(rows: DataFrame, level: Column | None = None, largest: int = LAR
     (parts of them) that hand their open rows on. The result is a table in the shared folder, as several steps read it.
     """
     df = rows.withColumn("level", (level if level is not None else text.level(F.col("item_name"))).cast("int")).drop("parent_seq", "ancestors")
-    big = df.groupBy("doc").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    out = scan.ancestors(df, parts) if big > largest else _by_document(df)
+    out = scan.ancestors(df, parts) if has_group_over(df, ["doc"], largest) else _by_document(df)
     return written(out.withColumn("parent_seq", F.try_element_at("ancestors", F.lit(-1))).select(*df.columns, "parent_seq", "ancestors"), "parents")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridrecon.operators import jumps, scan
+from gridrecon.operators.stored import has_group_over
 
 LIMIT, WINDOW = 5, 60.0
 #: Hits of a key that one task may walk through; a larger key goes by pointers.
@@ -32,8 +33,7 @@ def limit_batch(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW, lar
     out; of equal hits the first ones are allowed.
     """
     rows = hits.select("key", F.col("ts").cast("double").alias("ts")).where("key is not null and ts is not null")
-    most = rows.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return _by_pointers(rows, limit, window, parts) if most > largest else _by_key(rows, limit, window)
+    return _by_pointers(rows, limit, window, parts) if has_group_over(rows, ["key"], largest) else _by_key(rows, limit, window)
 
 
 def _by_pointers(rows: DataFrame, limit: int, window: float, parts: int | None) -> DataFrame:
