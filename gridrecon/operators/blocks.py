@@ -66,19 +66,28 @@ def sheet_blocks(rows: DataFrame, by: list, order: list, reference: Column, stop
     A subtable's data begin skip rows below its reference (null: the row has none) and end before a stop row or another
     reference; references in the rows between open nothing. by: columns without nulls.
     """
-    w = over(by, order)
-    df = rows.withColumn("_n", F.row_number().over(w).cast("long")).withColumn("_ref", reference)
-    df = df.withColumn("_stop", _yes(stop) | F.col("_ref").isNotNull()).withColumn("_keep", _yes(keep))
+    df = opened(rows, by, order, reference, stop, skip).withColumn("_keep", _yes(keep))
+    df = df.withColumn("_cut", segment(F.col("_stop"), [*by, "_start"], ["_n"])).where("_cut = 0 and _keep")
+    return df.withColumn("ref", numbered(by)).drop("_n", "_stop", "_keep", "_start", "_label", "_cut")
+
+
+def opened(rows: DataFrame, by: list, order: list, reference: Column, stop: Column, skip: int) -> DataFrame:
+    """The rows from skip rows below a sheet's open references on, with _n (place in the sheet), _stop (stop row or reference), and
+    _start and _label (place and text) of the open reference above. References fewer than skip rows below an open one open nothing."""
+    df = rows.withColumn("_n", F.row_number().over(over(by, order)).cast("long")).withColumn("_ref", reference)
+    df = df.withColumn("_stop", _yes(stop) | F.col("_ref").isNotNull())
     opens = spaced(df.where("_ref is not null"), by, "_n", skip).withColumn("_opens", F.lit(True))
     df = df.join(opens, [*by, "_n"], "left")
     up = over(by, ["_n"]).rowsBetween(W.unboundedPreceding, W.currentRow)
     open_row = F.when(F.col("_opens"), F.struct("_n", "_ref"))
     df = df.withColumn("_block", F.last(open_row, ignorenulls=True).over(up)).where("_block is not null and _n >= _block._n + %d" % skip)
-    df = df.withColumn("_start", F.col("_block._n")).withColumn("_label", F.col("_block._ref"))
-    df = df.withColumn("_cut", segment(F.col("_stop"), [*by, "_start"], ["_n"])).where("_cut = 0 and _keep")
+    return df.withColumn("_start", F.col("_block._n")).withColumn("_label", F.col("_block._ref")).drop("_ref", "_opens", "_block")
+
+
+def numbered(by: list) -> Column:
+    """_label of opened(), from its second subtable with rows on with its number: ref-2, ref-3."""
     k = F.dense_rank().over(over([*by, "_label"], ["_start"]))
-    ref = F.when(k == 1, F.col("_label")).otherwise(F.concat("_label", F.lit("-"), k.cast("string")))
-    return df.withColumn("ref", ref).drop("_n", "_ref", "_stop", "_keep", "_opens", "_block", "_start", "_label", "_cut")
+    return F.when(k == 1, F.col("_label")).otherwise(F.concat("_label", F.lit("-"), k.cast("string")))
 
 
 def table_titles(rows: DataFrame, by: list, order: list, reference: Column, number: Column, sentence: Column, ahead: int = 9) -> DataFrame:
