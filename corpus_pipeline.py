@@ -16,6 +16,16 @@ from gridrecon.llm.queries import EPOCHS, PII_KEY, RANKS, SEED, WEIGHTS, domain
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Share of the tokens at hand that the mix asks for.
 FRACTION = 0.8
+#: Most bytes of a batch that Spark hands to a Python worker (one row at least): long texts fill batches by bytes, not by their number.
+BATCH = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches to Python workers of at most BATCH bytes in this session, unless it asks for smaller ones; rows and results stay the same."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH:
+        spark.conf.set(name, f"{BATCH}b")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Ties between languages go to the first by name; where no row has a language nothing is learned and all go.
     """
+    bounded(spark)
     learned = langid.sample(docs, F.lit(True))
     out = langid.identify(docs.select(*COLUMNS), learned).where("lang_pred <> 'und'")
     return out.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -33,11 +44,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Wordless texts are copies of each other. Rows that repeat the smallest id all stay; rows with a null id take no part and stay.
     """
+    bounded(spark)
     return copies.one_of_each(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become surrogates; n_chars follows the new text (null for a null one)."""
+    bounded(spark)
     return pii.replace(docs.select(*COLUMNS), PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -46,6 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id (or have none) are each taken as often as the most often taken of them.
     """
+    bounded(spark)
     docs = docs.select(*COLUMNS)
     taken = mixing.select(docs, domain(), FRACTION, EPOCHS, SEED, WEIGHTS)
     taken = taken.groupBy("doc_id").agg(F.max("copies").alias("copies"))
@@ -55,6 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix; a null text has none."""
+    bounded(spark)
     out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.read_ranks(spark, RANKS))
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
