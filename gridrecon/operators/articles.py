@@ -68,7 +68,7 @@ def _line(c: Column, by: str = "") -> Column:
 
 
 def _words(cells: Column) -> Column:
-    return F.regexp_replace(F.array_join(F.transform(cells, _line), ""), " ", "")
+    return F.regexp_replace(F.array_join(F.transform(cells, lambda c: _line(c)), ""), " ", "")
 
 
 def _of_table(c: Column) -> Column:
@@ -185,7 +185,7 @@ def guards(rows: DataFrame) -> DataFrame:
 
 def temporary_works(rows: DataFrame) -> DataFrame:
     """doc, section (任意仮設 of the first, 指定仮設 of the second table with the six headings), row_idx and the six columns of article 10."""
-    head = rows.where("row_idx = 0").withColumn("h", F.array_join(F.transform("cells", _line), ""))
+    head = rows.where("row_idx = 0").withColumn("h", F.array_join(F.transform("cells", lambda c: _line(c)), ""))
     for k in TEMPORARY:
         head = head.where(F.contains("h", F.lit(k)))
     n = F.row_number().over(W.partitionBy("doc").orderBy("table_idx"))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from gridrecon.plans import catalogue, drawn, extraction, files, running, sheets, streams, subtables  # noqa: F401
+from gridrecon.plans import catalogue, clauses, drawn, extraction, files, running, sheets, streams, subtables  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
