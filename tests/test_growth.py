@@ -1,12 +1,17 @@
 """What grows with the input: plans that shuffle once what they read, and results at the edges of the faster forms."""
 
+import io
 import re
+import zipfile
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from gridrecon.functions import text
 from gridrecon.operators import tree, workbook
 from gridrecon.plans import catalogue, drawn, files, running, sheets  # noqa: F401
+from gridrecon.sources import xlsx
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +42,36 @@ def test_clean_cell_of_all_blanks(spark):
     want = [" ".join(re.sub("[​-‍﻿]", "", v).replace("\x1c", "\0").split()).replace("\0", "\x1c") for v in values]
     got = spark.createDataFrame(list(enumerate(values)), "i int, x string").orderBy("i").select(text.clean_cell(F.col("x"))).collect()
     assert [r[0] for r in got] == want
+
+
+def test_small_workbooks_are_batched_and_read_as_zipfile_does(spark, tmp_path):
+    sheets = [("表紙 & <\">", [(1, 1, "5-LOW"), (3, 28, "")]), ("内訳", [(r, c, f"{r}工\n") for r in range(1, 9) for c in (2, 5)])]
+    data = xlsx.workbook(sheets)
+    want = [(n, k, r, c, v, *[None] * 4) for k, (n, cells) in enumerate(sheets) for r, c, v in cells]
+    assert list(xlsx.cells(data)) == want
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        assert z.testzip() is None and len(z.namelist()) == 6
+
+    class Slow(xlsx._Parts):
+        _plain_directory = staticmethod(lambda data: None)
+
+    def read(parts, data):
+        out = []
+        try:
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(xlsx, "_Parts", parts)
+                out.extend(xlsx.cells(data))
+        except Exception as broken:
+            out.append((type(broken).__name__, str(broken)))
+        return out
+
+    plain = xlsx._Parts
+    for i in range(0, len(data), 7):  # damage gives the same rows and the same error
+        for bad in (data[:i], data[:i] + bytes([data[i] ^ 0x55]) + data[i + 1 :]):
+            assert read(plain, bad) == read(Slow, bad)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(xlsx, "SMALL", 10)  # parts are unpacked and parsed as streams
+        assert list(xlsx.cells(data)) == want
+    books = [pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array([data, None, data], pa.binary())], ["doc", "content"])]
+    got = list(xlsx._batches(r for b in books for d, x in zip(*(c.to_pylist() for c in b.columns)) for r in xlsx._rows(d, x or b"")))
+    assert len(got) == 1 and got[0].num_rows == 2 * len(want) + 1 and got[0].column("error").null_count == 2 * len(want)
