@@ -31,22 +31,22 @@ def half_width(x: Column) -> Column:
 def full_kana(x: Column) -> Column:
     """Half-width kana as full-width; a voice mark joins the kana before it."""
     plain = x
-    for mark in "ﾞﾟ":
-        for k in _KANA:
-            if len(joined := unicodedata.normalize("NFKC", k + mark)) == 1:
-                x = F.replace(x, F.lit(k + mark), F.lit(joined))
+    joined = [(k + mark, j) for mark in "ﾞﾟ" for k in _KANA if len(j := unicodedata.normalize("NFKC", k + mark)) == 1]
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in joined))  # one literal, not a call each in every plan
+    x = F.aggregate(pairs, x, lambda t, p: F.replace(t, p["a"], p["b"]))
     x = F.translate(x, _KANA, "".join(unicodedata.normalize("NFKC", k)[0] if k not in "ﾞﾟ" else "゛゜"["ﾞﾟ".index(k)] for k in _KANA))
     return F.when(plain.rlike("[\uFF61-\uFF9F]"), x).otherwise(plain)  # most names hold none
 
 
 def name(x: Column) -> Column:
     """Comparison form of a name. Drops . - / : and brackets, so 1.5 and 15 become equal; null is empty."""
-    x = F.lower(half_width(full_kana(F.coalesce(x, F.lit("")))))
+    plain = F.coalesce(x, F.lit(""))
+    x = F.lower(half_width(full_kana(plain)))
     x = F.regexp_replace(F.regexp_replace(x, "(?U)\\s*\\+\\s*", ""), _SPACE, "")
     x = F.regexp_replace(x, _KEEP, "")
     for noise in ("(?U)^第\\d+号", "当り$", "当たり$"):
         x = F.regexp_replace(x, noise, "")
-    return x
+    return F.when(plain.rlike("^[A-Za-z0-9_ ]*\\z"), F.replace(F.lower(plain), F.lit(" "), F.lit(""))).otherwise(x)  # names without any sign to fold or drop
 
 
 def item_name(x: Column, plain: Column | None = None) -> Column:

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from heapq import nsmallest
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
 from gridrecon.functions import rules, text
-from gridrecon.operators.stored import written
+from gridrecon.operators.stored import has_group_over, written
 
 SIDES = ("item_key", "quantity", "unit")
 GREEDY = "doc long, key string, req_ord long, est_ord long, how string, req_quantity double, req_unit string, est_quantity double, est_unit string"
@@ -152,18 +155,67 @@ def extra_simplified(req: DataFrame, est: DataFrame) -> DataFrame:
     return e.join(r, on, "left_anti").select(*est.columns)
 
 
-def token_overlap(req: DataFrame, est: DataFrame) -> DataFrame:
-    """(doc, req_ord, est_ord, shared): pairs of a document whose names share a character pair, by an equi-join on it."""
-    pair = F.explode(F.filter(text.tokens(F.col("item_key")), lambda t: F.length(t) == 2))
-    r = req.select("doc", F.col("ord").alias("req_ord"), pair.alias("pair"))
-    e = est.select("doc", F.col("ord").alias("est_ord"), pair.alias("pair"))
-    return r.join(e, ["doc", "pair"]).groupBy("doc", "req_ord", "est_ord").agg(F.count("*").alias("shared"))
+#: Rows of a document that one task may pair up in memory; larger documents go by joins.
+LARGEST = 100_000
 
 
-def best_candidate(req: DataFrame, est: DataFrame, k: int = 1) -> DataFrame:
+def token_overlap(req: DataFrame, est: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(doc, req_ord, est_ord, shared): pairs of a document whose names share a character pair.
+
+    Names are shuffled, not their pairs: a task holds a document's index of character pairs. Where a document has more than largest rows,
+    all go by an equi-join on the pair.
+    """
+    return _overlaps(req, est, None, largest)
+
+
+def best_candidate(req: DataFrame, est: DataFrame, k: int = 1, largest: int = LARGEST) -> DataFrame:
     """The k estimated items that share most pairs with each requested one; ties go to the earlier."""
+    return _overlaps(req, est, k, largest)
+
+
+def _overlaps(req: DataFrame, est: DataFrame, k: int | None, largest: int) -> DataFrame:
+    names = lambda df, side: df.select("doc", F.lit(side).alias("side"), F.col("ord").alias("ord"), text.name(F.col("item_key")).alias("name"))
+    both = written(names(est, 0).unionByName(names(req, 1)), "names")  # read to find large documents and to pair
+    kind = both.schema["ord"].dataType
+    doc, ord_ = both.schema["doc"].dataType.simpleString(), kind.simpleString()
+    if not has_group_over(both, ["doc"], largest):
+        types = [pa_type(both.schema["doc"].dataType), pa_type(kind), pa_type(kind), pa.int64(), pa.int32()][: 5 if k else 4]
+        columns = ["doc", "req_ord", "est_ord", "shared", "rank"][: len(types)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come by document, estimated before requested."""
+            out: list[tuple] = []
+            at, index = None, {}
+            for b in batches:
+                for d, side, o, n in zip(*(c.to_pylist() for c in b.columns)):
+                    if d != at:
+                        at, index = d, {}
+                    pairs = {n[i : i + 2] for i in range(len(n) - 1)}
+                    if not side:
+                        for p in pairs:
+                            index.setdefault(p, []).append(o)
+                        continue
+                    found = Counter(chain.from_iterable(index[p] for p in pairs if p in index))
+                    if k is None:
+                        out += [(d, o, e, c) for e, c in found.items()]
+                    else:
+                        out += [(d, o, e, c, i) for i, (e, c) in enumerate(nsmallest(k, found.items(), lambda x: (-x[1], x[0])), 1)]
+                    while len(out) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[:10_000]), types)], columns)
+                        del out[:10_000]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], columns)
+
+        schema = f"doc {doc}, req_ord {ord_}, est_ord {ord_}, shared long" + ", rank int" * bool(k)
+        return both.where("doc is not null").repartition("doc").sortWithinPartitions("doc", "side").mapInArrow(run, schema)
+    pair = F.explode(_duos(text.tokens_of(F.col("name")))).alias("pair")
+    r = both.where("side = 1").select("doc", F.col("ord").alias("req_ord"), pair)
+    e = both.where("side = 0").select("doc", F.col("ord").alias("est_ord"), pair)
+    out = r.join(e, ["doc", "pair"]).groupBy("doc", "req_ord", "est_ord").agg(F.count("*").alias("shared"))
+    if k is None:
+        return out
     w = W.partitionBy("doc", "req_ord").orderBy(F.col("shared").desc(), "est_ord")
-    return token_overlap(req, est).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _prefixes(names: DataFrame, alphabet: DataFrame, least: float) -> DataFrame:
