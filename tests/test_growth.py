@@ -1,6 +1,7 @@
 """What grows with the input: plans that shuffle once what they read, and results at the edges of the faster forms."""
 
 import io
+import random
 import re
 import zipfile
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridrecon.functions import text
-from gridrecon.operators import tree, workbook
+from gridrecon.operators import match, tree, workbook
 from gridrecon.plans import catalogue, drawn, files, running, sheets  # noqa: F401
 from gridrecon.sources import xlsx
 
@@ -75,3 +76,28 @@ def test_small_workbooks_are_batched_and_read_as_zipfile_does(spark, tmp_path):
     books = [pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array([data, None, data], pa.binary())], ["doc", "content"])]
     got = list(xlsx._batches(r for b in books for d, x in zip(*(c.to_pylist() for c in b.columns)) for r in xlsx._rows(d, x or b"")))
     assert len(got) == 1 and got[0].num_rows == 2 * len(want) + 1 and got[0].column("error").null_count == 2 * len(want)
+
+
+def test_overlap_shuffles_names_not_pairs(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcｶﾞ工　.") for _ in range(rng.randrange(9)))
+    rows = [[(d, i, word(), 1.0, "m") for d in (1, 2, None) for i in range(40)] + [(side, 1, "abc", 1.0, "m")] for side in (7, 8)]
+    req, est = (spark.createDataFrame(r, "doc long, ord int, item_key string, quantity double, unit string") for r in rows)
+    for k in (None, 1, 3):
+        find = (lambda n: match.token_overlap(req, est, n)) if k is None else (lambda n: match.best_candidate(req, est, k, n))
+        a, b = find(10**6), find(5)
+        assert a.dtypes == b.dtypes and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() > 40
+        assert shuffles(a) <= 2
+
+
+def test_overlap_queries_join_nothing(spark):
+    for name in ("token_overlap_join", "best_candidate_topk"):
+        assert "Join" not in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_without_signs(spark):
+    odd = ["", " A_b 9 ", "a\n", "a b\n", "Ab\u00a0c", "当り", "1.5", "第3号 x", "ﾊﾞｽ A", "ガﾟ", "ﾞ", None]
+    full = text.name(F.concat(F.coalesce("x", F.lit("")), F.lit("/")))  # a sign to be dropped, so the whole way is taken
+    got = spark.createDataFrame([(x,) for x in odd], "x string").select(text.name(F.col("x")), full).collect()
+    assert [r[0] for r in got] == ["", "a_b9", "a", "ab", "abc", "", "15", "x", "バスa", "ガ゜", "゛", ""]
+    assert [a for (a, _), x in zip(got, odd) if x != "当り"] == [b for (_, b), x in zip(got, odd) if x != "当り"]
