@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridrecon.functions import text
-from gridrecon.operators import match, tree, workbook
+from gridrecon.operators import match, tables, tree, workbook
 from gridrecon.plans import catalogue, drawn, files, running, sheets  # noqa: F401
 from gridrecon.sources import xlsx
 
@@ -101,3 +101,17 @@ def test_names_without_signs(spark):
     got = spark.createDataFrame([(x,) for x in odd], "x string").select(text.name(F.col("x")), full).collect()
     assert [r[0] for r in got] == ["", "a_b9", "a", "ab", "abc", "", "15", "x", "バスa", "ガ゜", "゛", ""]
     assert [a for (a, _), x in zip(got, odd) if x != "当り"] == [b for (_, b), x in zip(got, odd) if x != "当り"]
+
+
+def test_pages_shuffle_once(spark):
+    assert shuffles(tables.rows_of(sheets._grids(spark, SF))) <= 3  # lines by order, and at the most by part and back
+
+
+def test_rows_with_gaps_and_spaced_headers(spark):
+    grid = [[None, "表", "x"], ["工 種 ・ 種 目", "単　位", "数 ・量"], ["・a", "m", "2"]]
+    cells = [(1, p, 0, i, j, c) for p in (0, 1) for i, r in enumerate(grid) for j, c in enumerate(r)] + [(1, 1, 0, 3, 2, "z"), (1, None, 0, 0, 0, "y")]
+    df = spark.createDataFrame(cells, "doc long, page int, table_idx int, row_idx int, col_idx int, text string")
+    rows = tables.rows_of(tables.pages_between(df))
+    assert {r.row_idx: r.cells for r in rows.collect()} == dict(enumerate(grid)) | {3: [None, None, "z"]}  # pages count from 1
+    h = tables.headers(rows, tables.NOUSEI).collect()
+    assert [(r.header_idx, r.layout, r.places["数量"], r.places["単位"]) for r in h] == [(1, tables.NOUSEI, 2, 1)]
